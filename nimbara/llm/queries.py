@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from nimbara.llm.decontaminate import OP7_SQL, op7_decontamination
 from nimbara.llm.quality import op4_quality_rules
 from nimbara.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL}
