@@ -66,6 +66,11 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def ddl(df: DataFrame, *more: str) -> str:
+    """The schema of ``df`` and further columns as DDL."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``; no inlining copies it into lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
