@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from nimbara.llm.decontaminate import OP7_SQL, op7_decontamination
+from nimbara.llm.html import op1_html_extraction
+from nimbara.llm.line_dedup import op6_line_dedup
+from nimbara.llm.packing import op3_packing
+from nimbara.llm.pii import op5_pii
 from nimbara.llm.quality import op4_quality_rules
 from nimbara.llm.token_counts import op9_token_counts
+from nimbara.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_toxicity": op2_toxicity,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
+    "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op9_token_counts": op9_token_counts,
 }
