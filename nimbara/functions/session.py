@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(sc.applicationId)
     root = Path(__file__).resolve().parents[1]
-    if str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if sc.master.startswith("local") and str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return  # Python workers already find it
     at = Path(tempfile.mkdtemp(prefix="nimbara-ship-")) / "nimbara_ship.zip"
     with zipfile.ZipFile(at, "w") as z:
