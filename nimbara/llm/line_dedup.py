@@ -1,8 +1,9 @@
 """Line deduplication by content-defined chunks, in DataFrame functions only.
 
 Lines are hashed; a chunk ends after a line when the hash of that line and the
-one before it meets a condition, so boundaries move with the content and an
-inserted line disturbs only the chunk around it.  Chunks of two or more lines
+one before it meets a condition that the pair before did not meet, so
+boundaries move with the content and an inserted line disturbs only the chunk
+around it.  Chunks of two or more lines
 with text that occur more than once in the corpus are compared byte by byte
 with their first occurrence (smallest document, then position) and removed.
 
@@ -16,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import let, small, stored, table
+from nimbara.llm.common import let, shielded, small, stored, table
 
-#: One line in so many ends a chunk, on average.
-EVERY = 3
+#: One line in so many meets the condition; chunks have four lines on average.
+EVERY = 2
 #: Rows of a broadcast side.
 SMALL = 1_000_000
 
@@ -32,8 +33,10 @@ def chunks(text: Column) -> Column:
     """Multi-line chunks of a text: array of struct(lo, n, h, body)."""
 
     def ends(h: Column) -> Column:
-        mark = lambda x, i: (i == F.size(h) - 1) | ((i > 0) & (F.pmod(F.xxhash64(F.get(h, i - 1), x), F.lit(EVERY)) == 0))
-        return F.filter(F.transform(h, lambda x, i: F.when(mark(x, i), i + 1)), lambda e: e.isNotNull())
+        meets = F.transform(h, lambda x, i: (i > 0) & (F.pmod(F.xxhash64(F.get(h, i - 1), x), F.lit(EVERY)) == 0))
+        # A boundary never follows another, so only a text's edges make single lines.
+        mark = lambda m, x, i: (i == F.size(m) - 1) | (x & ~F.get(m, i - 1))
+        return let(meets, lambda m: F.filter(F.transform(m, lambda x, i: F.when(mark(m, x, i), i + 1)), lambda e: e.isNotNull()))
 
     def cut(lines: Column) -> Column:
         bounds = let(F.transform(lines, lambda s: F.xxhash64(s)), ends)
@@ -64,6 +67,7 @@ def repeated_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return rest.select("_d", "_key", "lo", "n")
 
 
+@shielded
 def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated multi-line chunks removed from ``text``, plus n_lines and n_removed_lines.
 

@@ -103,10 +103,10 @@ def test_line_dedup_matches_brute_force(spark, sf):
 
 
 def test_line_chunks_resist_shifts(spark):
-    body = "\n".join(f"line number {i} of a long shared passage" for i in range(60))
+    body = "\n".join(f"line number {i} of a long shared passage" for i in range(400))
     rows = [(1, body), (2, "a new first line\n" + body), (3, body.replace("number 30", "number thirty"))]
     got = {r.doc_id: r.n_removed_lines for r in L.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert got[1] == 0 and got[2] >= 50 and got[3] >= 45
+    assert got[1] == 0 and got[2] >= 370 and got[3] >= 370  # a change costs the chunks around it
 
 
 def test_line_dedup_edges(spark, odd):
