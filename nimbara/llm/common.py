@@ -11,6 +11,10 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,18 +32,26 @@ SPACE = r"[\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Send the package to the executors, and keep Arrow batches small: texts are long rows."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only where none is set (tests)."""
+    prepare(spark)
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="nimbara-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
     return _LOCAL["dir"]
 
 
@@ -66,6 +78,17 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def shielded(f):
+    """Let an operator's first table have columns whose names begin with an underscore, as its own columns do."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        away = {c: f"nb{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        return f(docs.withColumnsRenamed(away), *args, **kwargs).withColumnsRenamed({v: k for k, v in away.items()})
+
+    return run
+
+
 def ddl(df: DataFrame, *more: str) -> str:
     """The schema of ``df`` and further columns as DDL."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
@@ -158,7 +181,16 @@ def rolling(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def tidy() -> None:
+    """Give freed memory back to the system; Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has about ``most`` bytes of text (one text stays whole)."""
     col = batch.column(column)
     if len(col) == 0:
@@ -169,3 +201,4 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
         yield batch.slice(i, min(j, len(col)) - i)
         i = min(j, len(col))
+    tidy()

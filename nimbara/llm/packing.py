@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import stored, table, words
+from nimbara.llm.common import shielded, stored, table, words
 
 BUCKETS = 16
 #: Tokens of a batch after padding.
@@ -60,6 +60,7 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, bucke
     return bounds[::-1]
 
 
+@shielded
 def pack(docs: DataFrame, length: str = "length", doc: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """``docs`` with bucket, padded (the bucket's bound), batch and slot.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import let, small, stored, table, words
+from nimbara.llm.common import let, shielded, small, stored, table, words
 
 #: measure -> (side, smallest distance of a fence from the median).  The
 #: distance keeps clean texts where a group hardly varies.
@@ -27,6 +27,7 @@ MEASURES = {
     "same_rate": ("high", 0.25),  # words equal to the word before, per word
     "mean_word": ("both", 2.5),  # code points per word
 }
+OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *MEASURES, "base_failed", "kept"]
 #: Sketch accuracy: rank error of at most rows / ACCURACY in a group.
 ACCURACY = 1000
 #: Groups with fewer rows use the fences of their language, or of all rows.
@@ -130,6 +131,7 @@ def thresholds(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> Dat
     return grouped.select(*by, "_level", "_n", *fences)
 
 
+@shielded
 def quality_rules(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "source"), hold: bool = True) -> DataFrame:
     """Every row of ``docs`` (without ``text``) with base counts, measures and verdicts.
 
@@ -138,7 +140,7 @@ def quality_rules(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("l
     LEAST_ROWS base rows, else its language, else all rows.  A null language or
     source counts as an empty string.  An empty table gives an empty result.
     """
-    rows = measured(docs, text)
+    rows = measured(docs.drop(*[c for c in OUTPUTS if c not in by]), text)
     rows = stored(rows, "quality") if hold else rows
     keyed = rows.withColumns({f"_k{i}": F.coalesce(F.col(c).cast("string"), F.lit("")) for i, c in enumerate(by)})
     limits = thresholds(rows, by)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import Words, mix, rolling, slices, stored, table, words
+from nimbara.llm.common import Words, mix, rolling, shielded, slices, stored, table, words
 
 SIZE = 20  #: words of a window
 GRAM = 6  #: words of an anchor
@@ -162,6 +162,7 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     return lists.select("_d", "_key", F.aggregate("xs", F.array().cast("array<struct<s:int,e:int>>"), join).alias("spans"))
 
 
+@shielded
 def substring_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without ``text`` but with n_words, n_removed, spans (removed word spans) and kept (the words left, joined by a space).
 
