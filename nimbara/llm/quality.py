@@ -23,7 +23,7 @@ MEASURES = {
     "mark_rate": ("high", 0.25),  # words that are only punctuation, per word
     "shout_rate": ("high", 0.45),  # upper-case share of the letters
     "dup_line_rate": ("high", 0.35),  # repeated lines per line with a word
-    "repeat_rate": ("high", 0.22),  # words in repeated windows per word
+    "repeat_rate": ("high", 0.30),  # words in repeated windows per word
     "same_rate": ("high", 0.25),  # words equal to the word before, per word
     "mean_word": ("both", 2.5),  # code points per word
 }
