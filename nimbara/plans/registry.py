@@ -27,4 +27,4 @@ def query(sql: str | None = None):
     return add
 
 
-from nimbara.plans import q_aggregates, q_joins, q_models, q_qc, q_sources, q_time  # noqa: E402, F401
+from nimbara.plans import q_aggregates, q_joins, q_models, q_more, q_qc, q_sources, q_time  # noqa: E402, F401

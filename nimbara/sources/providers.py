@@ -176,6 +176,11 @@ def normalize_columns(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
 
 
+def first_field(doc: Column, names: list[str]) -> Column:
+    """The number under the first of ``names`` that a JSON text holds at any depth."""
+    return F.nullif(F.regexp_extract(doc, rf'"(?:{"|".join(names)})"\s*:\s*"?(-?[0-9]+(?:\.[0-9]+)?)', 1), F.lit("")).try_cast("double")
+
+
 def write_panel(df: DataFrame, path: str, by: list[str]) -> None:
     """Partitioned zstd Parquet; replaces the partitions it writes and leaves others."""
     df.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

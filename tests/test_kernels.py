@@ -91,3 +91,27 @@ def test_panel_sink_replaces_only_its_partitions(spark, tmp_path):
     P.write_panel(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "station long, month string, v double"), path, ["month"])
     P.write_panel(spark.createDataFrame([(3, "b", 3.0)], "station long, month string, v double"), path, ["month"])
     assert sorted((r.station, r.month) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    from nimbara.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.replace_table(spark.range(3), path)
+    sinks.replace_table(spark.range(5, 7), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [5, 6]
+    assert [p.name for p in tmp_path.iterdir() if "t" == p.name or p.name.startswith("t.")] == ["t"]
+
+
+def test_reports_and_maps(spark, tmp_path):
+    from nimbara.sources import sinks
+
+    df = spark.createDataFrame([(1, "2024-01"), (2, "2024-02")], "v long, period string")
+    sinks.write_report(df, str(tmp_path / "csv"))
+    sinks.write_report(df, str(tmp_path / "json"), "json")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "json")).count() == 2
+    sinks.write_maps(df, str(tmp_path / "maps"), "period")
+    sinks.write_maps(spark.createDataFrame([(9, "2024-02")], "v long, period string"), str(tmp_path / "maps"), "period")
+    assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "maps")).collect()) == [1, 9]
+    with pytest.raises(ValueError):
+        sinks.write_report(df, str(tmp_path / "x"), "xml")
