@@ -5,7 +5,7 @@ from __future__ import annotations
 from nimbara.llm.decontaminate import OP7_SQL, op7_decontamination
 from nimbara.llm.html import op1_html_extraction
 from nimbara.llm.line_dedup import op6_line_dedup
-from nimbara.llm.ngram_join import op8_ngram_join
+from nimbara.llm.ngram_join import OP8_SQL, op8_ngram_join
 from nimbara.llm.packing import op3_packing
 from nimbara.llm.pii import op5_pii
 from nimbara.llm.quality import op4_quality_rules
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
