@@ -35,9 +35,9 @@ from nimbara.llm.common import Words, mix, rolling, shielded, slices, stored, ta
 SIZE = 20  #: words of a window
 GRAM = 6  #: words of an anchor
 #: Repeated anchors that may be broadcast; beyond, they are joined by sorting.
-ANCHORS = 4_000_000
+ANCHORS = 200_000
 #: Documents whose removed spans may be broadcast.
-SMALL = 300_000
+SMALL = 50_000
 
 
 def leftmost_minima(g: np.ndarray, width: int) -> np.ndarray:
