@@ -362,3 +362,18 @@ def synthetic_panel(stations: int = 120, times: int = 24, seed: int = 42) -> pd.
         rain = np.where(wet, g.gamma(0.8, 8.0, stations), 0.0)
         rows.append(pd.DataFrame({"station": np.arange(stations), "t": t, "x": x, "y": y, "elev": elev, "temp": temp, "precip": rain, "is_heldout": np.argsort(np.argsort(elev)) % 8 == 0, "split": "train" if t < times * 0.67 else "tune" if t < times * 0.84 else "test"}))
     return pd.concat(rows, ignore_index=True)
+
+
+def self_organising_map(x: np.ndarray, rows: int = 2, cols: int = 2, rounds: int = 40, seed: int = 42) -> np.ndarray:
+    """Cell of each point on a small map, trained in batches with a shrinking neighbourhood."""
+    g = np.random.default_rng(seed)
+    place = np.array([(i, j) for i in range(rows) for j in range(cols)], float)
+    gap = ((place[:, None] - place[None]) ** 2).sum(2)
+    nodes = x[g.choice(len(x), rows * cols, replace=len(x) < rows * cols)].astype(float)
+    for k in range(rounds):
+        width = max(rows, cols) / 2 * (0.05 ** (k / rounds)) + 1e-3
+        best = ((x[:, None] - nodes[None]) ** 2).sum(2).argmin(1)
+        pull = np.exp(-gap[best] / (2 * width**2))
+        total = pull.sum(0)[:, None]
+        nodes = np.where(total > 1e-9, pull.T @ x / np.maximum(total, 1e-9), nodes)
+    return ((x[:, None] - nodes[None]) ** 2).sum(2).argmin(1)

@@ -397,3 +397,60 @@ def greedy_stations(spark, sf):
     """Stations merged into the first seed within a radius, by region."""
     s = stations(spark, sf).select("station", "lat", "lon", F.floor("lat").cast("long").alias("region"))
     return K.greedy_clusters(s, "region", 6000.0)
+
+
+@query()
+def silhouette_regimes(spark, sf):
+    """The number of regimes by silhouette."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    f = regime_features(spark, sf)
+    fits = [regime_pipeline(k).fit(f).transform(f) for k in (2, 3, 4, 5)]
+    score = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features")
+    return max(fits, key=score.evaluate).select("day", "cluster_id")
+
+
+@query()
+def map_regimes(spark, sf):
+    """Regimes on a self-organising map of the times (a small table)."""
+    import pandas as pd
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("day")
+        x = g[["mean_value", "std", "wet_fraction"]].fillna(0).to_numpy(float)
+        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-9)
+        return pd.DataFrame({"day": g["day"].to_numpy(), "cluster_id": K.self_organising_map(x)})
+
+    f = regime_features(spark, sf).select("day", "mean_value", "std", "wet_fraction").withColumn("one", F.lit(0))
+    return f.groupBy("one").applyInPandas(run, "day long, cluster_id long")
+
+
+@query()
+def forecast_cross_validation(spark, sf):
+    """Expanding-window validation; each fold trains on the days before it."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    v = VectorAssembler(inputCols=["value", "lag1", "lag2", "lag3", "mean3"], outputCol="features").transform(forecast_rows(spark, sf))
+    edges = [19735, 19740, 19745, 19750]
+    folds = None
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        m = LinearRegression(regParam=0.1).fit(v.filter(F.col("day") < a))
+        p = m.transform(v.filter((F.col("day") >= a) & (F.col("day") < b))).select(F.lit(i).alias("fold"), F.pow(F.col("prediction") - F.col("label"), 2.0).alias("se"))
+        folds = p if folds is None else folds.unionByName(p)
+    return folds.groupBy("fold").agg(F.count("*").alias("n"), r(F.sqrt(F.avg("se"))).alias("rmse"))
+
+
+@query(f"""WITH {DAILY}, {STATIONS}, w AS (SELECT station, day, round(value, 6) AS value, lag(day) OVER x AS pd, lag(round(value, 6)) OVER x AS pv FROM daily WHERE variable = 'view' AND value IS NOT NULL WINDOW x AS (PARTITION BY station ORDER BY day)),
+p AS (SELECT day, corr(value, pv) AS persistence, count(*) AS n FROM w WHERE day - pd = 1 GROUP BY day HAVING count(*) >= 5), c AS (SELECT a.day, corr(a.value, b.value) AS companion FROM daily a JOIN daily b ON a.station = b.station AND a.day = b.day AND b.variable = 'error' WHERE a.variable = 'view' AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY a.day HAVING count(*) >= 5)
+SELECT day, n, round(persistence, 5) + 0.0 AS persistence, round(companion, 5) + 0.0 AS companion FROM p LEFT JOIN c USING (day)""")
+def regime_persistence(spark, sf):
+    """Correlation with the day before and with a companion variable."""
+    d = daily(spark, sf).filter(F.col("value").isNotNull())
+    v = d.filter(F.col("variable") == "view").select("station", "day", "value")
+    w = Window.partitionBy("station").orderBy("day")
+    lagged = v.select("day", F.round("value", 6).alias("value"), F.lag("day").over(w).alias("pd"), F.lag(F.round("value", 6)).over(w).alias("pv"))
+    p = lagged.filter(F.col("day") - F.col("pd") == 1).groupBy("day").agg(pearson(F.col("value"), F.col("pv")).alias("persistence"), F.count("*").alias("n")).filter("n >= 5")
+    e = d.filter(F.col("variable") == "error").select("station", "day", F.col("value").alias("e"))
+    c = v.join(e, ["station", "day"]).groupBy("day").agg(pearson(F.col("value"), F.col("e")).alias("companion"), F.count("*").alias("k")).filter("k >= 5")
+    return p.join(c, "day", "left").select("day", "n", r("persistence", 5).alias("persistence"), r("companion", 5).alias("companion"))

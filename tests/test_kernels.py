@@ -115,3 +115,11 @@ def test_reports_and_maps(spark, tmp_path):
     assert sorted(r.v for r in spark.read.parquet(str(tmp_path / "maps")).collect()) == [1, 9]
     with pytest.raises(ValueError):
         sinks.write_report(df, str(tmp_path / "x"), "xml")
+
+
+def test_map_cells_separate_groups():
+    g = np.random.default_rng(5)
+    x = np.concatenate([g.normal(m, 0.1, (20, 2)) for m in (0, 5, 10)])
+    cell = K.self_organising_map(x)
+    sets = [set(cell[i * 20 : i * 20 + 20]) for i in range(3)]
+    assert not (sets[0] & sets[1] or sets[0] & sets[2] or sets[1] & sets[2])
