@@ -165,3 +165,41 @@ def quality_rules(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("l
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """The same with exact quantiles; sketches agree where groups are small."""
+    rate = {
+        "symbol_rate": ("n_symbols", "word_chars"), "mark_rate": ("marks", "n_words"), "shout_rate": ("up", "letters"), "dup_line_rate": ("n_dup_lines", "n_lines"),
+        "repeat_rate": ("n_repeat_words", "n_words"), "same_rate": ("same", "n_words"), "mean_word": ("word_chars", "n_words")}
+    measures = ", ".join(f"CASE WHEN {b} > 0 THEN {a} * 1.0::DOUBLE / {b} ELSE 0 END AS {m}" for m, (a, b) in rate.items())
+    fences, inside = [], []
+    for m, (side, least) in MEASURES.items():
+        q = lambda p: f"quantile_disc({m}, {p})"  # noqa: B023, E731
+        fences.append(f"{q(0.5)} + greatest({least}, {REACH} * ({q(0.75)} - {q(0.5)})) AS {m}_max")
+        inside.append(f"{m} <= CASE WHEN a.n >= {LEAST_ROWS} THEN a.{m}_max WHEN b.n >= {LEAST_ROWS} THEN b.{m}_max ELSE c.{m}_max END")
+        if side == "both":
+            fences.append(f"{q(0.5)} - greatest({least}, {REACH} * ({q(0.5)} - {q(0.25)})) AS {m}_min")
+            inside.append(f"{m} >= CASE WHEN a.n >= {LEAST_ROWS} THEN a.{m}_min WHEN b.n >= {LEAST_ROWS} THEN b.{m}_min ELSE c.{m}_min END")
+    cuts = "count(*) AS n, " + ", ".join(fences)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t,
+  list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+x AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM x WHERE k > 1) GROUP BY doc_id),
+e AS (SELECT doc_id, lang, source, w, array_to_string(w, '') AS j, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS f FROM d),
+c0 AS (SELECT e.doc_id, lang, source, len(w)::BIGINT AS n_words, length(j)::BIGINT AS word_chars, len(regexp_extract_all(j, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(f) - len(list_distinct(f)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(f) AS n_lines,
+  len(list_filter(w, lambda v: regexp_full_match(v, '[^\p{{L}}\p{{N}}]+'))) AS marks, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS same,
+  length(regexp_replace(j, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(j, '[^A-Za-z]+', '', 'g')) AS letters FROM e LEFT JOIN r USING (doc_id)),
+m AS (SELECT *, {measures}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c0),
+a AS (SELECT lang, source, {cuts} FROM m WHERE NOT base_failed GROUP BY lang, source),
+b AS (SELECT lang, {cuts} FROM m WHERE NOT base_failed GROUP BY lang),
+c AS (SELECT {cuts} FROM m WHERE NOT base_failed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(inside)} AS kept
+FROM m LEFT JOIN a ON a.lang = m.lang AND a.source = m.source LEFT JOIN b ON b.lang = m.lang CROSS JOIN c
+"""
+
+
+OP4_SQL = _oracle()

@@ -8,7 +8,7 @@ from nimbara.llm.line_dedup import op6_line_dedup
 from nimbara.llm.ngram_join import OP8_SQL, op8_ngram_join
 from nimbara.llm.packing import op3_packing
 from nimbara.llm.pii import op5_pii
-from nimbara.llm.quality import op4_quality_rules
+from nimbara.llm.quality import OP4_SQL, op4_quality_rules
 from nimbara.llm.substring import OP10_SQL, op10_substring_dedup
 from nimbara.llm.token_counts import op9_token_counts
 from nimbara.llm.toxicity import op2_toxicity
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_decontamination": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op7_decontamination": OP7_SQL, "op8_ngram_join": OP8_SQL, "op10_substring_dedup": OP10_SQL}
