@@ -167,11 +167,13 @@ def regression_kriging(df: DataFrame, time: str, target: str, trend: list[str],
         if len(g) >= len(trend) + 4:
             t = np.column_stack([np.ones(len(g)), g[trend].to_numpy(float)])
             scale = np.maximum(np.abs(t).max(0), 1e-9)
+            all_ = y - t / scale @ np.linalg.lstsq(t / scale, y, rcond=None)[0]
+            model = fit_variogram(x, all_, kind)  # one model a time
             for i in range(len(g)):
                 m = np.arange(len(g)) != i
                 beta = np.linalg.lstsq(t[m] / scale, y[m], rcond=None)[0]
                 res = y[m] - t[m] / scale @ beta
-                z, _ = ordinary_kriging(x[m], res, x[i : i + 1], fit_variogram(x[m], res, kind), kind)
+                z, _ = ordinary_kriging(x[m], res, x[i : i + 1], model, kind)
                 pred[i] = t[i] / scale @ beta + z[0]
         return pd.DataFrame({time: g[time].to_numpy(), "station": g["station"].to_numpy(), "observed": y, "predicted": pred})
 

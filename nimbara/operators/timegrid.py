@@ -30,11 +30,10 @@ def exact_regrid(df: DataFrame, keys: list[str], sec: str, step: int, slack: int
 
 def bracket(df: DataFrame, keys: list[str], at: str, value: str = "value") -> DataFrame:
     """The last valid point at or before each row (at0, v0) and the next at or after it (at1, v1)."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(at), F.desc(at)))
     here = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     return (
-        df.withColumn("_p", F.last(here, True).over(back)).withColumn("_n", F.first(here, True).over(ahead))
+        df.withColumn("_p", F.last(here, True).over(back)).withColumn("_n", F.last(here, True).over(ahead))  # a frame up to the last row would be quadratic
         .select("*", F.col("_p.t").alias("at0"), F.col("_p.v").alias("v0"), F.col("_n.t").alias("at1"), F.col("_n.v").alias("v1")).drop("_p", "_n"))
 
 
