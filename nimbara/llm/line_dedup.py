@@ -1,11 +1,12 @@
-"""Line deduplication by content-defined chunks, in DataFrame functions only.
+"""Line deduplication by overlapping chunks of two lines with text, in DataFrame functions only.
 
-Lines are hashed; a chunk ends after a line when the hash of that line and the
-one before it meets a condition that the pair before did not meet, so
-boundaries move with the content and an inserted line disturbs only the chunk
-around it.  Chunks of two or more lines
-with text that occur more than once in the corpus are compared byte by byte
-with their first occurrence (smallest document, then position) and removed.
+A chunk goes from each line with text to the next one, with the blank lines
+between them, so where a chunk lies depends on nothing around it: every
+repeated run of two or more lines with text is reached whole, whatever its
+length, period or edges.  Chunks that occur more than once in the corpus are
+compared byte by byte with their first occurrence (smallest document, then
+position) and removed; chunks may overlap their first occurrence, so of one
+line repeated the first stays.
 
 Only hashes are grouped over the whole corpus; texts of chunks are shipped for
 repeated hashes alone.  Tables are broadcast up to a checked number of rows and
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from nimbara.llm.common import let, shielded, small, stored, table
 
-#: One line in so many meets the condition; chunks have four lines on average.
-EVERY = 2
 #: Rows of a broadcast side.
 SMALL = 1_000_000
 
@@ -30,20 +29,12 @@ def lines_of(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Multi-line chunks of a text: array of struct(lo, n, h, body)."""
-
-    def ends(h: Column) -> Column:
-        meets = F.transform(h, lambda x, i: (i > 0) & (F.pmod(F.xxhash64(F.get(h, i - 1), x), F.lit(EVERY)) == 0))
-        # A boundary never follows another, so only a text's edges make single lines.
-        mark = lambda m, x, i: (i == F.size(m) - 1) | (x & ~F.get(m, i - 1))
-        return let(meets, lambda m: F.filter(F.transform(m, lambda x, i: F.when(mark(m, x, i), i + 1)), lambda e: e.isNotNull()))
+    """Chunks of a text, from each line with text to the next: array of struct(lo, n, h, body)."""
 
     def cut(lines: Column) -> Column:
-        bounds = let(F.transform(lines, lambda s: F.xxhash64(s)), ends)
-        pieces = let(bounds, lambda e: F.transform(e, lambda x, j: F.struct(
-            F.coalesce(F.get(e, j - 1), F.lit(0)).alias("lo"), (x - F.coalesce(F.get(e, j - 1), F.lit(0))).alias("n"))))
-        several = F.filter(pieces, lambda p: (p["n"] >= 2) & (F.size(F.filter(F.slice(lines, p["lo"] + 1, p["n"]), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))) >= 2))
-        whole = F.transform(several, lambda p: F.struct(p["lo"].alias("lo"), p["n"].alias("n"), F.array_join(F.slice(lines, p["lo"] + 1, p["n"]), "\n").alias("body")))
+        at = F.filter(F.transform(lines, lambda s, i: F.when(s.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
+        pairs = let(at, lambda a: F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.size(a)), lambda x, y: F.struct(x.alias("lo"), (y - x + 1).alias("n"))))
+        whole = F.transform(pairs, lambda p: F.struct(p["lo"].alias("lo"), p["n"].alias("n"), F.array_join(F.slice(lines, p["lo"] + 1, p["n"]), "\n").alias("body")))
         return F.transform(whole, lambda p: F.struct(p["lo"].alias("lo"), p["n"].alias("n"), F.xxhash64(p["body"]).alias("h"), p["body"].alias("body")))
 
     return let(lines_of(text), cut)
@@ -69,19 +60,23 @@ def repeated_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
 @shielded
 def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with repeated multi-line chunks removed from ``text``, plus n_lines and n_removed_lines.
+    """``docs`` with repeated lines (see above) removed from ``text``, plus n_lines and n_removed_lines.
 
     Every row stays, also if no line is left (its text is then empty).  Null
     texts stay null and have 0 lines; an empty text has one (empty) line.  A
     null document id sorts first.  Columns named n_lines or n_removed_lines are
     replaced; all others pass through.
     """
-    gone = repeated_chunks(docs, doc, text).groupBy("_d", "_key").agg(F.collect_set(F.struct("lo", "n")).alias("_gone"))
+    # Chunks overlap, so line numbers are collected, not chunks.
+    lines = repeated_chunks(docs, doc, text).select("_d", "_key", F.explode(F.sequence("lo", F.col("lo") + F.col("n") - 1)).alias("i"))
+    gone = lines.groupBy("_d", "_key").agg(F.array_sort(F.collect_set("i")).alias("_gone"))
     gone = stored(gone.withColumnsRenamed({"_d": "_gd", "_key": "_gk"}), "gone")
     base = docs.drop("n_lines", "n_removed_lines").withColumn("_key", F.xxhash64(doc, text))
     out = base.join(small(gone, SMALL // 2), (F.col("_key") == F.col("_gk")) & F.col(doc).eqNullSafe(F.col("_gd")), "left")
-    lost = F.aggregate("_gone", F.lit(0), lambda a, g: a + g["n"])
-    left = F.array_join(F.filter(lines_of(F.col(text)), lambda s, i: ~F.exists("_gone", lambda g: (i >= g["lo"]) & (i < g["lo"] + g["n"]))), "\n")
+    lost = F.when(F.col("_gone").isNotNull(), F.size("_gone"))
+    # What is left lies between the removed lines; both lists are in order.
+    between = lambda x: F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), "_gone"), F.concat("_gone", F.array(F.size(x))), lambda a, b: F.slice(x, a + 2, b - a - 1)))
+    left = F.array_join(let(lines_of(F.col(text)), between), "\n")
     total = F.size(F.split(F.col(text), "\n", -1))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     return out.select(

@@ -109,6 +109,18 @@ def test_line_chunks_resist_shifts(spark):
     assert got[1] == 0 and got[2] >= 370 and got[3] >= 370  # a change costs the chunks around it
 
 
+def test_line_dedup_reaches_periodic_runs_and_edges(spark):
+    run, pair = ["same line"] * 91, ["left", "right"] * 30
+    passage = [f"passage line {i}" for i in range(12)]
+    rows = [(1, "\n".join(["a", *run, "b"])), (2, "\n".join(["c", *run[:40], "d"])), (3, "\n".join(["e", *pair, "f"])), (4, "\n".join(["g", *pair[:31], "h"])),
+            (5, "\n".join(["i", *passage, "j"])), (6, "\n".join(["k", *passage[:5], "", *passage[5:], "l"])), (7, "\n".join(passage[3:6])), (8, "once\n\ntwice"), (9, "x\nonce\n\ntwice\ny")]
+    got = {r.doc_id: (r.n_removed_lines, r.text) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1] == (90, "a\nsame line\nb") and got[2] == (40, "c\nd")
+    assert got[3] == (58, "e\nleft\nright\nf") and got[4] == (31, "g\nh")
+    assert got[5][0] == 0 and got[6] == (12, "k\n\nl") and got[7] == (3, "")
+    assert got[8][0] == 0 and got[9] == (3, "x\ny")
+
+
 def test_line_dedup_edges(spark, odd):
     out = L.line_dedup(odd)
     assert out.count() == odd.count()
