@@ -6,27 +6,31 @@ the whole corpus, counted in distinct texts, the share of a term's texts in
 which the term stands by an entity, P(entity | term), and the entity's
 information content -log2 P(entity) give the disclosure
 PMI / IC = log2(P(entity | term) / P(entity)) / -log2 P(entity): 1 means that
-the term reveals the entity fully.  Terms above DISCLOSURE with enough support
-are generalised: their spans join the result.
+the term reveals the entity fully.  Terms of any length above DISCLOSURE whose
+meetings with the entity are too many for chance (LEVEL, over all pairs of an
+entity and a term) are generalised: their spans join the result.  One meeting
+never tells a term that discloses from any other rare word.
 
 All of it is built from DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import let, small, stored, table
+from nimbara.llm.common import let, small, stored, table, words
 
 #: Words on either side of an entity that are its context.
 REACH = 5
 #: Least share of the entity's information that a term must carry.
 DISCLOSURE = 0.97
-#: Least number of distinct texts with the term next to the entity.
-SUPPORT = 5
-#: Shortest term.
-SHORTEST = 5
+#: Chance that any term of the corpus meets any entity as often with no tie between them.
+LEVEL = 0.05
+#: Up to so many meetings their chance is bounded by counting, beyond by large deviations.
+FEW = 20
 #: Rows of a broadcast side.
 SMALL = 200_000
 
@@ -133,28 +137,51 @@ def _contexts(t: Column, span: Column) -> Column:
     return F.concat(laid(before, lo, False), laid(after, span["e"], True))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
+def log_chance(both: Column, ent: Column, term: Column, n_all: int) -> Column:
+    """An upper bound of log P(at least ``both`` shared texts) of an entity in ``ent`` and a term in ``term`` of n_all texts.
+
+    The texts of the term are drawn at random.  Exact where all of them are shared, up to FEW.
+    """
+    share, p = both / term, ent / F.lit(float(n_all))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - p))).otherwise(0.0)
+    far = F.when(share > p, -term * (share * F.log(share / p) + rest)).otherwise(0.0)
+    step = lambda a, i: a + F.log((term - i) * (ent - i) / ((F.lit(float(n_all)) - i) * (i + 1)))
+    near = F.when(both <= FEW, F.aggregate(F.sequence(F.lit(0), F.least(both, F.lit(FEW)).cast("int") - 1), F.lit(0.0), step))
+    return F.least(F.lit(0.0), far, near)
+
+
+def disclosing_terms(found: DataFrame, docs: DataFrame, held: DataFrame, text: str) -> DataFrame:
     """_d, _key, s, e of context words whose term discloses the entity beside it.
 
     found: _d, _key, _tid (hash of the text), _t, sp (base spans) of texts with entities.
+    held: _tid and n_words of every row.
     """
     one = found.select("_d", "_key", "_tid", "_t", "sp", F.explode_outer("sp").alias("p"))
     # No word inside another entity is a term: entities are removed anyway.
     ctx = one.select("_d", "_key", "_tid", _entity(F.col("p")).alias("ent"), F.explode_outer(F.filter(_contexts(F.col("_t"), F.col("p")), lambda c: ~F.exists("sp", lambda q: (c["s"] < q["e"]) & (q["s"] < c["s"] + F.char_length(c["w"]))))).alias("c"))
     ctx = ctx.filter(F.col("c").isNotNull()).select("_d", "_key", "_tid", "ent", F.col("c.w").alias("w"), F.col("c.s").alias("s"), term_of(F.col("c.w")).alias("term"))
-    ctx = stored(ctx.filter((F.char_length("term") >= SHORTEST) & F.col("term").rlike(r"\p{L}")), "contexts")
-    by_pair = ctx.select("ent", "term", "_tid").distinct().groupBy("ent", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT)
-    by_pair = stored(by_pair, "pairs")
-    # texts with a candidate term, over the whole corpus
-    wanted = small(by_pair.select("term").distinct(), SMALL)
-    texts = docs.select(F.xxhash64(text).alias("_tid"), F.explode_outer(F.array_distinct(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1))).alias("w"))
-    # One row for each distinct word form of a text that may be a term.
-    n_term = texts.filter(F.char_length("w") >= SHORTEST).select("_tid", term_of(F.col("w")).alias("term")).join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n_ent = found.select("_tid", F.explode_outer("sp").alias("p")).select("_tid", _entity(F.col("p")).alias("ent")).distinct().groupBy("ent").agg(F.count("*").alias("n_ent"))
-    n_all = docs.select(F.approx_count_distinct(F.xxhash64(text), 0.01).alias("n")).first()[0] or 1
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
+    ctx = stored(ctx.filter(F.col("term").rlike(r"\p{L}")), "contexts")
+    n_ent = stored(found.select("_tid", F.explode_outer("sp").alias("p")).select("_tid", _entity(F.col("p")).alias("ent")).distinct().groupBy("ent").agg(F.count("*").alias("n_ent")), "entities")
+    copies = stored(held.groupBy("_tid").agg(F.count("*").alias("m"), F.max("n_words").alias("n_words")), "copies")
+    all_ = copies.agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).first()
+    n_all = all_["n"] or 1
+    # No more than words / n_both terms are in n_both texts or more, so there are no more pairs than this.
+    pairs = F.lit(float(n_ent.count())) * F.lit(float(all_["words"] or 1)) / F.col("n_both")
+    by_pair = ctx.select("ent", "term", "_tid").distinct().groupBy("ent", "term").agg(F.count("*").alias("n_both")).join(n_ent, "ent")
+    chance = lambda n_term: log_chance(F.col("n_both"), F.col("n_ent"), n_term, n_all) + F.log(pairs)
+    share = lambda n: F.least(F.lit(1.0), F.col("n_both") / n)
     p_ent = F.col("n_ent") / F.lit(float(n_all))
-    told = by_pair.join(n_term, "term").join(n_ent, "ent").filter((p_ent < 1) & (F.log2(share / p_ent) / -F.log2(p_ent) >= DISCLOSURE)).select("ent", "term")
+    # Both conditions only get harder with n, so what fails for a smaller count of texts always fails.
+    tells = lambda n: (p_ent < 1) & (F.log2(share(n) / p_ent) / -F.log2(p_ent) >= DISCLOSURE) & (chance(n) <= math.log(LEVEL))
+    beside = ctx.select("term", "_tid").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    by_pair = stored(by_pair.join(beside, "term").filter(tells(F.col("n_beside"))), "pairs")
+    # texts with a candidate term, over the whole corpus; copies of a text count as one
+    wanted = small(by_pair.select("term").distinct(), SMALL)
+    terms = F.array_distinct(F.transform(F.array_distinct(words(F.col(text))), term_of))
+    texts = docs.select(F.xxhash64(text).alias("_tid"), F.explode(terms).alias("term")).join(wanted, "term", "left_semi")
+    again = small(copies.filter("m > 1").select("_tid", "m"), SMALL)
+    n_term = texts.join(again, "_tid", "left").groupBy("term").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("long").alias("n_term"))
+    told = by_pair.join(n_term, "term").filter(tells(F.greatest("n_term", "n_both"))).select("ent", "term")
     told = stored(told, "told")
     return ctx.join(small(told, SMALL), ["ent", "term"], "left_semi").select("_d", "_key", "s", (F.col("s") + F.char_length("w")).alias("e")).distinct()
 
@@ -168,8 +195,8 @@ def find_pii(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFr
     """
     keyed = docs.select(F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.xxhash64(text).alias("_tid"), F.coalesce(text, F.lit("")).alias("_t"))
     rows = keyed.withColumn("sp", base_spans(F.col("_t")))
-    held = stored(rows.select("_d", "_key", "_tid", F.when(F.size("sp") > 0, F.col("_t")).alias("_t"), "sp"), "spans")
-    terms = disclosing_terms(held.filter(F.size("sp") > 0), docs, doc, text)
+    held = stored(rows.select("_d", "_key", "_tid", F.size(words(F.col("_t"))).alias("n_words"), F.when(F.size("sp") > 0, F.col("_t")).alias("_t"), "sp"), "spans")
+    terms = disclosing_terms(held.filter(F.size("sp") > 0), docs, held.select("_tid", "n_words"), text)
     per = terms.groupBy("_d", "_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms")).withColumnsRenamed({"_d": "_td", "_key": "_tk"})
     out = held.select("_d", "_key", "sp").join(per, (F.col("_key") == F.col("_tk")) & F.col("_d").eqNullSafe(F.col("_td")), "left")
     return out.select(F.col("_d").alias(doc), F.col("sp").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")).alias("terms"))

@@ -211,6 +211,16 @@ def test_pii_disclosing_terms(spark):
     assert "boss@acme.org" not in clean[0] and "[email]" in clean[0] and "[term]" in clean[0] and clean[100] == rows[8][1]
 
 
+def test_pii_few_texts_and_short_terms(spark):
+    rows = [(i, f"note {i * 11} from Kim at kim@acme.org on day{i}") for i in range(3)]
+    rows += [(50, "only Uma wrote to uma@acme.org once")]
+    rows += [(100 + i, f"ordinary note from nobody at all, on line {i}") for i in range(60)]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    words = {rows[i][1][m.s : m.e] for i in range(3) for m in got[i].terms}
+    assert words == {"Kim"}
+    assert not got[50].terms and not any(got[100 + i].terms for i in range(60))
+
+
 def test_pii_edges(spark, odd):
     assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(odd.limit(0)).count() == 0
 
