@@ -115,26 +115,38 @@ def term_of(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-#: Words beside an entity are read from so many code points on either side.
-NEAR = 200
+#: Words beside an entity are read from so many code points on either side, and
+#: from WIDER times as many again and again where these hold fewer than REACH.
+NEAR, WIDER, TIMES = 200, 16, 3
 
 
 def _contexts(t: Column, span: Column) -> Column:
     """Up to REACH whole words before and after a span: struct(w, s), s the word's first code point."""
-    lo = F.greatest(F.lit(0), span["s"] - NEAR)
-    before, after = F.substring(t, lo + 1, span["s"] - lo), F.substring(t, span["e"] + 1, F.lit(NEAR))
-
-    def laid(part: Column, at: Column, ahead: bool) -> Column:
-        pieces = F.split(part, " |\n|\t", -1)
-        step = lambda a, w: F.struct((a["at"] + F.char_length(w) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(w.alias("w"), a["at"].cast("int").alias("s")))).alias("out"))
-        start = F.struct(at.alias("at"), F.array().cast("array<struct<w:string,s:int>>").alias("out"))
-        all_ = F.aggregate(pieces, start, step, lambda a: a["out"])
-        # the outermost piece may be cut, the innermost touches the entity
-        inner = let(all_, lambda x: F.slice(x, 2, F.greatest(F.lit(0), F.size(x) - 2)))
-        real = F.filter(inner, lambda x: x["w"] != "")
-        return let(real, lambda x: F.slice(x, 1, REACH) if ahead else F.slice(F.reverse(x), 1, REACH))
-
-    return F.concat(laid(before, lo, False), laid(after, span["e"], True))
+
+    def laid(part: Column, at: Column, ahead: bool, cut: Column) -> Column:
+        pieces = F.split(part, r"[\x20\x09-\x0D]", -1)
+        held = lambda a, w: F.struct(w.alias("w"), a["at"].cast("int").alias("s"))
+        full = lambda a: F.size(a["out"]) >= REACH
+        more = lambda a, w: F.concat(F.when(full(a), F.slice(a["out"], 2, REACH - 1)).otherwise(a["out"]), F.array(held(a, w)))
+        take = lambda a, w: F.when((w == "") | (full(a) if ahead else F.lit(False)), a["out"]).otherwise(more(a, w))
+        step = lambda a, w: F.struct((a["at"] + F.char_length(w) + 1).alias("at"), take(a, w).alias("out"))
+        # the innermost piece touches the entity, the outermost may be cut
+        outer = F.when(cut, F.lit(1)).otherwise(0)
+        inner = lambda x: F.slice(x, 2 if ahead else F.lit(1) + outer, F.greatest(F.lit(0), F.size(x) - 1 - outer))
+        skipped = lambda x: F.char_length(F.element_at(x, 1)) + 1
+        begin = lambda x: at + (skipped(x) if ahead else F.when(cut, skipped(x)).otherwise(0))
+        start = lambda x: F.struct(begin(x).alias("at"), F.array().cast("array<struct<w:string,s:int>>").alias("out"))
+        return let(pieces, lambda x: F.aggregate(inner(x), start(x), step, lambda a: a["out"]))
+
+    def side(ahead: bool, near: int, times: int) -> Column:
+        if times == 0:  # the whole side
+            return laid(F.substring(t, span["e"] + 1, F.char_length(t)), span["e"], True, F.lit(False)) if ahead else laid(F.substring(t, F.lit(1), span["s"]), F.lit(0), False, F.lit(False))
+        lo = F.greatest(F.lit(0), span["s"] - near)
+        cut = span["e"] + near < F.char_length(t) if ahead else lo > 0
+        found = laid(F.substring(t, span["e"] + 1, F.lit(near)), span["e"], True, cut) if ahead else laid(F.substring(t, lo + 1, span["s"] - lo), lo, False, cut)
+        return let(found, lambda x: F.when((F.size(x) >= REACH) | ~cut, x).otherwise(side(ahead, near * WIDER, times - 1)))
+
+    return F.concat(side(False, NEAR, TIMES), side(True, NEAR, TIMES))
 
 
 def log_chance(both: Column, ent: Column, term: Column, n_all: int) -> Column:

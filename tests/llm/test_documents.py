@@ -221,6 +221,23 @@ def test_pii_few_texts_and_short_terms(spark):
     assert not got[50].terms and not any(got[100 + i].terms for i in range(60))
 
 
+def test_pii_context_words(spark):
+    from pyspark.sql import functions as F
+
+    long = "z" * 190
+    texts = ["first a@b.c last", f"one two {long} {long} three x@y.z four\x0bfive\x0c{long} {'q' * 5000} six seven", " \n1 2 3 4 5 6\ta@b.c  7 8 9 10 11 12", "(a@b.c) end", "a@b.c", "v" * 60_000 + " a@b.c " + "é" * 4000 + "-x"]
+
+    def want(t):
+        (m,) = E.finditer(t)
+        parts = [(w.start(), w.end(), w[0]) for w in WORD.finditer(t)]
+        before, after = [p for p in parts if p[1] < m.start()], [p for p in parts if p[0] > m.end()]
+        return sorted((w, s) for s, _, w in [*before[-pii.REACH :], *after[: pii.REACH]])
+
+    df = spark.createDataFrame([*enumerate(texts)], "i int, t string").select("i", F.explode(pii.base_spans(F.col("t"))).alias("p"), "t")
+    got = {r.i: sorted((c.w, c.s) for c in r.c) for r in df.select("i", pii._contexts(F.col("t"), F.col("p")).alias("c")).collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+
+
 def test_pii_edges(spark, odd):
     assert pii.find_pii(odd).count() == odd.count() and pii.find_pii(odd.limit(0)).count() == 0
 
