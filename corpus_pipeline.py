@@ -45,13 +45,21 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one of smallest id stays.
+    """Of each class of similar documents one row stays: smallest id, then text hash, then other columns.
 
     Documents without words are no duplicates of each other and stay.
     """
-    classes = similar_classes(docs)
-    gone = classes.filter(F.col("class_size") > 1).filter(~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return _without(docs, gone.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))).select(*COLUMNS)
+    classes = stored(similar_classes(docs).filter(F.col("class_size") > 1).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "head", "head_key"), "classes")
+    first = (F.col("_k") == F.col("head_key")) & F.col("_d").eqNullSafe(F.col("head"))
+    again = stored(classes.filter(first).groupBy("_d", "_k").count().filter("count > 1").select("_d", "_k"), "again")
+    gone = classes.filter(~first).select("_d", "_k")
+    if not again.limit(1).count():
+        return _without(docs, gone).select(*COLUMNS)
+    # Of rows equal in id and text, the one of least other columns stays.
+    same = (F.xxhash64("doc_id", "text") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    one = docs.join(small(again, SMALL), same).groupBy("doc_id", "_k").agg(F.min(F.struct(*sorted(rest, key="text".__eq__))).alias("r"))
+    return _without(docs, gone.unionByName(again)).select(*COLUMNS).unionByName(one.select("doc_id", *[F.col(f"r.{c}").alias(c) for c in rest]))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

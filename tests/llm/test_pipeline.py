@@ -26,6 +26,21 @@ def test_contaminated_documents_go(spark, sf):
     assert sorted(r.doc_id for r in cp.stage_near_duplicates(spark, docs.union(docs.limit(1)), sf).collect())[-2:] == [2, 3]
 
 
+def test_one_row_of_each_class_stays(spark, sf):
+    long = " ".join(f"word{i}" for i in range(200))
+    other = " ".join(f"else{i}" for i in range(200))
+    rows = [(1, long, "en", "b", 0), (1, long, "en", "a", 0), (1, long, "en", "a", 0), (1, long + " more", "en", "s", 0), (2, long, "en", "s", 0), (None, other, "en", "s", 0), (None, other, "en", "s", 0),
+            (1, "words that no other document has", "en", "s", 0), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (1, other + " so", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, cp.stage_near_duplicates(spark, docs, sf).collect()), key=str)
+    heads = [(r[0], r[1]) for r in got]
+    assert heads.count((None, other)) == 1 and (1, other + " so") not in heads
+    assert sum(r[1].startswith("word0 ") for r in got) == 1 and heads.count((3, "")) == 2
+    assert (1, "words that no other document has", "en", "s", 0) in got and len(got) == 5
+    twins = spark.createDataFrame(rows[:3], docs.schema)
+    assert [tuple(r) for r in cp.stage_near_duplicates(spark, twins, sf).collect()] == [rows[1]]
+
+
 def test_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
