@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="nimbara-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
@@ -56,11 +58,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
+    """Write ``df`` to the shared folder and read it back.
+
+    Shuffle files of the finished step have no user any more; the driver's
+    cleaner drops them once the collector has seen that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -73,9 +81,19 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """Hint a broadcast if ``df`` has at most ``most`` rows, else leave the plan to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes of variable-length columns that a broadcast side may have.
+BYTES = 48 << 20
+
+
+def small(df: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """Hint a broadcast if ``df`` has at most ``most`` rows, else leave the plan to Spark.
+
+    size: bytes of a row's variable-length columns; their sum must not exceed BYTES.
+    """
+    if size is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and total <= BYTES else df
 
 
 def shielded(f):

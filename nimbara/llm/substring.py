@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import Words, mix, rolling, shielded, slices, stored, table, words
+from nimbara.llm.common import Words, discard, let, mix, rolling, shielded, slices, small, stored, table, words
 
 SIZE = 20  #: words of a window
 GRAM = 6  #: words of an anchor
@@ -84,82 +85,90 @@ class Runs:
         self.at = starts[first] - w.first[self.doc]
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """anchor, n (1, or 2 for more) of every slice of texts."""
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["_d"].dataType.simpleString()
+
+
+def all_runs(docs: DataFrame) -> DataFrame:
+    """anchor, context, _d, _key, at, n (windows) of every run of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_t"):
-                found, n = np.unique(Runs(Words(part.column("_t"))).anchor, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(np.minimum(n, 2), pa.int32())], names=["anchor", "n"])
-
-    return docs.select("_t").mapInArrow(run, "anchor long, n int")
+                r = Runs(Words(part.column("_t")))
+                doc = pa.array(r.doc, pa.int64())
+                cols = [pa.array(r.anchor, pa.int64()), pa.array(r.context, pa.int64()), part.column("_d").take(doc), part.column("_key").take(doc),
+                        pa.array(r.at, pa.int32()), pa.array(np.diff(r.offset), pa.int32())]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "context", "_d", "_key", "at", "n"])
 
+    return docs.select("_d", "_key", "_t").mapInArrow(run, f"anchor long, context long, _d {_kind(docs)}, _key long, at int, n int")
 
-def _occurrences(docs: DataFrame, windows: bool, listed: bool = False) -> DataFrame:
-    """anchor, context, _d, _key, at, n (windows) of every run, and the windows' hashes if asked for.
 
-    listed: keep only anchors in the document's column ``anchors``.
-    """
-    kind = docs.schema["_d"].dataType.simpleString()
+def window_hashes(docs: DataFrame) -> DataFrame:
+    """anchor, context, _d, _key, at, hs (hash of each window) of the runs that the column ``runs`` of a document lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_t"):
-                r = Runs(Words(part.column("_t")))
-                doc = pa.array(r.doc, pa.int64())
-                cols = [pa.array(r.anchor, pa.int64()), pa.array(r.context, pa.int64()), part.column("_d").take(doc), part.column("_key").take(doc),
-                        pa.array(r.at, pa.int32()), pa.array(np.diff(r.offset), pa.int32())]
-                names = ["anchor", "context", "_d", "_key", "at", "n"]
-                if windows:
-                    cols.append(pa.ListArray.from_arrays(pa.array(r.offset, pa.int32()), pa.array(r.value, pa.int64())))
-                    names.append("hs")
-                out = pa.RecordBatch.from_arrays(cols, names=names)
-                if listed:
-                    keep = np.zeros(len(r.anchor), bool)
-                    for i, mine in enumerate(part.column("anchors")):
-                        own = r.doc == i
-                        keep[own] = np.isin(r.anchor[own], np.array(mine.as_py() or [], np.int64))
-                    out = out.filter(pa.array(keep))
-                yield out
-
-    cols = ["_d", "_key", "_t"] + ["anchors"] * listed
-    return docs.select(*cols).mapInArrow(run, f"anchor long, context long, _d {kind}, _key long, at int, n int" + ", hs array<long>" * windows)
+                w = Words(part.column("_t"))
+                hashes = rolling(w.hash, SIZE, 7).view(np.int64)
+                runs = part.column("runs")
+                doc, each = np.repeat(np.arange(len(runs)), pc.list_value_length(runs).to_numpy(zero_copy_only=False)), runs.flatten()
+                anchor, context, at, n = (each.field(c) for c in ("anchor", "context", "at", "n"))
+                n = n.to_numpy()
+                off = np.concatenate([[0], np.cumsum(n)])
+                first = w.first[doc] + at.to_numpy()
+                hs = hashes[np.repeat(first - off[:-1], n) + np.arange(off[-1])] if len(n) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(hs, pa.int64()))
+                doc = pa.array(doc, pa.int64())
+                cols = [anchor, context, part.column("_d").take(doc), part.column("_key").take(doc), at, lists]
+                yield pa.RecordBatch.from_arrays(cols, names=["anchor", "context", "_d", "_key", "at", "hs"])
+
+    return docs.select("_d", "_key", "_t", "runs").mapInArrow(run, f"anchor long, context long, _d {_kind(docs)}, _key long, at int, hs array<long>")
+
+
+def _with(docs: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """``docs`` joined with ``side`` (_d, _key and others); texts move only if ``side`` is too large to broadcast."""
+    side = side.withColumnsRenamed({"_d": "_e", "_key": "_f"})
+    return docs.join(side, (F.col("_key") == F.col("_f")) & F.col("_d").eqNullSafe(F.col("_e")), how).drop("_e", "_f")
 
 
 def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """_d, _key and the disjoint word spans (s, e) to remove of every document that has some, in order."""
     base = docs.select(F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
-    twice = stored(_anchors(base).groupBy("anchor").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("anchor"), "anchors")
-    if twice.count() <= ANCHORS:
-        met = lambda windows: _occurrences(base, windows).join(F.broadcast(twice), "anchor")
-    else:  # ship slim rows first, then texts with the anchors that are left
-        slim = _occurrences(base, False).select("anchor", "_d", "_key").join(twice, "anchor")
-        per = slim.groupBy("_d", "_key").agg(F.collect_set("anchor").alias("anchors")).withColumnsRenamed({"_d": "_e", "_key": "_f"})
-        both = base.join(per, (F.col("_key") == F.col("_f")) & F.col("_d").eqNullSafe(F.col("_e"))).drop("_e", "_f")
-        met = lambda windows: _occurrences(both, windows, True)
+    runs = stored(all_runs(base), "runs")
+    twice = stored(runs.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "anchors")
+    met = stored(runs.join(small(twice, ANCHORS), "anchor"), "met")
+    discard(runs)
     place = F.struct("_d", "_key", "at")
-    firsts = met(True).groupBy("anchor", "context").agg(F.min(F.struct("_d", "_key", "at", "hs")).alias("f"), F.count("*").alias("c"))
-    firsts = stored(firsts.select("anchor", "context", "f.*", "c"), "contexts")
+    firsts = stored(met.groupBy("anchor", "context").agg(F.min(F.struct("_d", "_key", "at", "n")).alias("f"), F.count("*").alias("c")), "contexts")
     # Contexts of one anchor that differ may still share windows.
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("anchor")
-    each = firsts.join(several, "anchor").select("anchor", "context", "_d", "_key", "at", F.posexplode_outer("hs").alias("o", "h"))
-    each = each.withColumn("start", F.col("at") + F.col("o"))
-    least = each.groupBy("anchor", "h").agg(F.min(F.struct("_d", "_key", "start")).alias("f"), F.max(F.struct("_d", "_key", "start")).alias("l")).filter(F.col("f") != F.col("l")).drop("l")
+    several = stored(firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "several")
+    edge = firsts.join(small(several, ANCHORS), "anchor").groupBy("f._d", "f._key").agg(F.collect_list(F.struct("anchor", "context", "f.at", "f.n")).alias("runs"))
+    edge = stored(edge, "edges")
+    own = stored(window_hashes(_with(base, small(edge, SMALL, 24 * F.size("runs")))), "windows")
+    each = own.select("anchor", "context", "_d", "_key", "at", F.posexplode_outer("hs").alias("o", "h")).withColumn("start", F.col("at") + F.col("o"))
+    least = each.groupBy("anchor", "h").agg(F.min(F.struct("_d", "_key", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    least = stored(least, "least")
     late = each.join(least, ["anchor", "h"]).filter(F.struct("_d", "_key", "start") != F.col("f"))
     masks = late.groupBy("anchor", "context").agg(F.collect_set("o").alias("mask"))
     settled = stored(
-        firsts.select("anchor", "context", "c", F.struct("_d", "_key", "at").alias("f")).join(masks, ["anchor", "context"], "left")
+        firsts.select("anchor", "context", "c", F.struct("f._d", "f._key", "f.at").alias("f")).join(masks, ["anchor", "context"], "left")
         .filter((F.col("c") > 1) | F.col("mask").isNotNull()).drop("c"), "settled")
-    own = F.when(place == F.col("f"), F.coalesce(F.col("mask"), F.array().cast("array<int>")))
-    hit = met(False).join(settled, ["anchor", "context"]).select(
-        "_d", "_key", F.explode_outer(F.when(own.isNull(), F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + SIZE).alias("e"))))
-                                      .otherwise(F.transform(own, lambda o: F.struct((F.col("at") + o).alias("s"), (F.col("at") + o + SIZE).alias("e"))))).alias("x"))
+    mine = F.when(place == F.col("f"), F.coalesce(F.col("mask"), F.array().cast("array<int>")))
+    whole = F.array(F.struct(F.col("at").alias("s"), (F.col("at") + F.col("n") - 1 + SIZE).alias("e")))
+    some = F.transform(mine, lambda o: F.struct((F.col("at") + o).alias("s"), (F.col("at") + o + SIZE).alias("e")))
+    hit = met.join(settled, ["anchor", "context"]).select("_d", "_key", F.explode_outer(F.when(mine.isNull(), whole).otherwise(some)).alias("x"))
     lists = hit.filter(F.col("x").isNotNull()).groupBy("_d", "_key").agg(F.array_sort(F.collect_set("x")).alias("xs"))
-    join = lambda a, x: F.when(
-        (F.size(a) > 0) & (F.element_at(a, -1)["e"] >= x["s"]),
-        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x)))
-    return lists.select("_d", "_key", F.aggregate("xs", F.array().cast("array<struct<s:int,e:int>>"), join).alias("spans"))
+    # Runs of overlapping spans: a span begins a run where all before it have ended.
+    ends = F.transform("xs", lambda x, i: F.when((i == 0) | (F.get("xs", i - 1)["e"] < x["s"]), i))
+    heads = F.filter(ends, lambda i: i.isNotNull())
+    spans = let(heads, lambda a: F.transform(a, lambda i, j: F.struct(
+        F.get("xs", i)["s"].alias("s"), F.get("xs", F.coalesce(F.get(a, j + 1), F.size("xs")) - 1)["e"].alias("e"))))
+    out = stored(lists.select("_d", "_key", spans.alias("spans")), "spans")
+    for t in (twice, met, firsts, several, edge, own, least, settled):
+        discard(t)
+    return out
 
 
 @shielded
@@ -170,12 +179,14 @@ def substring_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     texts have none.  Rows equal in document and text are one document; two
     texts under one document id are ordered by a hash.
     """
-    spans = stored(repeated_spans(docs, doc, text), "spans").withColumnsRenamed({"_d": "_e", "_key": "_f"})
-    side = F.broadcast(spans) if spans.count() <= SMALL else spans
+    spans = repeated_spans(docs, doc, text)
     rest = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "spans", "kept")]
-    base = docs.select(*rest, F.xxhash64(doc, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
-    out = base.join(side, (F.col("_key") == F.col("_f")) & F.col(doc).eqNullSafe(F.col("_e")), "left").withColumn("_w", words(F.col("_t")))
-    kept = F.when(F.col("spans").isNull(), F.col("_w")).otherwise(F.filter("_w", lambda w, i: ~F.exists("spans", lambda s: (i >= s["s"]) & (i < s["e"]))))
+    base = docs.select(*rest, F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
+    out = _with(base, small(spans, SMALL, 16 * F.size("spans")), "left").withColumn("_w", words(F.col("_t")))
+    # What stays lies between the spans; both ends are in order.
+    between = lambda w: F.flatten(F.zip_with(
+        F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["e"])), F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.size(w))), lambda e, s: F.slice(w, e + 1, s - e)))
+    kept = F.when(F.col("spans").isNull(), F.col("_w")).otherwise(between(F.col("_w")))
     lost = F.aggregate("spans", F.lit(0), lambda a, s: a + s["e"] - s["s"])
     return out.select(*rest, F.size("_w").cast("long").alias("n_words"), F.coalesce(lost, F.lit(0)).cast("long").alias("n_removed"),
                       F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")).alias("spans"), F.array_join(kept, " ").alias("kept"))

@@ -56,6 +56,7 @@ def test_decontamination_edges(spark, odd):
 @pytest.mark.parametrize("anchors", [S.ANCHORS, 5])
 def test_substring_matches_sql(spark, sf, monkeypatch, anchors):
     monkeypatch.setattr(S, "ANCHORS", anchors)
+    monkeypatch.setattr(S, "SMALL", anchors)
     got = sorted(map(tuple, op10_substring_dedup(spark, sf).collect()))
     assert got == oracle(sf, OP10_SQL, "documents")
 
