@@ -122,6 +122,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
+def run_hashes(w: Column, size: int) -> Column:
+    """64-bit hash of every run of ``size`` consecutive words of ``w``; none if there are fewer.
+
+    Every word is hashed once; hashes of runs are joined in pairs, doubling
+    their length, and the last pair may overlap.
+    """
+
+    def grown(h: Column, have: int) -> Column:
+        if have == size:
+            return h
+        by = min(have, size - have)
+        pairs = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - by), F.slice(x, by + 1, F.size(x) - by), lambda a, b: F.xxhash64(a, b))
+        return grown(let(h, pairs), have + by)
+
+    every = F.transform(w, lambda x: F.xxhash64(x))
+    return F.when(F.size(w) >= size, grown(every, 1)).otherwise(F.array().cast("array<bigint>"))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values."""
     x = x ^ (x >> np.uint64(30))

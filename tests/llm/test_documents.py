@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nimbara.llm import html, ngram_join, packing, pii, quality, token_counts, toxicity
 
@@ -68,19 +69,47 @@ def test_quality_base_counts(spark, sf, texts):
 
 
 def test_quality_verdicts_follow_exact_quantiles(spark, monkeypatch):
-    monkeypatch.setattr(quality, "LEAST_ROWS", 5)
+    monkeypatch.setattr(quality, "PRIOR", 0)
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho"]) + str(rng.random())[2:4] for _ in range(60)), "en", "s") for i in range(40)]
     rows += [(100, " ".join(f"w{i}###" for i in range(60)), "en", "s"), (101, " ".join(f"BIG{chr(65 + i % 26)}{chr(65 + i // 26)}" for i in range(60)), "en", "s")]
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
     assert not got[100].kept and not got[101].kept and all(got[i].kept for i in range(40))
-    # The same verdicts from exact quartiles: sketches of small groups are exact.
+    # The same fences from exact quartiles: sketches of small groups are exact.
     base = [r for r in got.values() if not r.base_failed]
-    for m, (side, least) in quality.MEASURES.items():
+    for m, (count, total, side) in quality.MEASURES.items():
         x = sorted(r[m] for r in base)
-        q = [x[max(0, -(-len(x) * k // 4) - 1)] for k in (1, 2, 3)]
-        top = q[1] + max(least, quality.REACH * (q[2] - q[1]))
-        assert all(r[m] <= top for r in got.values() if r.kept)
+        q1, q3 = (x[max(0, -(-len(x) * k // 4) - 1)] for k in (1, 3))
+        top = q3 + quality.REACH * (q3 - q1)
+        assert all(abs(r[f"{m}_max"] - top) < 1e-9 for r in got.values())
+        assert all(r[count] <= r[total] * top + quality.NOISE * (r[total] * top + 1) ** 0.5 for r in got.values() if r.kept)
+
+
+def test_quality_fences_move_with_the_group(spark):
+    def texts(mark, first):
+        return [(first + i, " ".join(f"w{(i * 7 + j * 13) % 997}{mark if (j + i) % 3 == 0 else ''}" for j in range(90)), "en", mark or "none") for i in range(400)]
+
+    odd = (9000, " ".join(f"w{(j * 13) % 997}{'#' if j % 3 == 0 else ''}" for j in range(90)), "en")
+    make = lambda rows: spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.quality_rules(make(texts("", 0) + texts("#", 1000) + [(*odd, "none"), (9001, *odd[1:], "#")])).collect()}
+    # The same text goes where its group has no symbols and stays where a third of the words have one.
+    assert not got[9000].kept and got[9001].kept
+    assert got[1000].symbol_rate_max > 2 * got[0].symbol_rate_max
+    assert sum(not r.kept for d, r in got.items() if d < 9000) == 0
+
+
+def test_every_fence_comes_from_quartiles(spark, sf):
+    """With other quartiles every fence is another one, also of measures that are mostly zero."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = quality.quality_rules(docs)
+    fences = [c for c in got.columns if c.endswith(("_max", "_min"))]
+    kinds = got.select(*[F.count_distinct(c).alias(c) for c in fences]).first()
+    assert kinds["mean_word_max"] > 4 and kinds["shout_rate_max"] > 4
+    gone = got.filter("NOT base_failed AND NOT kept").count()
+    assert 0 < gone < 0.15 * docs.count()
+    bad = got.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    share = {r.quality: r.kept for r in bad.collect()}
+    assert share[1] > 0.93 and share[0] < 0.1
 
 
 def test_quality_edges(spark, odd):
@@ -166,6 +195,72 @@ def test_html_host_repeats(spark):
     assert html.extract(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
 
 
+def test_html_probes():
+    main = lambda h: [t for s, t in html.page_blocks("<article>" + h + "</article>") if s in (html.CONTENT, html.DOUBT)]
+    assert main('<p>Good text <span class="share">Share this</span> goes on</p>') == ["Good text goes on"]
+    assert main('<p>Good text lost <span class="share">Share</p>') == ["Good text lost"]
+    assert main("<p>Seen <span hidden>not seen</span> too</p>") == ["Seen too"]
+    assert main('<p class="x>Hello</p><p>more') == ["Hello", "more"]
+    assert main('<p>the <span class="form-factor">ATX</span> board</p>') == ["the ATX board"]
+    assert [s for s, _ in html.page_blocks('<article><p>a</p><div class="social-proof">b</div></article>')] == [html.CONTENT, html.DOUBT]
+    assert html.page_blocks("<div role='main'><p>a</p></div><div>b</div>") == [(html.CONTENT, "a"), (html.TEMPLATE, "b")]
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    html.page_blocks("<p>" + "<div>" * 40_000 + "x" + "</span></div>" * 40_000)
+    html.page_blocks("<p><table>" + "<b>" * 20_000 + "<div>y</div>" * 20_000)
+    html.page_blocks('<a title="' * 20_000)
+    assert time.time() - began < 5
+
+
+def brute_repeats(pages):
+    """Text of pages by direct comparison of all token runs of each host's blocks that are not content."""
+    blocks = {p: html.page_blocks(h) for p, _, h in pages}
+    hosts = {p: html._host(u) for p, u, _ in pages}
+    seen = defaultdict(set)
+    for p, bs in blocks.items():
+        for s, t in bs:
+            w = t.split(" ")
+            for i in range(len(w) - html.RUN + 1):
+                if s != html.CONTENT:
+                    seen[hosts[p], tuple(w[i : i + html.RUN])].add(p)
+    out = {}
+    for p, bs in blocks.items():
+        kept = []
+        for s, t in bs:
+            w = t.split(" ")
+            gone = {j for i in range(len(w) - html.RUN + 1) if s != html.CONTENT and len(seen[hosts[p], tuple(w[i : i + html.RUN])]) > 1 for j in range(i, i + html.RUN)}
+            if s != html.TEMPLATE:
+                kept.append(" ".join(x for j, x in enumerate(w) if j not in gone))
+        out[p] = "\n\n".join(x for x in kept if x)
+    return out
+
+
+def test_html_repeats_match_brute_force(spark):
+    rng = random.Random(5)
+    phrases = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 14))) for _ in range(12)]
+    pages = []
+    for i in range(60):
+        body = "".join(f"<div>{' '.join(rng.sample(phrases, rng.randint(1, 3)))} u{i} v{rng.randint(0, 5)}</div>" for _ in range(rng.randint(0, 5)))
+        if i % 7 == 0:
+            body = f"<nav>{phrases[0]}</nav><article><p>{phrases[1]}</p><div class='related-note'>{phrases[2]} {phrases[3]}</div></article>" + body
+        pages.append((i, f"http://h{i % 3}/p" if i % 11 else None, body))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id int, url string, html string")).collect()}
+    assert got == brute_repeats(pages)
+
+
+def test_html_edges(spark):
+    long = "<div>" + " ".join(f"w{i % 50}" for i in range(50_000)) + "</div>"
+    rows = [(1, "http://h/1", "<p>same six words stand here twice"), (1, "http://h/1", "<p>same six words stand here twice"), (2, None, None), (3, "no url", ""), (4, "http://h/4", long), (None, "http://h/5", "<p>x")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumns({c: F.lit("clash") for c in ("_key", "_page", "text", "n_chars", "host", "runs", "block")})
+    got = sorted(((r.page_id, r.text) for r in html.extract(df).collect()), key=str)
+    assert [t for p, t in got if p == 1] == ["same six words stand here twice"] * 2 and (2, "") in got and (3, "") in got and (None, "x") in got
+    assert len(got) == 6 and html.extract(df.limit(0)).count() == 0
+
+
 # --- personal data
 
 E, I = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
