@@ -16,9 +16,12 @@ one anchor for eight words.
    (their context) are reduced to the first of them, which settles copies.
 3. Windows of anchors with several contexts are compared by their own hashes.
 
-Every step groups with partial aggregation and joins a many side with a side of
-unique keys, so passages in a third of all documents stay spread out.  Nothing
-is dropped for being frequent.
+Texts are read once for the runs, which are stored without them; they move
+only to be joined with the runs to compare by windows and with the spans to
+remove.  Every step groups with partial aggregation or joins a many side with a
+stored side of unique keys, which Spark may broadcast, or sort and split where
+a key is hot: passages in a third of all documents stay spread out.  Nothing is
+dropped for being frequent.
 """
 
 from __future__ import annotations
@@ -31,15 +34,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import Words, discard, let, mix, rolling, shielded, slices, small, stored, table, words
+from nimbara.llm.common import Words, discard, let, mix, rolling, shielded, slices, stored, table, words
 
 SIZE = 20  #: words of a window
 GRAM = 6  #: words of an anchor
-#: Repeated anchors that may be broadcast; beyond, they are joined by sorting.
-ANCHORS = 200_000
-#: Documents whose removed spans may be broadcast.
-SMALL = 50_000
-
 
 def leftmost_minima(g: np.ndarray, width: int) -> np.ndarray:
     """Position of the leftmost smallest value in every window of ``width`` values."""
@@ -128,7 +126,7 @@ def window_hashes(docs: DataFrame) -> DataFrame:
 
 
 def _with(docs: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs`` joined with ``side`` (_d, _key and others); texts move only if ``side`` is too large to broadcast."""
+    """``docs`` joined with ``side`` (_d, _key and others)."""
     side = side.withColumnsRenamed({"_d": "_e", "_key": "_f"})
     return docs.join(side, (F.col("_key") == F.col("_f")) & F.col("_d").eqNullSafe(F.col("_e")), how).drop("_e", "_f")
 
@@ -138,15 +136,15 @@ def repeated_spans(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     base = docs.select(F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
     runs = stored(all_runs(base), "runs")
     twice = stored(runs.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "anchors")
-    met = stored(runs.join(small(twice, ANCHORS), "anchor"), "met")
+    met = stored(runs.join(twice, "anchor"), "met")
     discard(runs)
     place = F.struct("_d", "_key", "at")
     firsts = stored(met.groupBy("anchor", "context").agg(F.min(F.struct("_d", "_key", "at", "n")).alias("f"), F.count("*").alias("c")), "contexts")
     # Contexts of one anchor that differ may still share windows.
     several = stored(firsts.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "several")
-    edge = firsts.join(small(several, ANCHORS), "anchor").groupBy("f._d", "f._key").agg(F.collect_list(F.struct("anchor", "context", "f.at", "f.n")).alias("runs"))
+    edge = firsts.join(several, "anchor").groupBy("f._d", "f._key").agg(F.collect_list(F.struct("anchor", "context", "f.at", "f.n")).alias("runs"))
     edge = stored(edge, "edges")
-    own = stored(window_hashes(_with(base, small(edge, SMALL, 24 * F.size("runs")))), "windows")
+    own = stored(window_hashes(_with(base, edge)), "windows")
     each = own.select("anchor", "context", "_d", "_key", "at", F.posexplode_outer("hs").alias("o", "h")).withColumn("start", F.col("at") + F.col("o"))
     least = each.groupBy("anchor", "h").agg(F.min(F.struct("_d", "_key", "start")).alias("f"), F.count("*").alias("k")).filter("k > 1").drop("k")
     least = stored(least, "least")
@@ -182,7 +180,7 @@ def substring_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     spans = repeated_spans(docs, doc, text)
     rest = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "spans", "kept")]
     base = docs.select(*rest, F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.coalesce(text, F.lit("")).alias("_t"))
-    out = _with(base, small(spans, SMALL, 16 * F.size("spans")), "left").withColumn("_w", words(F.col("_t")))
+    out = _with(base, spans, "left").withColumn("_w", words(F.col("_t")))
     # What stays lies between the spans; both ends are in order.
     between = lambda w: F.flatten(F.zip_with(
         F.concat(F.array(F.lit(0)), F.transform("spans", lambda x: x["e"])), F.concat(F.transform("spans", lambda x: x["s"]), F.array(F.size(w))), lambda e, s: F.slice(w, e + 1, s - e)))

@@ -8,7 +8,6 @@ import duckdb
 import pytest
 
 from nimbara.llm import line_dedup as L
-from nimbara.llm import substring as S
 from nimbara.llm.decontaminate import OP7_SQL, decontaminate, op7_decontamination
 from nimbara.llm.substring import OP10_SQL, op10_substring_dedup, substring_dedup
 
@@ -53,11 +52,13 @@ def test_decontamination_edges(spark, odd):
     assert sorted(r.doc_id for r in decontaminate(odd, bench).filter("contaminated").collect()) == [4, 5]
 
 
-@pytest.mark.parametrize("anchors", [S.ANCHORS, 5])
-def test_substring_matches_sql(spark, sf, monkeypatch, anchors):
-    monkeypatch.setattr(S, "ANCHORS", anchors)
-    monkeypatch.setattr(S, "SMALL", anchors)
-    got = sorted(map(tuple, op10_substring_dedup(spark, sf).collect()))
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_substring_matches_sql(spark, sf, broadcast):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = sorted(map(tuple, op10_substring_dedup(spark, sf).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == oracle(sf, OP10_SQL, "documents")
 
 
