@@ -31,16 +31,27 @@ def test_token_counts_match_the_library(spark, sf, texts):
     assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(extra)} | {99: 0}
 
 
-def test_token_counts_with_small_tables(monkeypatch):
+@pytest.mark.parametrize("head", [0, 40, 10**6])
+def test_token_counts_with_any_head(spark, sf, texts, monkeypatch, head):
+    """The broadcast part and the shuffled part add up to the same counts; small tables of a worker start anew."""
+    want = {r.doc_id: r.n_tokens for r in token_counts.op9_token_counts(spark, sf).collect()}
+    monkeypatch.setattr(token_counts, "HEAD", head)
+    monkeypatch.setattr(token_counts, "SLICE", 20_000)
+    assert {r.doc_id: r.n_tokens for r in token_counts.op9_token_counts(spark, sf).collect()} == want
+
+
+def test_pieces_of_runs(monkeypatch):
     import public_tokenizers
 
-    monkeypatch.setattr(token_counts, "KEPT", 2)
+    monkeypatch.setattr(token_counts, "KEPT", 1)
     p = token_counts.PieceCounts(public_tokenizers.path("word_bpe_49k.json"))
-    assert [p.document(b"one two three one") for _ in range(3)] == [4, 4, 4]
+    assert [p.run("one-two") for _ in range(3)] == [3, 3, 3] and p.run("a<|endoftext|>b") == 3
 
 
 def test_token_counts_edges(spark, odd):
-    assert token_counts.count_tokens(odd, "word_bpe_49k.json").count() == odd.count()
+    got = token_counts.count_tokens(odd, "word_bpe_49k.json")
+    assert got.columns == [*[c for c in odd.columns if c != "n_tokens"], "n_tokens"] and got.count() == odd.count()
+    assert {r.n_tokens for r in got.filter("doc_id IN (1, 2, 6)").collect()} == {0} and {r.n_tokens for r in got.filter("doc_id IN (4, 5)").collect()} == {3}
     assert token_counts.count_tokens(odd.limit(0), "word_bpe_49k.json").count() == 0
     assert token_counts.count_tokens(odd.select("doc_id", "text"), "piece_bpe_32k.model").filter("text = ''").first().n_tokens == 0
 
