@@ -357,14 +357,39 @@ def test_best_bounds_against_all_choices():
         n, k = rng.randint(1, 8), rng.randint(1, 4)
         lengths, counts = sorted(rng.sample(range(1, 60), n)), [rng.randint(1, 5) for _ in range(n)]
         cost = lambda b: sum(c * (min(x for x in b if x >= v) - v) for v, c in zip(lengths, counts))  # noqa: B023, E731
-        got = packing.best_bounds(np.array(lengths), np.array(counts), np.array([a * b for a, b in zip(lengths, counts)]), k)
+        got = packing.best_bounds(lengths, counts, k)
         want = min(cost({*q, lengths[-1]}) for m in range(min(k, n)) for q in itertools.combinations(lengths[:-1], m))
         assert len(got) <= k and cost(got) == want
 
 
+def slow_bounds(histogram, buckets):
+    """Least padding by trying every first class of every last bucket."""
+    lengths, counts = zip(*histogram)
+    docs = np.concatenate([[0], np.cumsum(counts)])
+    best, froms = docs[1:] * np.array(lengths), []
+    for _ in range(1, min(buckets, len(lengths))):
+        before, now, back = np.concatenate([[0], best[:-1]]), best.copy(), []
+        for j in range(len(lengths)):
+            cost = before[: j + 1] + (docs[j + 1] - docs[: j + 1]) * lengths[j]
+            back.append(int(np.argmin(cost)))
+            now[j] = cost[back[-1]]
+        best = now
+        froms.append(back)
+    out, j = [], len(lengths) - 1
+    for back in [*reversed(froms), [0] * len(lengths)]:
+        out.append(lengths[j])
+        j = back[j] - 1
+        if j < 0:
+            break
+    return out[::-1]
+
+
 def test_packing_batches(spark, sf, texts):
     rows = packing.op3_packing(spark, sf).collect()
-    assert {r.doc_id: r.length for r in rows} == {d: len(WORD.findall(t or "")) for d, t in texts}
+    assert {r.doc_id: r.length for r in rows} == {r.doc_id: r.n_tokens for r in token_counts.op9_token_counts(spark, sf).collect()}
+    assert {r.padded for r in rows} == {max(r.length for r in rows if r.bucket == b) for b in {r.bucket for r in rows}}
+    histogram = sorted(Counter(r.length for r in rows).items())
+    assert sorted({r.padded for r in rows}) == slow_bounds(histogram, packing.BUCKETS)
     batches = defaultdict(list)
     for r in rows:
         assert r.length <= r.padded
