@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -45,52 +46,192 @@ def greedy_clusters(df: DataFrame, region: str, metres: float) -> DataFrame:
     return df.groupBy(region).applyInPandas(run, schema)
 
 
+#: Published constants of the layer model (Winkler, Schellander and Gruber, 2021; Alpine calibration).
+#: Greatest and new-snow density (kg m-3), overburden factors, viscosity exponent
+#: (m3 kg-1), tolerance (m), viscosity of no snow (Pa s), gravity (m s-2).
+RHO_MAX, RHO_NEW = 401.2588, 81.19417
+C_OVER, K_OVER = 0.0005104722, 0.37856737
+K_VISCOUS, TOLERANCE, ETA_NULL, GRAVITY = 0.02993175, 0.02362476, 8523356.0, 9.81
+THIN = 1e-10  #: depths and masses below it are none
+
+
+class Snowpack:
+    """Layers of a snowpack, lowest first: thickness ``h`` (m) and mass ``m`` (mm water)."""
+
+    def __init__(self, h=(), m=()):
+        self.h, self.m = np.array(h, float), np.array(m, float)
+
+    def density(self) -> np.ndarray:
+        return np.divide(self.m, self.h, out=np.zeros_like(self.m), where=self.h > THIN)
+
+    def settled(self, seconds: float) -> "Snowpack":
+        """After a step of Newtonian settling under the own and higher layers' weight."""
+        weight = GRAVITY * np.cumsum(self.m[::-1])[::-1]
+        strain = seconds * weight / (ETA_NULL * np.exp(K_VISCOUS * self.density()))
+        h = np.where(self.h > THIN, np.maximum(self.h / (1 + strain), self.m / RHO_MAX), 0.0)
+        return Snowpack(h, self.m)
+
+    def snowed(self, depth: float) -> "Snowpack":
+        """With a layer of new snow up to ``depth``; its load strains the layers below at once."""
+        rho = self.density()
+        load = (depth - self.h.sum()) * RHO_NEW * GRAVITY
+        strain = C_OVER * load * np.exp(-K_OVER * rho / np.maximum(RHO_MAX - rho, THIN))
+        h = self.h * (1 - np.clip(strain, 0.0, 0.95))
+        fresh = max(depth - h.sum(), 0.0)
+        return Snowpack([*h, fresh], [*self.m, fresh * RHO_NEW])
+
+    def scaled(self, share: float) -> "Snowpack":
+        """Thinned to ``share``; mass beyond the greatest density moves to lighter layers from the top, the rest runs off."""
+        h = self.h * min(1.0, share)
+        full = self.m - h * RHO_MAX > THIN * np.maximum(h, THIN)
+        m = np.where(full, h * RHO_MAX, self.m)
+        over = self.m.sum() - m.sum()
+        room = np.where(full, 0.0, np.maximum(h * RHO_MAX - m, 0.0))[::-1]
+        taken = np.clip(over - (np.cumsum(room) - room), 0.0, room)
+        return Snowpack(h, m + taken[::-1])
+
+    def drenched(self, depth: float) -> "Snowpack":
+        """Pressed to ``depth``: layers reach the greatest density from the top down; if all have, water runs off."""
+        least = self.m / RHO_MAX
+        # Total depth once the top 1, 2, ... layers are as dense as can be.
+        after = self.h.sum() - np.cumsum((self.h - least)[::-1])
+        reached = np.flatnonzero(after - depth < THIN)
+        n, h = len(self.h), self.h.copy()
+        if len(reached):
+            top = n - 1 - int(reached[0])
+            h[top + 1 :] = least[top + 1 :]
+            h[top] = least[top] + abs(after[reached[0]] - depth)
+        else:
+            h = least
+        new = Snowpack(h, self.m)
+        if (RHO_MAX - new.density() <= THIN).all() and h.sum() > THIN:
+            share = depth / h.sum()
+            return Snowpack(h * share, self.m * share)
+        return new
+
+
 def snow_water(depth: np.ndarray, hours: float = 24.0) -> np.ndarray:
-    """Snow water equivalent (mm) from a depth series (m) by a multilayer densification model.
+    """Snow water equivalent (mm) from a gapless depth series (m) by a multilayer densification model.
 
-    Every step the dry layers settle under their load by Newtonian viscosity; a
-    rise beyond a tolerance adds a layer of new snow, a small difference scales
-    the pack's density, and a fall compresses the layers towards a greatest
-    density, beyond which water runs off.
+    Overnight the layers settle.  A rise beyond the tolerance is new snow, a
+    change within it rescales the settling, a fall beyond it drenches the pack.
     """
-    new, top, tau, c, eta0, k = 81.19, 401.2588, 0.02362476, 0.05, 8.5e6, 0.02998
-    g, dt = 9.81, hours * 3600.0
-    h, m = np.zeros(0), np.zeros(0)
+    depth = np.maximum(np.nan_to_num(np.asarray(depth, float)), 0.0)
     out = np.zeros(len(depth))
+    pack, before = Snowpack(), 0.0
     for i, d in enumerate(depth):
-        if not d > 0:
-            h = m = np.zeros(0)
-            continue
-        if len(h):
-            load = (np.cumsum(m[::-1])[::-1] - m / 2) * g
-            rho = m / h
-            h = np.maximum(m / top, h / (1 + load * dt / (eta0 * np.exp(k * rho))))
-        gap = d - h.sum()
-        if gap > tau or not len(h):
-            h, m = np.append(h, gap if len(h) else d), np.append(m, (gap if len(h) else d) * new)
-        elif abs(gap) <= tau:
-            rho = np.minimum(top, m.sum() / d) if d > 0 else new
-            m = m * min(1.0 + c, rho * d / m.sum()) if m.sum() else m
-            h = h * d / h.sum()
+        if d <= THIN:
+            pack = Snowpack()
+        elif before <= THIN:
+            pack = Snowpack([d], [d * RHO_NEW])
         else:
-            h = h * d / h.sum()
-            m = np.minimum(m, h * top)  # denser is water that runs off
-        out[i] = m.sum()
+            night = pack.settled(hours * 3600.0)
+            rise = d - night.h.sum()
+            pack = night.snowed(d) if rise > TOLERANCE else pack.scaled(d / before) if rise >= -TOLERANCE else night.drenched(d)
+        out[i], before = pack.m.sum(), d
     return out
 
 
+def daily_snow_water(depth: np.ndarray, gap: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Water equivalent (mm) and density (kg m-3) of a daily depth series (m) with missing days.
+
+    Gaps of up to ``gap`` days are filled linearly; after longer ones the model
+    starts anew.  Density needs an observed centimetre of snow.
+    """
+    depth = np.asarray(depth, float)
+    swe, rho = np.full(len(depth), np.nan), np.full(len(depth), np.nan)
+    known = np.flatnonzero(np.isfinite(depth))
+    if not len(known):
+        return swe, rho
+    days = np.arange(known[0], known[-1] + 1)
+    filled = np.interp(days, known, depth[known])
+    after = np.searchsorted(known, days)  # the next known day
+    wide = (known[after] != days) & (known[after] - known[np.maximum(after - 1, 0)] - 1 > gap)
+    for run in np.split(np.flatnonzero(~wide), np.flatnonzero(np.diff(np.flatnonzero(~wide)) > 1) + 1):
+        swe[days[run]] = snow_water(np.concatenate([[0.0], filled[run]]))[1:]
+        thick = filled[run] >= 0.01
+        rho[days[run][thick]] = swe[days[run][thick]] / filled[run][thick]
+    rho[np.isfinite(depth) & (depth < 0.01)] = np.nan
+    return swe, rho
+
+
 def swe_series(df: DataFrame, key: str, at: str) -> DataFrame:
-    """key, ``at`` and swe of every row with a depth, per series in order."""
-    schema = f"{key} long, {at} long, depth double, swe double"
+    """key, ``at`` (a day), depth, swe and density of every row, per series; null depths are missing days."""
+    schema = f"{key} long, {at} long, depth double, swe double, density double"
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(at)
-        d = g["depth"].to_numpy(float)
-        return pd.DataFrame({key: g[key].to_numpy(), at: g[at].to_numpy(), "depth": d, "swe": snow_water(d)})
+        day, d = g[at].to_numpy(), g["depth"].to_numpy(float)
+        every = np.full(day[-1] - day[0] + 1, np.nan)
+        every[day - day[0]] = d
+        swe, rho = daily_snow_water(every)
+        return pd.DataFrame({key: g[key].to_numpy(), at: day, "depth": d, "swe": swe[day - day[0]], "density": rho[day - day[0]]})
 
     return df.select(key, at, "depth").groupBy(key).applyInPandas(run, schema)
 
 
+# --- nearest neighbours ------------------------------------------------------
+
+
+def nearest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, other row, distance and rank (from 1) of the ``k`` nearest other points; ties by id.
+
+    Points are taken in order of x, so a block of rows needs only a strip of
+    the others; the strip grows until no point outside it can be nearer.
+    Distances count to six decimals.
+    """
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    x, y, ids = x[order], y[order], ids[order]
+    rows, others, dists, ranks = [], [], [], []
+    for lo in range(0, n, block):
+        hi, reach = min(lo + block, n), max(block, 4 * k)
+        while True:
+            a, b = max(0, lo - reach), min(n, hi + reach)
+            d = np.sqrt((x[lo:hi, None] - x[None, a:b]) ** 2 + (y[lo:hi, None] - y[None, a:b]) ** 2)
+            r = np.round(d, 6)
+            r[np.arange(hi - lo), np.arange(lo - a, hi - a)] = np.inf
+            m = min(k, b - a - 1)
+            if m < 1:
+                break
+            far = np.partition(r, m - 1, axis=1)[:, m - 1]
+            edge = np.minimum(x[lo:hi] - x[a] if a else np.inf, x[b - 1] - x[lo:hi] if b < n else np.inf)
+            if (a == 0 and b == n) or (m == k and (far < np.round(edge, 6)).all()):
+                break
+            reach *= 2
+        if m < 1:
+            continue
+        i, j = np.nonzero(r <= far[:, None])
+        by = np.lexsort((ids[a + j], r[i, j], i))
+        i, j = i[by], j[by]
+        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+        keep = (rank <= k) & np.isfinite(r[i, j])
+        rows.append(order[lo + i[keep]])
+        others.append(order[a + j[keep]])
+        dists.append(d[i[keep], j[keep]])
+        ranks.append(rank[keep])
+    if not rows:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+    return np.concatenate(rows), np.concatenate(others), np.concatenate(dists), np.concatenate(ranks)
+
+
+def neighbours_by_time(df: DataFrame, time: str, k: int) -> DataFrame:
+    """time, station, value, z, other, u (the other's value), dxy, dz (z / 1000) and rank of the k nearest stations of the same time.
+
+    df: time, station, value, x, y, z.  A time has one row a station, so a group is as large as the network.
+    """
+
+    def run(g: pa.Table) -> pa.Table:
+        x, y, z, value, ids = (g.column(c).to_numpy() for c in ("x", "y", "z", "value", "station"))
+        i, j, d, rank = nearest(x, y, ids, k)
+        cols = {time: g.column(time).take(pa.array(i)), "station": ids[i], "value": value[i], "z": z[i], "other": ids[j], "u": value[j], "dxy": d, "dz": np.abs(z[i] - z[j]) / 1000, "rank": rank.astype(np.int32)}
+        return pa.table(cols)
+
+    kind = df.schema[time].dataType.simpleString()
+    return df.select(time, "station", "value", "x", "y", "z").groupBy(time).applyInArrow(
+        run, f"{time} {kind}, station long, value double, z double, other long, u double, dxy double, dz double, rank int")
+
+
 # --- kriging -----------------------------------------------------------------
 
 
@@ -119,21 +260,8 @@ def fit_variogram(x: np.ndarray, v: np.ndarray, kind: str = "exponential", bins:
         return 0.0, max(float(np.var(v)), 1e-9), 1.0
     edge = np.minimum((d / d.max() * bins).astype(int), bins - 1)
     n = np.bincount(edge, minlength=bins)
-    ok = n >= 5
-    if ok.sum() < 2:
-        return 0.0, max(float(np.var(v)), 1e-9), float(d.max())
-    h = (np.bincount(edge, d, bins) / np.maximum(n, 1))[ok]
-    y = (np.bincount(edge, half, bins) / np.maximum(n, 1))[ok]
-    w = n[ok] / np.maximum(h, 1e-9) ** 2
-    best = None
-    for reach in np.geomspace(h.min() / 2 + 1e-9, h.max() * 2, 24):
-        a = np.stack([np.ones_like(h), 1 - covariance(kind, h, 1.0, reach)], 1)
-        s = np.sqrt(w)[:, None]
-        c = np.maximum(np.linalg.lstsq(a * s, y * s[:, 0], rcond=None)[0], 0.0)
-        e = float((w * (a @ c - y) ** 2).sum())
-        if best is None or e < best[0]:
-            best = (e, float(c[0]), max(float(c[1]), 1e-9), float(reach))
-    return best[1:]
+    each = np.maximum(n, 1)
+    return fit_bins(n, np.bincount(edge, d, bins) / each, np.bincount(edge, half, bins) / each, kind) or (0.0, max(float(np.var(v)), 1e-9), float(d.max()))
 
 
 def ordinary_kriging(x: np.ndarray, v: np.ndarray, at: np.ndarray, model: tuple[float, float, float], kind: str = "exponential", k: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -154,27 +282,89 @@ def ordinary_kriging(x: np.ndarray, v: np.ndarray, at: np.ndarray, model: tuple[
     return out, var
 
 
+class PairSums:
+    """Binned sums over station pairs, from which any station can be taken out again.
+
+    With station i left out of a least-squares trend, the residual of j becomes
+    e_j + s_i * (t_j . w_i), where s_i = e_i / (1 - h_ii), w_i is the trend's
+    inverse times t_i.  Semivariances of such residuals are quadratic in w_i,
+    so their sums over all pairs follow from three sums a bin; the pairs of i
+    itself are then subtracted.
+    """
+
+    def __init__(self, x: np.ndarray, t: np.ndarray, e: np.ndarray, bins: int = 12):
+        self.t, self.e, self.bins = t, e, bins
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        i, j = np.triu_indices(len(x), 1)
+        far = np.quantile(d[i, j], 0.75)
+        self.far = float(d[i, j][d[i, j] <= far].max())
+        edge = np.minimum((d / max(self.far, 1e-9) * bins).astype(int), bins - 1)
+        edge[d > far] = bins  # beyond: not counted
+        np.fill_diagonal(edge, bins)
+        self.d, self.edge = d, edge
+        of = edge[i, j]
+        de, dt = e[i] - e[j], t[i] - t[j]
+        sums = lambda v: np.bincount(of, v, bins + 1)[:bins]
+        self.n, self.h, self.ee = sums(np.ones(len(of))), sums(d[i, j]), sums(de**2)
+        p = t.shape[1]
+        self.et = np.stack([sums(de * dt[:, a]) for a in range(p)], 1)
+        self.tt = np.stack([np.stack([sums(dt[:, a] * dt[:, b]) for b in range(p)], 1) for a in range(p)], 1)
+
+    def without(self, i: int, s: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, mean distance and mean semivariance of each bin over all stations but ``i``."""
+        r = self.e + s * (self.t @ w)
+        own = self.edge[i]
+        sums = lambda v: np.bincount(own, v, self.bins + 1)[: self.bins]
+        n = self.n - sums(np.ones(len(own)))
+        square = self.ee + 2 * s * (self.et @ w) + s * s * np.einsum("bij,i,j->b", self.tt, w, w) - sums((r[i] - r) ** 2)
+        return n, (self.h - sums(self.d[i])) / np.maximum(n, 1), 0.5 * np.maximum(square, 0.0) / np.maximum(n, 1)
+
+
+def fit_bins(n: np.ndarray, h: np.ndarray, y: np.ndarray, kind: str, least: int = 5, steps: int = 24) -> tuple[float, float, float] | None:
+    """nugget, sill and reach of binned semivariances by weighted least squares over a grid of reaches; None if bins are too few."""
+    ok = n >= least
+    if ok.sum() < 2:
+        return None
+    n, h, y = n[ok], h[ok], y[ok]
+    w = n / np.maximum(h, 1e-9) ** 2
+    reach = np.geomspace(h.min() / 2 + 1e-9, h.max() * 2, steps)
+    f = np.stack([1 - covariance(kind, h, 1.0, q) for q in reach])  # steps x bins
+    s0, sf, sff, sy, sfy = w.sum(), f @ w, (f**2) @ w, (w * y).sum(), f @ (w * y)
+    det = s0 * sff - sf**2
+    sill = np.maximum(np.where(det > 1e-12, (s0 * sfy - sf * sy) / np.where(det > 1e-12, det, 1.0), 0.0), 0.0)
+    nugget = np.maximum(np.where(det > 1e-12, (sff * sy - sf * sfy) / np.where(det > 1e-12, det, 1.0), sy / s0), 0.0)
+    error = (w * (nugget[:, None] + sill[:, None] * f - y) ** 2).sum(1)
+    best = int(np.argmin(error))
+    return float(nugget[best]), max(float(sill[best]), 1e-9), float(reach[best])
+
+
 def regression_kriging(df: DataFrame, time: str, target: str, trend: list[str], kind: str = "exponential") -> DataFrame:
     """Leave-one-out regression kriging of every time: time, station, observed, predicted.
 
     Trend: least squares on ``trend``; residuals: ordinary kriging in x, y.
+    Trend and variogram are those of the other stations; only the bins' edges
+    come from all places.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("station")
         y, x = g[target].to_numpy(float), g[["x", "y"]].to_numpy(float)
-        pred = np.full(len(g), np.nan)
-        if len(g) >= len(trend) + 4:
-            t = np.column_stack([np.ones(len(g)), g[trend].to_numpy(float)])
-            scale = np.maximum(np.abs(t).max(0), 1e-9)
-            all_ = y - t / scale @ np.linalg.lstsq(t / scale, y, rcond=None)[0]
-            model = fit_variogram(x, all_, kind)  # one model a time
-            for i in range(len(g)):
-                m = np.arange(len(g)) != i
-                beta = np.linalg.lstsq(t[m] / scale, y[m], rcond=None)[0]
-                res = y[m] - t[m] / scale @ beta
-                z, _ = ordinary_kriging(x[m], res, x[i : i + 1], model, kind)
-                pred[i] = t[i] / scale @ beta + z[0]
+        n, pred = len(g), np.full(len(g), np.nan)
+        if n >= len(trend) + 4:
+            t = np.column_stack([np.ones(n), g[trend].to_numpy(float)])
+            t = t / np.maximum(np.abs(t).max(0), 1e-9)
+            inverse = np.linalg.pinv(t.T @ t)
+            lever = t @ inverse  # rows: w_i
+            e = y - t @ (inverse @ (t.T @ y))
+            own = np.maximum(1 - (lever * t).sum(1), 1e-9)
+            pairs = PairSums(x, t, e)
+            for i in range(n):
+                s = e[i] / own[i]
+                others = np.arange(n) != i
+                res = (e + s * (t @ lever[i]))[others]
+                model = fit_bins(*pairs.without(i, s, lever[i]), kind) or (0.0, max(float(np.var(res)), 1e-9), max(pairs.far, 1.0))
+                z, _ = ordinary_kriging(x[others], res, x[i : i + 1], model, kind)
+                pred[i] = y[i] - s + z[0]  # y_i - s_i is the others' trend at i
         return pd.DataFrame({time: g[time].to_numpy(), "station": g["station"].to_numpy(), "observed": y, "predicted": pred})
 
     return df.groupBy(time).applyInPandas(run, f"{time} long, station long, observed double, predicted double")

@@ -21,16 +21,12 @@ FIELD = f"""{DAILY}, {STATIONS}, f AS (SELECT d.station, d.day, d.value, (s.lon
 def field(spark, sf):
     s = stations(spark, sf).select("station", ((F.col("lon") - 9) * 76).alias("x"), ((F.col("lat") - 46) * 111).alias("y"), F.col("elev").cast("double").alias("z"))
     d = daily(spark, sf).filter((F.col("variable") == "view") & F.col("value").isNotNull()).select("station", "day", "value")
-    return d.join(F.broadcast(s), "station")
+    return d.join(s, "station")
 
 
-def neighbours(f, k: int, fixed: str = "day"):
-    """k nearest other stations of the same time: station, day, value, u (neighbour's value), dxy, dz, rank."""
-    g = f.select(F.col("station").alias("other"), fixed, F.col("value").alias("u"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))
-    dxy = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0))
-    pairs = f.join(g, fixed).filter(F.col("station") != F.col("other")).withColumn("dxy", dxy).withColumn("dz", F.abs(F.col("z") - F.col("z2")) / 1000)
-    w = Window.partitionBy(fixed, "station").orderBy(F.round("dxy", 6), "other")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def neighbours(f, k: int):
+    """k nearest other stations of the same day: station, day, value, z, other, u (its value), dxy, dz, rank."""
+    return K.neighbours_by_time(f, "day", k)
 
 
 _N = """n AS (SELECT a.station, a.day, a.value, a.z, b.station AS other, b.value AS u, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS dxy, abs(a.z - b.z) / 1000 AS dz, row_number() OVER (PARTITION BY a.day, a.station ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6), b.station) AS rank FROM f a JOIN f b ON a.day = b.day AND a.station <> b.station)"""
@@ -91,7 +87,7 @@ def baselines(spark, sf):
     """Plain weighting of twelve neighbours, and the mean."""
     f = field(spark, sf)
     m = f.groupBy("day").agg(F.avg("value").alias("m"))
-    n = neighbours(f, 12).withColumn("w", F.pow(F.greatest("dxy", F.lit(0.001)), -2.0)).join(F.broadcast(m), "day")
+    n = neighbours(f, 12).withColumn("w", F.pow(F.greatest("dxy", F.lit(0.001)), -2.0)).join(m, "day")
     return n.groupBy("station", "day").agg(r(F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("plain"), r(F.max("m")).alias("mean_baseline"))
 
 
@@ -182,8 +178,8 @@ def graph_messages(spark, sf):
 @query()
 def snow_water_equivalent(spark, sf):
     """Water equivalent of daily depths by a layer model."""
-    d = daily(spark, sf).filter(F.col("variable") == "view").select("station", "day", (F.coalesce("value", F.lit(0.0)) / 100).alias("depth"))
-    return K.swe_series(d, "station", "day").select("station", "day", r("depth").alias("depth"), r("swe").alias("swe"))
+    d = daily(spark, sf).filter(F.col("variable") == "view").select("station", "day", (F.col("value") / 100).alias("depth"))
+    return K.swe_series(d, "station", "day").select("station", "day", r("depth").alias("depth"), r("swe").alias("swe"), r("density").alias("density"))
 
 
 @query(f"""WITH {SLOTS}, p AS (SELECT station, slot, value, sum(value) OVER (PARTITION BY station ORDER BY slot RANGE BETWEEN 11 PRECEDING AND CURRENT ROW) AS p6 FROM slots), e AS (SELECT b.station, b.slot, b.value - a.value AS hn, b.p6 FROM p a JOIN p b ON a.station = b.station AND b.slot = a.slot + 12)

@@ -47,10 +47,66 @@ def test_profile_is_robust():
 def test_snow_water():
     d = np.array([0, 0.3, 0.5, 0.5, 0.45, 0.2, 0.0, 0.1])
     s = K.snow_water(d)
-    assert s[0] == 0 and s[6] == 0 and (s[1:6] > 0).all() and s[2] > s[1] and abs(s[7] - 8.119) < 1e-6
+    assert s[0] == 0 and s[6] == 0 and (s[1:6] > 0).all() and s[2] > s[1] and abs(s[7] - 8.119417) < 1e-6
     assert (s[1:6] / d[1:6] <= 402).all()
 
 
+def test_snow_water_by_hand():
+    """Two days worked out by hand: settling, then a layer of new snow with its load."""
+    m0 = 0.3 * 81.19417
+    assert abs(K.snow_water(np.array([0, 0.3]))[1] - m0) < 1e-9
+    h = 0.3 / (1 + m0 * 9.81 * 86400 / (8523356.0 * np.exp(0.02993175 * 81.19417)))
+    # A change within the tolerance keeps the mass.
+    assert abs(K.snow_water(np.array([0, 0.3, h + 0.02]))[2] - m0) < 1e-9
+    load = (0.5 - h) * 81.19417 * 9.81
+    rho = m0 / h
+    h *= 1 - 0.0005104722 * load * np.exp(-0.37856737 * rho / (401.2588 - rho))
+    assert abs(K.snow_water(np.array([0, 0.3, 0.5]))[2] - (m0 + (0.5 - h) * 81.19417)) < 1e-9
+    # A fall drenches: layers reach the greatest density from the top, the rest runs off.
+    assert abs(K.snow_water(np.array([0, 0.3, 0.01]))[2] - 4.012588) < 1e-6
+
+
+def test_snow_water_gaps():
+    nan = np.nan
+    swe, rho = K.daily_snow_water(np.array([0.3, nan, 0.5, nan, nan, nan, nan, 0.2, 0.005]))
+    whole = K.snow_water(np.array([0, 0.3, 0.4, 0.5]))[1:]
+    assert np.allclose(swe[:3], whole) and np.isnan(swe[3:7]).all()
+    assert np.isclose(swe[7], 0.2 * 81.19417) and np.isnan(rho[8]) and np.isclose(rho[0], 81.19417)
+    assert np.isnan(K.daily_snow_water(np.full(3, nan))[0]).all()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 300, 900])
+def test_nearest_matches_brute_force(n):
+    g = np.random.default_rng(n)
+    x, y, ids = np.round(g.uniform(0, 50, n), 1), np.round(g.uniform(0, 50, n), 1), g.permutation(n)
+    got = {}
+    for a, b, d, rank in zip(*K.nearest(x, y, ids, 8, block=64)):
+        got.setdefault(a, []).append((rank, b))
+    for a in range(n):
+        d = np.round(np.hypot(x - x[a], y - y[a]), 6)
+        assert [b for _, b in sorted(got.get(a, []))] == [b for b in sorted(range(n), key=lambda b: (d[b], ids[b])) if b != a][:8]
+
+
+def test_pair_sums_leave_a_station_out():
+    g = np.random.default_rng(0)
+    n = 40
+    x = g.uniform(0, 100, (n, 2))
+    t = np.column_stack([np.ones(n), x / 100, g.uniform(0, 1, n)])
+    y = g.normal(size=n) + 3 * t[:, 1]
+    inverse = np.linalg.pinv(t.T @ t)
+    lever = t @ inverse
+    e = y - t @ (inverse @ (t.T @ y))
+    pairs = K.PairSums(x, t, e)
+    for i in range(n):
+        m = np.arange(n) != i
+        res = y[m] - t[m] @ np.linalg.lstsq(t[m], y[m], rcond=None)[0]
+        a, b = np.triu_indices(n - 1, 1)
+        edge = pairs.edge[m][:, m][a, b]
+        counts, h, v = pairs.without(i, e[i] / (1 - lever[i] @ t[i]), lever[i])
+        assert np.allclose(counts, np.bincount(edge, minlength=13)[:12])
+        assert np.allclose(v * np.maximum(counts, 1), np.bincount(edge, 0.5 * (res[a] - res[b]) ** 2, 13)[:12])
+
+
 def test_sinks_and_basins():
     z = np.array([[5, 5, 5, 5], [5, 1, 2, 4], [5, 5, 5, 5], [5, 5, 5, 5]], float)
     f = K.fill_sinks(z)
