@@ -79,13 +79,84 @@ def tukey(df: DataFrame, keys: list[str], by: list[str], half: int, factor: floa
     return df.withColumn("outlier", F.coalesce(ok & far, F.lit(False)))
 
 
-def mad_replace(df: DataFrame, keys: list[str], by: list[str], back: int, factor: float) -> DataFrame:
-    """Values further than ``factor`` median absolute deviations from the trailing median become that median."""
-    w = order(keys, by).rowsBetween(-back + 1, 0)
-    one = df.withColumn("med", F.percentile("value", 0.5).over(w)).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    two = one.withColumn("mad", F.percentile("dev", 0.5).over(w))
-    hit = F.coalesce((F.col("mad") > 0) & (F.col("dev") > factor * F.col("mad")), F.lit(False))
-    return two.withColumn("replaced", hit).withColumn("clean", F.when(hit, F.col("med")).otherwise(F.col("value")))
+def mad_spikes(df: DataFrame, keys: list[str], by: list[str], sec: str, size: int = 12, factor: float = 4.0, most: float = 25.0, least: int = 3) -> DataFrame:
+    """med (centred rolling median) and spike: more than ``factor`` rolling median deviations off, or a change of more than ``most`` an hour.
+
+    A window of even ``size`` reaches one row further back than ahead and needs
+    ``least`` values.
+    """
+    w, o = order(keys, by).rowsBetween(-(size // 2), (size - 1) // 2), order(keys, by)
+    rolled = lambda c: F.when(F.count(c).over(w) >= least, F.percentile(c, 0.5).over(w))
+    out = df.withColumn("med", rolled("value")).withColumn("_dev", F.abs(F.col("value") - F.col("med")))
+    out = out.withColumn("_mad", rolled("_dev"))
+    step, hours = F.abs(F.col("value") - F.lag("value").over(o)), (F.col(sec) - F.lag(sec).over(o)) / 3600.0
+    off = F.coalesce(F.col("_dev") > factor * F.col("_mad"), F.lit(False))
+    return out.withColumn("spike", off | F.coalesce(step > most * hours, F.lit(False))).drop("_dev", "_mad")
+
+
+def long_runs(df: DataFrame, keys: list[str], by: list[str], sec: str, flag: str, hours: float) -> DataFrame:
+    """``flag`` only where its run of consecutive rows spans ``hours`` or more."""
+    w = order(keys, by)
+    turn = F.when(F.coalesce(F.col(flag) != F.lag(flag).over(w), F.lit(True)), 1).otherwise(0)
+    own = Window.partitionBy(*keys, "_run")
+    span = (F.max(sec).over(own) - F.min(sec).over(own)) / 3600.0
+    out = df.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(w))
+    return out.withColumn(flag, F.col(flag) & (span >= hours)).drop("_turn", "_run")
+
+
+def behavioural(df: DataFrame, keys: list[str], by: list[str], sec: str) -> DataFrame:
+    """clean: spikes become the rolling median; long plateaus, long noise and isolated steps of a thin pack become 0.
+
+    Plateau: deviation of 36 rows under 1.2 between 2 and 25, for 18 hours.
+    Noise: deviation of 24 rows above 4 under 15, for 8 hours.  Step: a change
+    above 8 under 15.  Negative values become 0.
+    """
+    w = order(keys, by)
+
+    def spread(rows: int) -> Column:
+        back = w.rowsBetween(-rows + 1, 0)
+        return F.when(F.count("clean").over(back) >= rows, F.stddev_samp("clean").over(back))
+
+    zero = lambda d, hit: d.withColumn("clean", F.when(hit, 0.0).otherwise(F.col("clean")))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    out = mad_spikes(df, keys, by, sec, least=12).withColumn("clean", F.when(F.col("spike"), F.col("med")).otherwise(F.col("value")))
+    out = out.withColumn("_f", flag((spread(36) < 1.2) & (F.col("clean") > 2) & (F.col("clean") < 25)))
+    out = zero(long_runs(out, keys, by, sec, "_f", 18.0), F.col("_f"))
+    out = out.withColumn("_f", flag((spread(24) > 4.0) & (F.col("clean") < 15)))
+    out = zero(long_runs(out, keys, by, sec, "_f", 8.0), F.col("_f"))
+    step = flag((F.abs(F.col("clean") - F.lag("clean").over(w)) > 8) & (F.col("clean") < 15))
+    out = zero(out.withColumn("_f", step), F.col("_f")).drop("_f", "med")
+    return out.withColumn("clean", F.when(F.col("clean") < 0, 0.0).otherwise(F.col("clean")))
+
+
+def snow_days(df: DataFrame, key: str, low: float = 20.0) -> DataFrame:
+    """snow_day of daily rows (key, date, value, ta, judged): whether snow may lie.
+
+    Of a judged series, each year with 20 days before November and a peak in
+    January to March has a season end: the first day under ``low`` after the
+    peak, moved on by the days that the fall from the peak needs for 18 more;
+    20 July without such a fall; 31 October at the latest.  From there (from 1
+    April) to 31 October no snow lies; in September and October it does if the
+    air is below zero and the depth above that of three rows before.
+    """
+    day, year, month = F.col("date"), F.year("date"), F.month("date")
+    on = lambda m, d: F.make_date(F.col("_y"), F.lit(m), F.lit(d))
+    rows = df.withColumn("_y", year).withColumn("_before", F.lag("value", 3).over(Window.partitionBy(key).orderBy("date")))
+    early = month <= 10
+    peaks = rows.filter(early & F.col("judged")).groupBy(key, "_y").agg(F.count("*").alias("n"), F.min_by("date", F.when((month <= 3) & F.col("value").isNotNull(), F.struct(-F.col("value"), day))).alias("peak"), F.max(F.when(month <= 3, F.col("value"))).alias("top"))
+    peaks = peaks.filter((F.col("n") >= 20) & F.col("top").isNotNull())
+    after = rows.filter(early & (F.col("value") < low)).select(key, "_y", "date", "value").join(peaks, [key, "_y"]).filter(day >= F.col("peak"))
+    first = after.groupBy(key, "_y").agg(F.min("date").alias("at"), F.min_by("value", "date").alias("then"))
+    ends = peaks.join(first, [key, "_y"], "left")
+    days = F.date_diff("at", "peak")
+    more = F.floor(F.abs(18.0 / ((F.col("then") - F.col("top")) / days))).cast("int")
+    fall = F.coalesce((days > 3) & (F.col("top") > F.col("then")), F.lit(False))
+    end = F.least(F.when(fall, F.date_add("at", more)).otherwise(on(7, 20)), on(10, 31))
+    out = rows.join(ends.withColumn("end", end).select(key, "_y", "end"), [key, "_y"], "left")
+    bare = (day >= F.greatest("end", on(4, 1))) & (day <= on(10, 31))
+    autumn = month.isin(9, 10) & F.col("end").isNotNull()
+    fresh = F.coalesce((F.col("ta") < 0) & (F.col("value") > F.col("_before")), F.lit(False))
+    return out.withColumn("snow_day", F.when(autumn, fresh).otherwise(~F.coalesce(bare, F.lit(False)))).drop("_y", "_before", "end")
 
 
 def periods(df: DataFrame, keys: list[str], sec: str, gap: int) -> DataFrame:

@@ -12,21 +12,21 @@ W = "(PARTITION BY station ORDER BY sec, event_id)"
 BY = ["sec", "event_id"]
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(substr(text, 1, 80)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^a-z0-9]+', '_', 'g'), '_+', '_', 'g'), '_') AS name FROM documents""")
 def safe_name(spark, sf):
     """Folded names of letters, digits and single underscores."""
-    t = F.lower(F.substring("text", 1, 80))
+    t = F.lower("text")
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         t = F.replace(t, F.lit(a), F.lit(b))
     s = F.regexp_replace(F.regexp_replace(t, "[^a-z0-9]+", "_"), "_+", "_")
     return read(spark, sf, "documents").select("doc_id", F.regexp_replace(s, "^_+|_+$", "").alias("name"))
 
 
-@query("""WITH k AS (SELECT doc_id, md5(substr(text, 1, 20000)) AS h FROM documents) SELECT h AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM k GROUP BY h""")
+@query("""WITH k AS (SELECT doc_id, source, md5(text) AS h FROM documents) SELECT source AS name, h AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM k GROUP BY ALL""")
 def hash_dedupe(spark, sf):
-    """One row per digest of the first 20,000 characters."""
-    d = read(spark, sf, "documents").select("doc_id", F.md5(F.substring("text", 1, 20000)).alias("digest"))
-    return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    """One row per name and digest of the whole content."""
+    d = read(spark, sf, "documents").select("doc_id", F.col("source").alias("name"), F.md5("text").alias("digest"))
+    return d.groupBy("name", "digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 @query("""SELECT p_partkey, TRY_CAST(split_part(p_brand, '#', 2) AS DOUBLE) AS brand_number, TRY_CAST(p_type AS DOUBLE) AS not_a_number FROM part""")
@@ -224,13 +224,23 @@ def tukey_despike(spark, sf):
     return Q.tukey(obs(spark, sf), ["station"], BY, 5, 1.8, 5).select("event_id", "outlier")
 
 
-@query(f"""WITH {OBS}, a AS (SELECT *, quantile_cont(value, 0.5) OVER w AS med FROM obs WHERE value IS NOT NULL WINDOW w AS (PARTITION BY station ORDER BY sec, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)),
-b AS (SELECT *, abs(value - med) AS dev FROM a), c AS (SELECT *, quantile_cont(dev, 0.5) OVER (PARTITION BY station ORDER BY sec, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS mad FROM b)
-SELECT event_id, coalesce(mad > 0 AND dev > 4 * mad, false) AS replaced, round(CASE WHEN coalesce(mad > 0 AND dev > 4 * mad, false) THEN med ELSE value END, 4) + 0.0 AS clean FROM c""")
+def _spikes(rows: str, least: int) -> str:
+    """Chain of SQL views from ``rows`` to ``spikes`` (med, spike)."""
+    c = "PARTITION BY station ORDER BY sec, event_id ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING"
+    o = "PARTITION BY station ORDER BY sec, event_id"
+    return f"""m1 AS (SELECT *, CASE WHEN count(value) OVER ({c}) >= {least} THEN quantile_cont(value, 0.5) OVER ({c}) END AS med FROM {rows}),
+m2 AS (SELECT *, abs(value - med) AS dev FROM m1),
+m3 AS (SELECT *, CASE WHEN count(dev) OVER ({c}) >= {least} THEN quantile_cont(dev, 0.5) OVER ({c}) END AS mad,
+  abs(value - lag(value) OVER ({o})) > 25.0 * ((sec - lag(sec) OVER ({o})) / 3600.0) AS fast FROM m2),
+spikes AS (SELECT * EXCLUDE (dev, mad, fast), coalesce(dev > 4 * mad, false) OR coalesce(fast, false) AS spike FROM m3)"""
+
+
+@query(f"""WITH {OBS}, {_spikes("obs", 3)}
+SELECT event_id, spike, round(CASE WHEN spike THEN med ELSE value END, 4) + 0.0 AS clean FROM spikes""")
 def mad_spikes(spark, sf):
-    """Q16: spikes against the trailing median, replaced by it."""
-    v = obs(spark, sf).filter(F.col("value").isNotNull())
-    return Q.mad_replace(v, ["station"], BY, 12, 4.0).select("event_id", "replaced", r("clean").alias("clean"))
+    """Q16: spikes by median deviation or rate, replaced by the centred median."""
+    s = Q.mad_spikes(obs(spark, sf), ["station"], BY, "sec")
+    return s.select("event_id", "spike", r(F.when(F.col("spike"), F.col("med")).otherwise(F.col("value"))).alias("clean"))
 
 
 @query(f"""WITH {OBS} SELECT station, round(100.0 * count(CASE WHEN value < 20 THEN 1 END) / count(value), 4) + 0.0 AS pct_low, 100.0 * count(CASE WHEN value < 20 THEN 1 END) / count(value) < 25 AS problematic FROM obs WHERE (sec // 86400) % 30 BETWEEN 5 AND 20 GROUP BY station""")
@@ -241,16 +251,25 @@ def season_zero_share(spark, sf):
     return o.groupBy("station").agg(r(pct).alias("pct_low"), (pct < 25).alias("problematic"))
 
 
-@query(f"""WITH {DAILY}, d AS (SELECT station, day, value FROM daily WHERE variable = 'view' AND value IS NOT NULL), p AS (SELECT station, arg_max(day, value * 1000 - day / 1e6) AS peak, max(value) AS top FROM d GROUP BY station),
-a AS (SELECT d.station, peak, top, min(day) AS low FROM d JOIN p USING (station) WHERE day > peak AND value < 20 GROUP BY ALL)
-SELECT station, peak, low, least(low + CAST(ceil((low - peak) * 0.25) AS BIGINT), peak + 20) AS season_end FROM a""")
+#: The supplied month spread over a year: every day stands for twelve.
+_SEASON = f"""{DAILY}, {STATIONS}, d AS (SELECT station, DATE '2024-01-01' + CAST(12 * (day - 19723) AS INTEGER) AS date, max(CASE WHEN variable = 'view' THEN value END) AS value,
+  max(CASE WHEN variable = 'click' THEN value END) / 10 - 4 AS ta FROM daily GROUP BY ALL),
+s0 AS (SELECT d.*, station % 3 <> 0 AND elev <= 2400 AS judged, year(date) AS y, month(date) AS m, lag(value, 3) OVER (PARTITION BY station ORDER BY date) AS before FROM d JOIN stations USING (station)),
+pk AS (SELECT station, y, max(CASE WHEN m <= 3 THEN value END) AS top, arg_max(date, CASE WHEN m <= 3 THEN value END) AS any_peak FROM s0 WHERE m <= 10 AND judged GROUP BY ALL HAVING count(*) >= 20),
+p AS (SELECT pk.station, pk.y, top, min(date) AS peak FROM pk JOIN s0 ON s0.station = pk.station AND s0.y = pk.y AND m <= 3 AND value = top GROUP BY ALL),
+f AS (SELECT p.station, p.y, top, peak, min(date) AS low_day, arg_min(value, date) AS later FROM p LEFT JOIN s0 ON s0.station = p.station AND s0.y = p.y AND m <= 10 AND value < 20 AND date >= peak GROUP BY ALL),
+e AS (SELECT station, y, least(CASE WHEN low_day - peak > 3 AND top > later THEN low_day + CAST(floor(abs(18.0 / ((later - top) / (low_day - peak)))) AS INTEGER) ELSE make_date(y, 7, 20) END, make_date(y, 10, 31)) AS season_end FROM f)"""
+
+
+@query(f"""WITH {_SEASON} SELECT station, strftime(date, '%Y-%m-%d') AS date, round(value, 4) + 0.0 AS value, CASE WHEN m IN (9, 10) AND season_end IS NOT NULL THEN coalesce(ta < 0 AND value > before, false)
+ELSE NOT coalesce(date >= greatest(season_end, make_date(y, 4, 1)) AND date <= make_date(y, 10, 31), false) END AS snow_day FROM s0 LEFT JOIN e USING (station, y)""")
 def season_end(spark, sf):
-    """Q14: peak, first low day after it and an extrapolated, capped end."""
-    d = daily(spark, sf).filter((F.col("variable") == "view") & F.col("value").isNotNull())
-    p = d.groupBy("station").agg(F.max_by("day", F.col("value") * 1000 - F.col("day") / F.lit(1e6)).alias("peak"))
-    a = d.join(p, "station").filter((F.col("day") > F.col("peak")) & (F.col("value") < 20)).groupBy("station", "peak").agg(F.min("day").alias("low"))
-    end = F.least(F.col("low") + F.ceil((F.col("low") - F.col("peak")) * 0.25), F.col("peak") + 20)
-    return a.select("station", "peak", "low", end.cast("long").alias("season_end"))
+    """Q14: days on which snow may lie, by the peak, the fall after it and the autumn's temperature."""
+    d = daily(spark, sf).withColumn("date", F.date_add(F.lit("2024-01-01").cast("date"), (12 * (F.col("day") - 19723)).cast("int")))
+    d = d.groupBy("station", "date").agg(F.max(F.when(F.col("variable") == "view", F.col("value"))).alias("value"), (F.max(F.when(F.col("variable") == "click", F.col("value"))) / 10 - 4).alias("ta"))
+    s = stations(spark, sf).select("station", ((F.col("station") % 3 != 0) & (F.col("elev") <= 2400)).alias("judged"))
+    out = Q.snow_days(d.join(s, "station"), "station")
+    return out.select("station", F.date_format("date", "yyyy-MM-dd").alias("date"), r("value").alias("value"), "snow_day")
 
 
 @query(f"""WITH {STATIONS}, p AS (SELECT x.station, y.station AS other, round(sqrt(pow((x.lat - y.lat) * 111, 2) + pow((x.lon - y.lon) * 111, 2)), 6) AS km FROM stations x JOIN stations y ON x.station <> y.station AND abs(x.elev - y.elev) <= 400),
@@ -262,14 +281,33 @@ def companion_station(spark, sf):
     return companions(stations(spark, sf), 30.0, 400.0)
 
 
-@query(f"""WITH {OBS}, s AS (SELECT *, coalesce(abs(value - lag(value) OVER {W}) < 45, false) AS inside FROM obs), {_RUN}
-SELECT event_id, CASE WHEN run_length >= 3 THEN 'plateau' WHEN coalesce(value < 5, false) THEN 'noise' WHEN coalesce(value > 2 * (lag(value) OVER {W}) AND value > 2 * (lead(value) OVER {W}), false) THEN 'spike' ELSE 'ok' END AS verdict FROM k""")
+def _long(rows: str, name: str, flag: str, hours: int) -> str:
+    """SQL view ``name``: ``rows`` with ``clean`` set to 0 in runs of ``flag`` that span so many hours."""
+    return f"""{name}a AS (SELECT *, coalesce({flag}, false) AS flag FROM {rows}),
+{name}b AS (SELECT *, CASE WHEN coalesce(flag <> lag(flag) OVER {W}, true) THEN 1 ELSE 0 END AS turn FROM {name}a),
+{name}c AS (SELECT *, sum(turn) OVER {W} AS run FROM {name}b),
+{name} AS (SELECT * EXCLUDE (flag, turn, run, clean), CASE WHEN flag AND (max(sec) OVER (PARTITION BY station, run) - min(sec) OVER (PARTITION BY station, run)) / 3600.0 >= {hours} THEN 0 ELSE clean END AS clean FROM {name}c)"""
+
+
+def _sd(rows: int) -> str:
+    back = f"(PARTITION BY station ORDER BY sec, event_id ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(clean) OVER {back} >= {rows} THEN stddev_samp(clean) OVER {back} END"
+
+
+#: Thin packs: a third of the stations hardly vary.
+_THIN = "thin AS (SELECT station, sec, event_id, CASE WHEN station % 3 = 0 THEN 5 + value / 200 ELSE value / 8 - 0.5 END AS value FROM obs)"
+
+
+@query(f"""WITH {OBS}, {_THIN}, {_spikes("thin", 12)}, h0 AS (SELECT *, CASE WHEN spike THEN med ELSE value END AS clean FROM spikes),
+h1 AS (SELECT *, {_sd(36)} AS sd FROM h0), {_long("h1", "h2", "sd < 1.2 AND clean > 2 AND clean < 25", 18)},
+h3 AS (SELECT * EXCLUDE (sd), {_sd(24)} AS sd FROM h2), {_long("h3", "h4", "sd > 4.0 AND clean < 15", 8)},
+h5 AS (SELECT *, CASE WHEN coalesce(abs(clean - lag(clean) OVER {W}) > 8 AND clean < 15, false) THEN 0 ELSE clean END AS done FROM h4)
+SELECT event_id, spike, round(CASE WHEN done < 0 THEN 0 ELSE done END, 4) + 0.0 AS clean FROM h5""")
 def hybrid_cleaning(spark, sf):
-    """Q17: plateaus, noise and isolated spikes in one verdict."""
-    s = Q.stuck(obs(spark, sf), ["station"], BY, 45, 3)
-    w = Q.order(["station"], BY)
-    iso = F.coalesce((F.col("value") > 2 * F.lag("value").over(w)) & (F.col("value") > 2 * F.lead("value").over(w)), F.lit(False))
-    return s.select("event_id", F.when(F.col("run_length") >= 3, "plateau").when(F.coalesce(F.col("value") < 5, F.lit(False)), "noise").when(iso, "spike").otherwise("ok").alias("verdict"))
+    """Q17: spikes, long plateaus, long noise and isolated steps, step by step."""
+    third = F.col("station") % 3 == 0
+    o = obs(spark, sf).withColumn("value", F.when(third, 5 + F.col("value") / 200).otherwise(F.col("value") / 8 - 0.5))
+    return Q.behavioural(o.select("station", "sec", "event_id", "value"), ["station"], BY, "sec").select("event_id", "spike", r("clean").alias("clean"))
 
 
 @query(f"""WITH {OBS}, f AS (SELECT * FROM obs WHERE value > 80), g AS (SELECT *, CASE WHEN coalesce(sec - lag(sec) OVER {W} > 43200, true) THEN 1 ELSE 0 END AS fresh FROM f), h AS (SELECT *, sum(fresh) OVER {W} AS period FROM g)
