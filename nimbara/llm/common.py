@@ -122,22 +122,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
-def run_hashes(w: Column, size: int) -> Column:
-    """64-bit hash of every run of ``size`` consecutive words of ``w``; none if there are fewer.
+def doubled(x: Column, size: int, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` over every run of ``size`` consecutive elements of ``x`` (which has as many), pair by pair.
 
-    Every word is hashed once; hashes of runs are joined in pairs, doubling
-    their length, and the last pair may overlap.
+    Runs double in length at each step, and the last pair may overlap, so a
+    result costs log2(size) joins.
     """
 
     def grown(h: Column, have: int) -> Column:
         if have == size:
             return h
         by = min(have, size - have)
-        pairs = lambda x: F.zip_with(F.slice(x, 1, F.size(x) - by), F.slice(x, by + 1, F.size(x) - by), lambda a, b: F.xxhash64(a, b))
+        pairs = lambda a: F.zip_with(F.slice(a, 1, F.size(a) - by), F.slice(a, by + 1, F.size(a) - by), join)
         return grown(let(h, pairs), have + by)
 
-    every = F.transform(w, lambda x: F.xxhash64(x))
-    return F.when(F.size(w) >= size, grown(every, 1)).otherwise(F.array().cast("array<bigint>"))
+    return grown(x, 1)
+
+
+def run_hashes(w: Column, size: int) -> Column:
+    """64-bit hash of every run of ``size`` consecutive words of ``w``; none if there are fewer.  Each word is hashed once."""
+    every = doubled(F.transform(w, lambda x: F.xxhash64(x)), size, lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(w) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import let, stored, table
+from nimbara.llm.common import doubled, let, run_hashes, stored, table
 
 WINDOW = 13  #: words of a window
 GRAM = 7  #: words of a fingerprint
@@ -41,16 +41,9 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(F.when(ascii_only, F.lower(t)).otherwise(F.translate(t, UPPER, LOWER)), NOT_WORD, -1), lambda w: w != "")
 
 
-def _grams(w: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(w, i, size)))
-
-
 def _minima(w: Column) -> Column:
     """Smallest gram hash of every window, with the grams: struct(h, m)."""
-    return let(
-        _grams(w, GRAM),
-        lambda h: F.struct(h.alias("h"), F.transform(F.sequence(F.lit(1), F.size(h) - (SPAN - 1)), lambda i: F.array_min(F.slice(h, i, SPAN))).alias("m")),
-    )
+    return let(run_hashes(w, GRAM), lambda h: F.struct(h.alias("h"), doubled(h, SPAN, lambda a, b: F.least(a, b)).alias("m")))
 
 
 _RUN = "array<struct<fp:bigint,k:int,lo:int,hi:int>>"
@@ -68,15 +61,23 @@ def document_prints(w: Column, short: list[int]) -> Column:
     none = F.array().cast(_RUN)
     out = [F.when(F.size(w) >= WINDOW, let(_minima(w), lambda x: let(x["m"], runs))).otherwise(none)]
     for n in short:
-        every = F.transform(_grams(w, n), lambda h, i: F.struct(h.alias("fp"), F.lit(n).alias("k"), i.cast("int").alias("lo"), i.cast("int").alias("hi")))  # noqa: B023
+        every = F.transform(run_hashes(w, n), lambda h, i: F.struct(h.alias("fp"), F.lit(n).alias("k"), i.cast("int").alias("lo"), i.cast("int").alias("hi")))  # noqa: B023
         out.append(F.when(F.size(w) >= n, every).otherwise(none))
     return F.concat(*out) if len(out) > 1 else out[0]
 
 
+def _whole(w: Column) -> Column:
+    """Hash of a short item as the run of all its words."""
+    out = F.lit(None).cast("bigint")
+    for n in range(1, WINDOW):
+        out = F.when(F.size(w) == n, F.element_at(run_hashes(w, n), 1)).otherwise(out)
+    return out
+
+
 def item_prints(items: DataFrame) -> DataFrame:
     """fp, k, q, _item of every fingerprint of ``items`` (_item, _iw)."""
     n = F.size("_iw")
-    small = items.filter((n > 0) & (n < WINDOW)).select(F.xxhash64(n, F.col("_iw")).alias("fp"), n.alias("k"), F.lit(0).alias("q"), "_item")
+    small = items.filter((n > 0) & (n < WINDOW)).select(_whole(F.col("_iw")).alias("fp"), n.alias("k"), F.lit(0).alias("q"), "_item")
     chosen = let(_minima(F.col("_iw")), lambda x: F.filter(
         F.transform(x["h"], lambda h, i: F.struct(h.alias("fp"), i.cast("int").alias("q"), F.array_contains(
             F.slice(x["m"], F.greatest(F.lit(1), i - SPAN + 2), F.least(i, F.size(x["m"]) - 1) - F.greatest(F.lit(0), i - SPAN + 1) + 1), h).alias("is"))),
