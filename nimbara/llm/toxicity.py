@@ -24,12 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import ddl, slices, table
+from nimbara.llm.common import ddl, discard, shielded, slices, stored, table
 
 #: Labelled rows used for fitting, at most; those of smallest hash.
 FIT_ROWS = 20_000
-#: Tokens that keep a score of their own, at most; those of largest evidence.
-TERMS = 20_000
 PRIOR = 0.02  #: weight of the Dirichlet prior, as a share of all counts
 EVIDENCE = 2.0  #: least log-likelihood gain of a token beyond the log of the vocabulary
 DRIFT = 0.05  #: score lost at every token
@@ -108,28 +106,26 @@ class Model:
         return self.probability(self.evidence(*self.passages(text or "")))
 
 
-def log_odds(toxic: dict[str, int], clean: dict[str, int], share: float, terms: int = TERMS) -> dict[str, float]:
-    """Scores of the tokens whose rows lean to the toxic side beyond chance.
+def log_odds(counts: DataFrame, share: float) -> list[tuple[str, float, int]]:
+    """token, score and clean texts of the tokens whose texts lean to the toxic side beyond chance.
 
-    toxic, clean: rows with each token; share: of all rows, the toxic ones'.
+    counts: token, y1 and y0 (toxic and other texts with it); share: of all
+    texts, the toxic ones'.  The vocabulary is counted and judged where it is;
+    only tokens with evidence, at most one for every few (toxic text, token)
+    pairs of the sample, come to the driver.
     """
-    n1, n0 = sum(toxic.values()), sum(clean.values())
+    n1, n0, size = counts.agg(F.coalesce(F.sum("y1"), F.lit(0)), F.coalesce(F.sum("y0"), F.lit(0)), F.count("*")).first()
     if not n1 or not n0 or not 0 < share < 1:
-        return {}
+        return []
     prior = PRIOR * (n1 + n0)
-    least = math.log(len(toxic.keys() | clean.keys())) + EVIDENCE  # as many tokens are tried
-    out = []
-    for w, y1 in toxic.items():
-        y0 = clean.get(w, 0)
-        y = y1 + y0
-        if y1 <= share * y:
-            continue
-        gain = y1 * math.log(y1 / (share * y)) + (y0 * math.log(y0 / ((1 - share) * y)) if y0 else 0.0)
-        if gain >= least:
-            a = prior * y / (n1 + n0)
-            out.append((gain, w, math.log((y1 + a) / (n1 + prior)) - math.log((y0 + a) / (n0 + prior))))
-    out.sort(key=lambda x: (-x[0], x[1]))
-    return {w: s - DRIFT for _, w, s in out[:terms] if s > DRIFT}
+    y1, y0 = F.col("y1"), F.col("y0")
+    y = y1 + y0
+    gain = y1 * F.log(y1 / (share * y)) + F.when(y0 > 0, y0 * F.log(y0 / ((1 - share) * y))).otherwise(0.0)
+    least = math.log(size) + EVIDENCE  # as many tokens are tried
+    a = prior * y / (n1 + n0)
+    score = F.log((y1 + a) / (n1 + prior)) - F.log((y0 + a) / (n0 + prior)) - DRIFT
+    found = counts.filter(y1 > share * y).filter(gain >= least).select("token", score.alias("score"), "y0").filter("score > 0")
+    return [(r["token"], r["score"], r["y0"]) for r in found.orderBy("token").collect()]
 
 
 def rate_of(scores: np.ndarray, counts: np.ndarray) -> float:
@@ -147,25 +143,58 @@ def rate_of(scores: np.ndarray, counts: np.ndarray) -> float:
     return hi
 
 
-def fit(rows: list[tuple[str | None, int]], terms: int = TERMS) -> Model:
-    """A model from (text, label) rows.  Without rows of both labels every text scores alike."""
-    counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for text, y in set(rows):  # copies speak once
-        c = counts[y]
-        for w in set(tokens(text or "")):  # a text speaks once for a token
-            c[w] = c.get(w, 0) + 1
-    model = Model(log_odds(counts[1], counts[0], sum(y for _, y in rows) / max(1, len(rows)), terms))
-    if not rows:
+def training_texts(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> DataFrame:
+    """text and y of at most ``most`` labelled documents that are not held out (crc32(doc_id) % 3 is not 1); copies speak once."""
+    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    ids = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # bounded by ``most``
+    return rows.groupBy(F.xxhash64("text").alias("_h"), "y").agg(F.first("text").alias("text")).select("text", "y")
+
+
+def _over(rows: DataFrame, schema: str, each) -> DataFrame:
+    """``each`` (text, y) -> list of rows, over the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                out = [r for t, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist()) for r in each(t, y)]
+                columns = list(zip(*out)) if out else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def fit(rows: DataFrame) -> Model:
+    """A model from ``rows`` (text, y), in three passes over them.
+
+    Texts stay where they are: the driver gets the scored tokens, and two or
+    three numbers a text.  Without rows of both labels every text scores alike.
+    """
+    rows = stored(rows, "sample")
+    counts = _over(rows, "token string, y1 long, y0 long", lambda t, y: [(w, y, 1 - y) for w in set(tokens(t))])  # a text speaks once for a token
+    counts = stored(counts.groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0")), "tokens")
+    share, total = rows.agg(F.avg("y"), F.count("*")).first()
+    found = log_odds(counts, share or 0.0)
+    model = Model({w: s for w, s, _ in found})
+    if not total:
         return model
-    n0 = max(1, sum(counts[0].values()))
-    hit = [(s, counts[0].get(w, 0) + 0.01) for w, s in model.scores.items()]
-    model.rate = rate_of(np.array([s for s, _ in hit] + [-model.drift]), np.array([c for _, c in hit] + [n0]))
-    seen = [model.passages(t or "") for t, _ in rows]
-    best = [(n, max((s for _, _, s in f), default=0.0)) for (n, f), (_, y) in zip(seen, rows) if y == 0 and n]
-    if best:  # moment fit of the Gumbel law: mean of exp(-rate * best) ~ 1 / (size * n)
-        model.size = max(1e-6, 1.0 / max(1e-9, float(np.mean([n * math.exp(-model.rate * s) for n, s in best]))))
-    x = np.array([[1.0, *model.evidence(n, f)] for n, f in seen])
-    y = np.array([y for _, y in rows], float)
+    n0 = max(1, counts.agg(F.sum("y0")).first()[0] or 0)
+    model.rate = rate_of(np.array([s for _, s, _ in found] + [-model.drift]), np.array([y0 + 0.01 for _, _, y0 in found] + [n0]))
+
+    def best(text: str, y: int) -> list[tuple]:
+        n, f = model.passages(text)
+        return [] if y or not n else [(n * math.exp(-model.rate * max((s for _, _, s in f), default=0.0)),)]
+
+    # Moment fit of the Gumbel law: mean of exp(-rate * best) ~ 1 / (size * n).
+    mean = _over(rows, "z double", best).agg(F.avg("z")).first()[0]
+    if mean is not None:
+        model.size = max(1e-6, 1.0 / max(1e-9, mean))
+    seen = _over(rows, "a double, b double, y long", lambda t, y: [(*model.evidence(*model.passages(t)), y)]).toArrow()
+    order = np.lexsort([seen.column(c).to_numpy() for c in ("a", "b", "y")])
+    x = np.column_stack([np.ones(len(order)), *(seen.column(c).to_numpy()[order] for c in ("a", "b"))])
+    y = seen.column("y").to_numpy()[order].astype(float)
     w = np.zeros(3)
     for _ in range(50):  # ridge-penalised Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -176,21 +205,18 @@ def fit(rows: list[tuple[str | None, int]], terms: int = TERMS) -> Model:
         if np.abs(step).max() < 1e-8:
             break
     model.curve = (float(w[0]), float(w[1]), float(w[2]))
+    discard(rows)
+    discard(counts)
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = FIT_ROWS) -> list[tuple[str | None, int]]:
-    """At most ``most`` labelled rows that are not held out (crc32(doc_id) % 3 is not 1), as (text, label)."""
-    usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
-    ids = usable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # bounded by ``most``
-    return [(r["text"], r["y"]) for r in rows.orderBy("doc_id", "text").select("text", "y").toLocalIterator()]
-
-
+@shielded
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without ``text`` but with score and passages (token start, end, score of each segment).
 
-    Null and empty texts have no passage and the score of that.
+    Null and empty texts have no passage and the score of that.  Repeated rows
+    score alike; an empty table gives an empty result; columns named as an
+    output are replaced, all others pass through.
     """
     keep = [c for c in docs.columns if c not in ("score", "passages")]
     rest = [c for c in keep if c != text]
@@ -214,7 +240,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFra
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
+    model = fit(training_texts(docs, table(spark, sf_dir, "labels"), "toxic"))
     scored = score_toxicity(docs, model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))

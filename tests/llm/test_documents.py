@@ -170,11 +170,32 @@ def test_toxicity_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_toxicity_counts_match_a_plain_count(spark, sf):
+    """Scores of tokens against log-odds computed in one process."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {(r.text, r.y) for r in toxicity.training_texts(docs, labels, "toxic").collect()}
+    model = toxicity.fit(toxicity.training_texts(docs, labels, "toxic"))
+    seen = [Counter(), Counter()]
+    for t, y in rows:
+        seen[y].update(set(toxicity.tokens(t)))
+    n0, n1, share = sum(seen[0].values()), sum(seen[1].values()), sum(y for _, y in rows) / len(rows)
+    want = {}
+    for w, y1 in seen[1].items():
+        y0 = seen[0][w]
+        y = y1 + y0
+        gain = y1 * np.log(y1 / share / y) + (y0 * np.log(y0 / (1 - share) / y) if y0 else 0)
+        if y1 > share * y and gain >= np.log(len(seen[0] | seen[1])) + toxicity.EVIDENCE:
+            a = toxicity.PRIOR * y
+            want[w] = np.log((y1 + a) / (n1 + toxicity.PRIOR * (n1 + n0))) - np.log((y0 + a) / (n0 + toxicity.PRIOR * (n1 + n0))) - toxicity.DRIFT
+    assert {w: round(s, 9) for w, s in model.scores.items()} == {w: round(float(s), 9) for w, s in want.items() if s > 0}
+
+
 def test_toxicity_edges(spark, odd):
-    model = toxicity.fit([])
+    make = lambda rows: spark.createDataFrame(rows, "text string, y int")
+    model = toxicity.fit(make([]))
     assert toxicity.score_toxicity(odd, model).count() == odd.count()
     assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
-    model = toxicity.fit([("bad word here", 1), ("good word here", 0)] * 3)
+    model = toxicity.fit(make([("bad word here", 1), ("good word here", 0)] * 3))
     assert 0 <= model.score(None) <= 1
 
 
