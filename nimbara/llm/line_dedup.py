@@ -10,7 +10,7 @@ line repeated the first stays.
 
 Only hashes are grouped over the whole corpus; texts of chunks are shipped for
 repeated hashes alone.  Tables are broadcast up to a checked number of rows and
-joined by sorting beyond it.
+bytes and joined by sorting beyond it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from nimbara.llm.common import let, shielded, small, stored, table
 
-#: Rows of a broadcast side.
-SMALL = 1_000_000
+#: Rows of a broadcast side; texts and lists in it are bounded in bytes as well.
+SMALL = 300_000
 
 
 def lines_of(text: Column) -> Column:
@@ -54,7 +54,7 @@ def repeated_chunks(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     is_first = (F.struct("_d", "_key", "lo") == F.col("f"))
     held = stored(occurrences.withColumn("is_first", is_first).drop("f"), "bodies")
     heads = held.filter("is_first").select("h", F.col("body").alias("first_body")).distinct()
-    rest = held.filter(~F.col("is_first")).join(small(heads, SMALL // 20), "h").filter(F.col("body") == F.col("first_body"))
+    rest = held.filter(~F.col("is_first")).join(small(heads, SMALL, F.octet_length("first_body")), "h").filter(F.col("body") == F.col("first_body"))
     return rest.select("_d", "_key", "lo", "n")
 
 
@@ -72,7 +72,7 @@ def line_dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Data
     gone = lines.groupBy("_d", "_key").agg(F.array_sort(F.collect_set("i")).alias("_gone"))
     gone = stored(gone.withColumnsRenamed({"_d": "_gd", "_key": "_gk"}), "gone")
     base = docs.drop("n_lines", "n_removed_lines").withColumn("_key", F.xxhash64(doc, text))
-    out = base.join(small(gone, SMALL // 2), (F.col("_key") == F.col("_gk")) & F.col(doc).eqNullSafe(F.col("_gd")), "left")
+    out = base.join(small(gone, SMALL, 4 * F.size("_gone")), (F.col("_key") == F.col("_gk")) & F.col(doc).eqNullSafe(F.col("_gd")), "left")
     lost = F.when(F.col("_gone").isNotNull(), F.size("_gone"))
     # What is left lies between the removed lines; both lists are in order.
     between = lambda x: F.flatten(F.zip_with(F.concat(F.array(F.lit(-1)), "_gone"), F.concat("_gone", F.array(F.size(x))), lambda a, b: F.slice(x, a + 2, b - a - 1)))
