@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_LOCAL: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,6 +32,19 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(at))
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share; a local one only in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="nimbara-scratch-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        root = _LOCAL[0]
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def from_local(spark: SparkSession, pdf, schema: str):
     """A DataFrame from a small pandas frame under an explicit schema."""
     return spark.createDataFrame(pdf.to_dict("records"), schema)

@@ -1,7 +1,7 @@
 """Spatial, temporal and similarity joins.
 
-Radius and as-of joins use bucket keys, so Spark plans equi-joins; nearest
-neighbours of a station table (thousands of rows) are exact over grid rings.
+Radius, as-of and nearest-neighbour joins use bucket keys, so Spark plans
+equi-joins; every result is exact.
 """
 
 from __future__ import annotations
@@ -34,31 +34,49 @@ def _cells(df: DataFrame, size: float, wide: float, spread: bool) -> DataFrame:
     return df.withColumn("_r", near(row)).withColumn("_c", near(col))
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float, top: float = 60.0) -> DataFrame:
-    """Pairs of stations at most ``km`` apart: station, other, km.  top: largest absolute latitude of the tables."""
+def within_km(left: DataFrame, right: DataFrame, km: float, top: float | None = None) -> DataFrame:
+    """Pairs of stations at most ``km`` apart: station, other, km.  top: largest absolute latitude of the tables (None: looked up)."""
+    if top is None:
+        top = left.select("lat").unionByName(right.select("lat")).agg(F.max(F.abs("lat"))).first()[0] or 0.0
     size = km / KM_PER_DEGREE * 1.01
-    wide = size / math.cos(math.radians(top))
+    wide = size / max(math.cos(math.radians(top)), 1e-3)
     a = _cells(left.select("station", "lat", "lon"), size, wide, False)
     b = _cells(right.select(F.col("station").alias("other"), "lat", "lon"), size, wide, True).withColumnsRenamed({"lat": "lat2", "lon": "lon2"})
     d = haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     return a.join(b, ["_r", "_c"]).withColumn("km", d).filter(F.col("km") <= km).select("station", "other", "km")
 
 
+#: Finest cell of the nearest-neighbour grid, and the number of doublings above it.
+CELL, DOUBLINGS = 0.01, 16
+
+
 def nearest_k(stations: DataFrame, k: int, x: str = "lat", y: str = "lon", scale: float = 1.0, extra: str | None = None) -> DataFrame:
     """The ``k`` nearest other stations in a plane (optionally with ``extra`` times ``scale`` as a third axis): station, other, d2, rank.
 
-    The station table is the dimension (thousands of rows), broadcast against
-    itself; ranking is limited inside the window.
+    Cells double in size from level to level.  A station looks at the finest
+    level whose own cell holds more than ``k`` stations: its ``k`` nearest then
+    lie within that cell's diagonal, so within two cells on each side.  The last
+    level is one cell for all.  Candidates come from an equi-join on cells.
     """
-    cols = [x, y] + ([extra] if extra else [])
-    a = stations.select("station", *cols)
-    b = stations.select(F.col("station").alias("other"), *[F.col(c).alias(f"{c}_2") for c in cols])
-    d = F.pow(F.col(x) - F.col(f"{x}_2"), 2.0) + F.pow(F.col(y) - F.col(f"{y}_2"), 2.0)
-    if extra:
-        d = d + F.pow((F.col(extra) - F.col(f"{extra}_2")) * scale, 2.0)
-    pairs = a.join(F.broadcast(b), F.col("station") != F.col("other")).withColumn("d2", F.round(d, 6))
+    axes = [F.col(x), F.col(y)] + ([F.col(extra) * scale] if extra else [])
+    n = len(axes)
+    point = stations.select("station", *[a.cast("double").alias(f"_a{i}") for i, a in enumerate(axes)])
+    level = F.explode(F.sequence(F.lit(0), F.lit(DOUBLINGS))).alias("_l")
+    cell = lambda i: F.when(F.col("_l") < DOUBLINGS, F.floor(F.col(f"_a{i}") / (CELL * F.pow(F.lit(2.0), F.col("_l"))))).otherwise(0).cast("long")
+    cells = point.select("*", level).select("*", *[cell(i).alias(f"_c{i}") for i in range(n)])
+    keys = ["_l", *[f"_c{i}" for i in range(n)]]
+    full = cells.groupBy(*keys).agg(F.count("*").alias("_n")).filter((F.col("_n") > k) | (F.col("_l") == DOUBLINGS)).drop("_n")
+    own = cells.join(full, keys).groupBy("station").agg(F.min_by(F.struct(*keys, *[f"_a{i}" for i in range(n)]), "_l").alias("o"))
+    near = own.select("station", *[F.col(f"o._a{i}").alias(f"_b{i}") for i in range(n)], F.col("o._l").alias("_l"), *[F.col(f"o._c{i}").alias(f"_c{i}") for i in range(n)])
+    for i in range(n):
+        near = near.withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_c{i}") - 2, F.col(f"_c{i}") + 2)))
+    d = F.pow(F.col("_a0") - F.col("_b0"), 2.0)
+    for i in range(1, n):
+        d = d + F.pow(F.col(f"_a{i}") - F.col(f"_b{i}"), 2.0)
+    met = near.join(cells.withColumnRenamed("station", "other"), keys).filter(F.col("station") != F.col("other"))
     w = Window.partitionBy("station").orderBy("d2", "other")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("station", "other", "d2", "rank")
+    ranked = met.withColumn("d2", F.round(d, 6)).withColumn("rank", F.row_number().over(w))
+    return ranked.filter(F.col("rank") <= k).select("station", "other", "d2", "rank")
 
 
 def companions(stations: DataFrame, km: float, elevation: float) -> DataFrame:
@@ -73,20 +91,24 @@ def companions(stations: DataFrame, km: float, elevation: float) -> DataFrame:
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, sec: str, tolerance: int) -> DataFrame:
-    """Each left row with the nearest right row of the same key within ``tolerance`` seconds (the earlier on ties)."""
+    """Each left row with the nearest right row of the same key within ``tolerance`` seconds (the earlier on ties).
+
+    Equal left rows are matched once and come back as often as they were.
+    """
     b = right.select(key, F.col(sec).alias("_rs"), F.col("value").alias("right_value"), F.explode(F.array(*[F.floor(F.col(sec) / tolerance) + i for i in (-1, 0, 1)])).alias("_b"))
-    a = left.withColumn("_b", F.floor(F.col(sec) / tolerance))
+    a = left.groupBy(*left.columns).agg(F.count("*").alias("_copies")).withColumn("_b", F.floor(F.col(sec) / tolerance))
     near = F.abs(F.col("_rs") - F.col(sec))
     joined = a.join(b, [key, "_b"], "left").withColumn("_d", F.when(near <= tolerance, near))
     best = F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "_rs", "right_value")))
-    return joined.groupBy(*left.columns).agg(best.alias("_m")).select(*left.columns, F.col("_m._rs").alias("right_sec"), F.col("_m.right_value").alias("right_value"))
+    out = joined.groupBy(*left.columns, "_copies").agg(best.alias("_m")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+    return out.select(*left.columns, F.col("_m._rs").alias("right_sec"), F.col("_m.right_value").alias("right_value"))
 
 
 def ray_cast(points: DataFrame, edges: DataFrame, x: str, y: str) -> DataFrame:
     """Points with ``inside``: the number of polygon edges crossed by a ray to the right is odd.  edges: x1, y1, x2, y2 (a small table)."""
     cross = ((F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))) & (
         F.col(x) < (F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    n = points.join(F.broadcast(edges), cross, "left").groupBy(*points.columns).agg(F.count("x1").alias("_n"))
+    n = points.join(edges, cross, "left").groupBy(*points.columns).agg(F.count("x1").alias("_n"))
     return n.select(*points.columns, (F.col("_n") % 2 == 1).alias("inside"))
 
 

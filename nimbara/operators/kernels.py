@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def rate_filter(df: DataFrame, key: str, sec: str, most: float) -> DataFrame:
@@ -569,3 +570,99 @@ def self_organising_map(x: np.ndarray, rows: int = 2, cols: int = 2, rounds: int
         total = pull.sum(0)[:, None]
         nodes = np.where(total > 1e-9, pull.T @ x / np.maximum(total, 1e-9), nodes)
     return ((x[:, None] - nodes[None]) ** 2).sum(2).argmin(1)
+
+
+def search_protocol(scores: DataFrame, time: str, parameters: list[str], prefix: int, worse: float, stable: int) -> DataFrame:
+    """times, combinations and the median of every parameter over the winners of a search.
+
+    Combinations more than ``worse`` times the best mean score of the first
+    ``prefix`` times are dropped.  Of the others each time has a winner; the
+    search ends once the most frequent winner has been the same for ``stable``
+    times.  Ties go to the smaller parameters.
+    """
+    from pyspark.sql import Window
+
+    by = F.struct(*parameters)
+    at = scores.select(time).distinct().select(time, F.dense_rank().over(Window.orderBy(time)).alias("i"))  # one row a time
+    s = scores.join(at, time)
+    m = s.filter(F.col("i") <= prefix).groupBy(*parameters).agg(F.round(F.avg("rmse"), 6).alias("m"))
+    good = m.join(m.agg(F.min("m").alias("least"))).filter(F.col("m") <= worse * F.col("least")).select(*parameters)
+    won = s.join(good, parameters).groupBy("i").agg(F.min_by(by, F.struct("rmse", *parameters)).alias("won"))
+    so_far = at.select("i").join(won.select(F.col("i").alias("j"), "won"), F.col("j") <= F.col("i")).groupBy("i", "won").agg(F.count("*").alias("wins"))
+    mode = so_far.groupBy("i").agg(F.min_by("won", F.struct((-F.col("wins")).alias("w"), "won")).alias("mode"))
+    w = Window.orderBy("i")
+    same = F.lit(True)
+    for back in range(1, stable):
+        same &= F.coalesce(F.lag("mode", back).over(w) == F.col("mode"), F.lit(False))
+    last = mode.withColumn("same", same).agg(F.coalesce(F.min(F.when(F.col("same"), F.col("i"))), F.max("i")).cast("long").alias("times"))
+    middle = [F.percentile(F.col(f"won.{p}"), 0.5).alias(p) for p in parameters]
+    out = won.join(last, F.col("i") <= F.col("times")).groupBy("times").agg(*middle)
+    return out.join(good.agg(F.count("*").alias("combinations"))).select("times", "combinations", *parameters)
+
+
+# --- similar stations --------------------------------------------------------
+
+#: Stations of a block whose series are compared with another block's at once.
+SERIES = 512
+
+
+def haversine_km(lat1, lon1, lat2, lon2):
+    a = np.sin(np.radians(lat2 - lat1) / 2) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 6371.0 * 2 * np.arcsin(np.sqrt(a))
+
+
+def similar_stations(series: DataFrame, weights: dict[str, tuple[float, float, float, int]], least: int, blocks: int) -> DataFrame:
+    """weighting, station, other, n, score: for each station of a block its best others of another block, by every weighting.
+
+    series: station, lat, lon, elev, days and values (arrays of one length).
+    weights: name -> weight of kilometres, metres of elevation and 1 -
+    correlation on common days (at least ``least``), and how many others; a
+    weighting without correlation takes all others.  Common days, sums and
+    products of all pairs of two blocks are matrix products, so pairs never
+    become rows; only the best of each block do.
+    """
+    cols = ["station", "lat", "lon", "elev", "days", "values"]
+    own = F.pmod(F.xxhash64("station"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = series.select(*cols).withColumn("bi", own).withColumn("bj", every)
+    b = series.select(*cols).withColumn("bj", own).withColumn("bi", every)
+    b = b.select(*[F.col(c).alias(f"{c}2") for c in b.columns])
+
+    def matrix(t: pa.Table, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        has, v = np.zeros((t.num_rows, len(days))), np.zeros((t.num_rows, len(days)))
+        for i, (d, x) in enumerate(zip(t.column("days").to_pylist(), t.column("values").to_pylist())):
+            at = np.searchsorted(days, d)
+            has[i, at], v[i, at] = 1.0, x
+        return has, v
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.sort_by("station"), y.rename_columns([c[:-1] for c in y.column_names]).sort_by("station")
+        days = np.unique(np.concatenate([np.array(d, np.int64) for t in (x, y) for d in t.column("days").to_pylist()] or [np.zeros(0, np.int64)]))
+        (hx, vx), (hy, vy) = matrix(x, days), matrix(y, days)
+        n = hx @ hy.T
+        sx, sy, many = vx @ hy.T, hx @ vy.T, np.maximum(n, 1)
+        cov = vx @ vy.T - sx * sy / many
+        var = np.maximum((vx**2) @ hy.T - sx**2 / many, 0) * np.maximum(hx @ (vy**2).T - sy**2 / many, 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = np.where(var > 1e-18, cov / np.sqrt(var), np.nan)
+        place = [[t.column(c).to_numpy().astype(float) for c in ("lat", "lon", "elev")] for t in (x, y)]
+        (la, lo, el), (la2, lo2, el2) = place
+        km = haversine_km(la[:, None], lo[:, None], la2[None], lo2[None])
+        rise = np.abs(el[:, None] - el2[None])
+        ids, others = x.column("station").to_numpy(), y.column("station").to_numpy()
+        out = {c: [] for c in ("weighting", "station", "other", "n", "score")}
+        for name, (wk, we, wc, k) in weights.items():
+            score = wk * km + we * rise + (wc * (1 - corr) if wc else 0.0)
+            score = np.where((n >= least) if wc else True, score, np.nan)
+            score = np.floor((score + 1e-7) * 1e4 + 0.5) / 1e4
+            score[ids[:, None] == others[None]] = np.nan
+            for i in range(len(ids)):
+                ok = np.flatnonzero(np.isfinite(score[i]))
+                best = ok[np.lexsort([others[ok], score[i, ok]])][:k]
+                for c, v in (("weighting", [name] * len(best)), ("station", [ids[i]] * len(best)), ("other", others[best]), ("n", n[i, best].astype(int)), ("score", score[i, best])):
+                    out[c] += list(v)
+        schema = pa.schema([("weighting", pa.string()), ("station", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
+        return pa.table(out, schema=schema)
+
+    pairs = a.groupBy("bi", "bj").cogroup(b.groupBy("bi2", "bj2"))
+    return pairs.applyInArrow(run, "weighting string, station long, other long, n long, score double")

@@ -46,12 +46,12 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     rows, cols = c.groupBy(a).agg(F.sum("n").alias("ra")), c.groupBy(b).agg(F.sum("n").alias("rb"))
     c2 = lambda x: x * (x - 1) / 2
     total = c.agg(F.sum("n").alias("t"))
-    full = c.join(rows, a).join(cols, b).join(F.broadcast(total))
+    full = c.join(rows, a).join(cols, b).join(total)
     n, ra, rb, t = (F.col(x) for x in ("n", "ra", "rb", "t"))
     pair = full.agg(F.sum(c2(n)).alias("ij"), F.sum(n / t * F.log(n * t / (ra * rb))).alias("mi"), F.first("t").alias("t"))
-    ea = rows.join(F.broadcast(total)).agg(F.sum(c2(ra)).alias("i"), F.sum(-(ra / t) * F.log(ra / t)).alias("ha"))
-    eb = cols.join(F.broadcast(total)).agg(F.sum(c2(rb)).alias("j"), F.sum(-(rb / t) * F.log(rb / t)).alias("hb"))
-    x = pair.join(F.broadcast(ea)).join(F.broadcast(eb))
+    ea = rows.join(total).agg(F.sum(c2(ra)).alias("i"), F.sum(-(ra / t) * F.log(ra / t)).alias("ha"))
+    eb = cols.join(total).agg(F.sum(c2(rb)).alias("j"), F.sum(-(rb / t) * F.log(rb / t)).alias("hb"))
+    x = pair.join(ea).join(eb)
     expected = F.col("i") * F.col("j") / c2(t)
     top = (F.col("i") + F.col("j")) / 2
     return x.select(F.when(top != expected, (F.col("ij") - expected) / (top - expected)).otherwise(1.0).alias("ari"),

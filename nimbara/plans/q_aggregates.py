@@ -28,7 +28,7 @@ def predictions(spark, sf):
     d = daily(spark, sf).filter((F.col("variable") == "view") & F.col("value").isNotNull()).select("station", "day", "value")
     n = nearest_k(stations(spark, sf), 6).select("station", "other")
     u = d.select(F.col("station").alias("other"), "day", F.col("value").alias("u"))
-    return d.join(F.broadcast(n), "station").join(u, ["other", "day"]).groupBy("station", "day", F.col("value").alias("o")).agg(F.avg("u").alias("p"))
+    return d.join(n, "station").join(u, ["other", "day"]).groupBy("station", "day", F.col("value").alias("o")).agg(F.avg("u").alias("p"))
 
 
 @query(f"WITH {OBS}, q AS (SELECT sec // 86400 AS day, value / 10 AS r FROM obs WHERE variable = 'purchase' AND value BETWEEN 20 AND 600) SELECT day, round(avg(r), 4) + 0.0 AS slr, count(*) AS n FROM q GROUP BY day")
@@ -61,7 +61,7 @@ def profile_moments(spark, sf):
 @query(f"WITH {OBS}, {STATIONS} SELECT variable, count(*) AS n, round(CASE WHEN count(*) >= 8 THEN corr(value, elev) END, 5) + 0.0 AS r FROM obs JOIN stations USING (station) WHERE value IS NOT NULL GROUP BY variable")
 def correlation_elevation(spark, sf):
     """Pearson correlation with a least count."""
-    o = obs(spark, sf).filter(F.col("value").isNotNull()).join(F.broadcast(stations(spark, sf)), "station")
+    o = obs(spark, sf).filter(F.col("value").isNotNull()).join(stations(spark, sf), "station")
     return o.groupBy("variable").agg(F.count("*").alias("n"), r(F.when(F.count("*") >= 8, S.pearson(F.col("value"), F.col("elev").cast("double"))), 5).alias("r"))
 
 
@@ -69,7 +69,7 @@ def correlation_elevation(spark, sf):
 q AS (SELECT variable, c.provider, corr(value, CASE WHEN x.provider = c.provider THEN 1.0 ELSE 0.0 END) AS r FROM x, c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY variable ORDER BY round(abs(r), 8) DESC, provider) AS k FROM q) SELECT variable, provider, round(r, 5) + 0.0 AS r FROM k WHERE k = 1""")
 def point_biserial(spark, sf):
     """The class most correlated with each variable."""
-    o = obs(spark, sf).filter(F.col("value").isNotNull()).join(F.broadcast(stations(spark, sf)), "station")
+    o = obs(spark, sf).filter(F.col("value").isNotNull()).join(stations(spark, sf), "station")
     names = ("alpha", "beta", "gamma", "delta")
     wide = o.groupBy("variable").agg(*[S.pearson(F.col("value"), F.when(F.col("provider") == p, 1.0).otherwise(0.0)).alias(p) for p in names])
     long = wide.unpivot("variable", list(names), "provider", "r")
@@ -77,12 +77,6 @@ def point_biserial(spark, sf):
     return long.withColumn("k", F.row_number().over(w)).filter("k = 1").select("variable", "provider", r("r", 5).alias("r"))
 
 
-@query(f"WITH {PRED} SELECT count(*) AS n, round(corr(o, p), 5) + 0.0 AS autocorrelation FROM pred")
-def spatial_autocorrelation(spark, sf):
-    """Values against their neighbours' mean."""
-    return predictions(spark, sf).agg(F.count("*").alias("n"), r(S.pearson(F.col("o"), F.col("p")), 5).alias("autocorrelation"))
-
-
 @query(f"""WITH {OBS}, x AS (SELECT variable, value, CASE WHEN station % 5 = 0 THEN 1 ELSE 0 END AS g FROM obs WHERE value IS NOT NULL), g AS (SELECT variable, value, sum(g) AS a, count(*) - sum(g) AS b FROM x GROUP BY ALL),
 c AS (SELECT variable, sum(a) OVER w * 1.0 / sum(a) OVER v AS fa, sum(b) OVER w * 1.0 / sum(b) OVER v AS fb FROM g WINDOW w AS (PARTITION BY variable ORDER BY value), v AS (PARTITION BY variable)) SELECT variable, round(max(abs(fa - fb)), 6) + 0.0 AS ks FROM c GROUP BY variable""")
 def ks_distance(spark, sf):
@@ -94,25 +88,44 @@ def ks_distance(spark, sf):
     return c.groupBy("variable").agg(r(F.max("d"), 6).alias("ks"))
 
 
-@query(f"""WITH {DAILY}, w AS (SELECT station, day, max(CASE WHEN variable = 'view' THEN value END) AS a, max(CASE WHEN variable = 'error' THEN value END) AS b, coalesce(max(CASE WHEN variable = 'click' THEN total END), 0) AS c FROM daily GROUP BY ALL) SELECT round(corr(a, b), 5) + 0.0 AS view_error, round(corr(a, c), 5) + 0.0 AS view_click, round(corr(b, c), 5) + 0.0 AS error_click FROM w""")
+#: Daily variables of the correlation matrix; the last one is a sum that is 0 on empty days.
+DAILY_VARIABLES = ("view", "error", "signup", "purchase", "click")
+DAILY_PAIRS = [(x, y) for i, x in enumerate(DAILY_VARIABLES) for y in DAILY_VARIABLES[i + 1 :]]
+
+
+@query(f"WITH {DAILY}, w AS (SELECT station, day, "
+       + ", ".join(f"max(CASE WHEN variable = '{v}' THEN value END) AS {v}" for v in DAILY_VARIABLES[:-1])
+       + ", coalesce(max(CASE WHEN variable = 'click' THEN total END), 0) AS click FROM daily GROUP BY ALL) SELECT "
+       + ", ".join(f"round(corr({x}, {y}), 5) + 0.0 AS {x}_{y}" for x, y in DAILY_PAIRS) + " FROM w")
 def correlation_matrix(spark, sf):
-    """Pairwise correlations of daily values; empty days sum to 0."""
+    """All pairwise correlations of five daily variables."""
     case = lambda v, c: F.max(F.when(F.col("variable") == v, F.col(c)))
-    w = daily(spark, sf).groupBy("station", "day").agg(case("view", "value").alias("a"), case("error", "value").alias("b"), F.coalesce(case("click", "total"), F.lit(0.0)).alias("c"))
-    return w.agg(r(S.pearson(F.col("a"), F.col("b")), 5).alias("view_error"), r(S.pearson(F.col("a"), F.col("c")), 5).alias("view_click"), r(S.pearson(F.col("b"), F.col("c")), 5).alias("error_click"))
+    w = daily(spark, sf).groupBy("station", "day").agg(*[case(v, "value").alias(v) for v in DAILY_VARIABLES[:-1]], F.coalesce(case("click", "total"), F.lit(0.0)).alias("click"))
+    return w.agg(*[r(S.pearson(F.col(x), F.col(y)), 5).alias(f"{x}_{y}") for x, y in DAILY_PAIRS])
+
+
+@query(f"""WITH {DAILY}, {STATIONS} SELECT station, provider, lat + 0.0 AS lat, lon + 0.0 AS lon, elev, variable, strftime(DATE '1970-01-01' + CAST(day AS INTEGER), '%Y-%m-%d') AS time,
+round(value, 4) + 0.0 AS value, n, n >= 2 AS covered FROM daily JOIN stations USING (station) WHERE value IS NOT NULL AND lat BETWEEN 46.4 AND 47.6 AND lon BETWEEN 9.5 AND 11.5""")
+def domain_aggregation(spark, sf):
+    """Daily values of the stations inside the domain, in one fixed schema."""
+    inside = F.col("lat").between(46.4, 47.6) & F.col("lon").between(9.5, 11.5)
+    s = stations(spark, sf).withColumn("inside_domain", inside.cast("int")).filter("inside_domain = 1")
+    d = daily(spark, sf).filter(F.col("value").isNotNull()).join(s, "station")
+    time = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.col("day").cast("int")), "yyyy-MM-dd")
+    return d.select("station", "provider", "lat", "lon", "elev", "variable", time.alias("time"), r("value").alias("value"), "n", (F.col("n") >= 2).alias("covered"))
 
 
 @query(f"WITH {OBS}, {STATIONS}, x AS (SELECT round(lat, 1) AS la, round(lon, 1) AS lo, provider, variable, elev FROM obs JOIN stations USING (station)) SELECT la + 0.0 AS lat_key, lo + 0.0 AS lon_key, count(DISTINCT variable) AS n_vars, string_agg(DISTINCT provider, ', ' ORDER BY provider) AS providers, round(avg(elev), 3) + 0.0 AS mean_elev FROM x GROUP BY la, lo")
 def station_overlap(spark, sf):
     """Variables and providers at rounded places."""
-    x = obs(spark, sf).join(F.broadcast(stations(spark, sf)), "station")
+    x = obs(spark, sf).join(stations(spark, sf), "station")
     return x.groupBy(r("lat", 1).alias("lat_key"), r("lon", 1).alias("lon_key")).agg(F.count_distinct("variable").alias("n_vars"), F.array_join(F.array_sort(F.collect_set("provider")), ", ").alias("providers"), r(F.avg("elev"), 3).alias("mean_elev"))
 
 
 @query(f"WITH {OBS}, {STATIONS} SELECT coalesce(variable, 'all') AS variable, coalesce(provider, 'all') AS provider, count(DISTINCT station) AS n FROM obs JOIN stations USING (station) GROUP BY GROUPING SETS ((), (variable), (provider))")
 def station_counts(spark, sf):
     """Stations in total, by variable and by provider."""
-    x = obs(spark, sf).select("station", "variable").distinct().join(F.broadcast(stations(spark, sf).select("station", "provider")), "station")
+    x = obs(spark, sf).select("station", "variable").distinct().join(stations(spark, sf).select("station", "provider"), "station")
     g = x.groupingSets([[], ["variable"], ["provider"]], "variable", "provider").agg(F.count_distinct("station").alias("n"))
     return g.select(F.coalesce("variable", F.lit("all")).alias("variable"), F.coalesce("provider", F.lit("all")).alias("provider"), "n")
 
@@ -120,7 +133,7 @@ def station_counts(spark, sf):
 @query(f"WITH {DAILY}, {STATIONS}, d AS (SELECT station, day, count(DISTINCT variable) AS k FROM daily GROUP BY ALL), c AS (SELECT provider, k, count(*) AS n FROM d JOIN stations USING (station) GROUP BY ALL) SELECT provider, k AS n_vars, round(100.0 * n / sum(n) OVER (PARTITION BY provider), 4) + 0.0 AS pct FROM c")
 def crosstab_rows(spark, sf):
     """Shares of each row."""
-    d = daily(spark, sf).groupBy("station", "day").agg(F.count_distinct("variable").alias("n_vars")).join(F.broadcast(stations(spark, sf)), "station")
+    d = daily(spark, sf).groupBy("station", "day").agg(F.count_distinct("variable").alias("n_vars")).join(stations(spark, sf), "station")
     c = d.groupBy("provider", "n_vars").count()
     return c.select("provider", "n_vars", r(100.0 * F.col("count") / F.sum("count").over(Window.partitionBy("provider"))).alias("pct"))
 
@@ -129,7 +142,7 @@ def crosstab_rows(spark, sf):
 SELECT coalesce(split, 'all') AS split, coalesce(band, 'all') AS band, count(*) AS n, round(sqrt(avg(pow(p - o, 2))), 4) + 0.0 AS rmse, round(avg(p - o), 4) + 0.0 AS me FROM x GROUP BY GROUPING SETS ((split), (band), (split, band))""")
 def metrics_grouping_sets(spark, sf):
     """Several groupings of the same scores in one pass."""
-    x = predictions(spark, sf).join(F.broadcast(stations(spark, sf)), "station").withColumn("split", F.when(F.col("day") % 3 == 0, "test").otherwise("train")).withColumn("band", band())
+    x = predictions(spark, sf).join(stations(spark, sf), "station").withColumn("split", F.when(F.col("day") % 3 == 0, "test").otherwise("train")).withColumn("band", band())
     s = S.core_scores(F.col("o"), F.col("p"))
     g = x.groupingSets([["split"], ["band"], ["split", "band"]], "split", "band").agg(s["n"].alias("n"), r(s["rmse"]).alias("rmse"), r(s["me"]).alias("me"))
     return g.select(F.coalesce("split", F.lit("all")).alias("split"), F.coalesce("band", F.lit("all")).alias("band"), "n", "rmse", "me")
@@ -166,14 +179,14 @@ def method_ranking(spark, sf):
 @query(f"WITH {PRED} SELECT CASE WHEN elev >= 1500 THEN 'mountain' ELSE 'valley' END AS terrain, {BAND} AS band, day // 7 AS week, round(avg(p - o), 4) + 0.0 AS residual, round(stddev_samp(p - o), 4) + 0.0 AS spread, count(*) AS n FROM pred JOIN stations USING (station) GROUP BY ALL")
 def error_groups(spark, sf):
     """Residuals by terrain, band and period."""
-    x = predictions(spark, sf).join(F.broadcast(stations(spark, sf)), "station").withColumn("e", F.col("p") - F.col("o"))
+    x = predictions(spark, sf).join(stations(spark, sf), "station").withColumn("e", F.col("p") - F.col("o"))
     return x.groupBy(F.when(F.col("elev") >= 1500, "mountain").otherwise("valley").alias("terrain"), band().alias("band"), F.expr("day div 7").alias("week")).agg(r(F.avg("e")).alias("residual"), r(F.stddev_samp("e")).alias("spread"), F.count("*").alias("n"))
 
 
 @query(f"WITH {PRED} SELECT provider, round(stddev_pop(o), 4) + 0.0 AS std_o, round(stddev_pop(p), 4) + 0.0 AS std_p, round(corr(o, p), 4) + 0.0 AS r FROM pred JOIN stations USING (station) GROUP BY provider")
 def taylor_stats(spark, sf):
     """Deviations and correlation."""
-    x = predictions(spark, sf).join(F.broadcast(stations(spark, sf)), "station")
+    x = predictions(spark, sf).join(stations(spark, sf), "station")
     return x.groupBy("provider").agg(r(F.stddev_pop("o")).alias("std_o"), r(F.stddev_pop("p")).alias("std_p"), r(S.pearson(F.col("o"), F.col("p"))).alias("r"))
 
 
@@ -185,7 +198,7 @@ def parameter_sensitivity(spark, sf):
     u = s.unpivot("rmse", ["a", "b"], "parameter", "level")
     g = u.groupBy("parameter", "level").agg(F.min("rmse").alias("lo"), r(F.avg("rmse")).alias("mean_value"), F.max("rmse").alias("hi"), F.count("*").alias("n"), r(F.stddev_samp("rmse")).alias("sd"))
     best = g.agg(F.min("lo").alias("best"))
-    return g.join(F.broadcast(best)).select("parameter", "level", "lo", "mean_value", "hi", "n", "sd", r(100 * (F.col("lo") - F.col("best")) / F.col("best")).alias("gap_pct"))
+    return g.join(best).select("parameter", "level", "lo", "mean_value", "hi", "n", "sd", r(100 * (F.col("lo") - F.col("best")) / F.col("best")).alias("gap_pct"))
 
 
 @query("SELECT p_brand, p_type, round(quantile_cont(p_retailprice, 0.5), 4) + 0.0 AS median_score, count(*) AS n FROM part GROUP BY ALL")
@@ -259,7 +272,7 @@ def topk_stability(spark, sf):
     t = tops(spark, sf).groupBy("variable").agg(F.collect_set("station").alias("s"))
     x, y = t.select(F.col("variable").alias("a"), F.col("s").alias("sa")), t.select(F.col("variable").alias("b"), F.col("s").alias("sb"))
     j = F.size(F.array_intersect("sa", "sb")) / F.size(F.array_union("sa", "sb"))
-    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", r(j, 6).alias("jaccard"))
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", r(j, 6).alias("jaccard"))
 
 
 @query(f"WITH {TOP} SELECT station, count(*) AS times FROM tk WHERE k <= 30 GROUP BY station")
@@ -277,7 +290,7 @@ def histogram(spark, sf):
 @query(f"WITH {OBS}, {STATIONS}, m AS (SELECT variable, station, any_value(elev) AS elev, avg(value) AS m, count(value) AS n FROM obs JOIN stations USING (station) GROUP BY ALL HAVING count(value) >= 3) SELECT variable, count(*) AS n, round(CASE WHEN count(*) >= 5 THEN regr_slope(m, elev) END, 7) + 0.0 AS slope, round(CASE WHEN count(*) >= 5 THEN regr_intercept(m, elev) END, 4) + 0.0 AS intercept FROM m GROUP BY variable")
 def elevation_trend(spark, sf):
     """Linear trend of station means with elevation."""
-    m = obs(spark, sf).join(F.broadcast(stations(spark, sf)), "station").groupBy("variable", "station", "elev").agg(F.avg("value").alias("m"), F.count("value").alias("n")).filter("n >= 3")
+    m = obs(spark, sf).join(stations(spark, sf), "station").groupBy("variable", "station", "elev").agg(F.avg("value").alias("m"), F.count("value").alias("n")).filter("n >= 3")
     x = F.col("elev").cast("double")
     enough = F.count("*") >= 5
     return m.groupBy("variable").agg(F.count("*").alias("n"), r(F.when(enough, F.regr_slope("m", x)), 7).alias("slope"), r(F.when(enough, F.regr_intercept("m", x))).alias("intercept"))
@@ -286,7 +299,7 @@ def elevation_trend(spark, sf):
 @query(f"WITH {OBS}, {STATIONS} SELECT (sec // 604800) AS period, {BAND} AS band, round(avg(value), 4) + 0.0 AS mean_value FROM obs JOIN stations USING (station) GROUP BY ALL")
 def band_means(spark, sf):
     """Period means by elevation band."""
-    return obs(spark, sf).join(F.broadcast(stations(spark, sf)), "station").groupBy(F.expr("sec div 604800").alias("period"), band().alias("band")).agg(r(F.avg("value")).alias("mean_value"))
+    return obs(spark, sf).join(stations(spark, sf), "station").groupBy(F.expr("sec div 604800").alias("period"), band().alias("band")).agg(r(F.avg("value")).alias("mean_value"))
 
 
 @query(f"WITH {OBS} SELECT station, sec // 86400 AS day, round(sum(value), 4) + 0.0 AS total FROM obs WHERE variable = 'click' GROUP BY ALL")
@@ -329,7 +342,7 @@ def holdout_stations(spark, sf):
     s = stations(spark, sf).select("station", F.md5(F.concat(F.col("station").cast("string"), F.lit(":42"))).alias("h"))
     total = s.count()  # stations are a dimension
     held = s.orderBy("h", "station").limit(-(-15 * total // 100)).select("station").withColumn("held", F.lit(True))
-    return s.join(F.broadcast(held), "station", "left").select("station", F.coalesce("held", F.lit(False)).alias("held_out"))
+    return s.join(held, "station", "left").select("station", F.coalesce("held", F.lit(False)).alias("held_out"))
 
 
 @query(f"WITH {STATIONS}, h AS (SELECT station, CAST(floor(lat / 0.5) AS BIGINT) AS a, CAST(floor(lon / 0.75) AS BIGINT) AS b, elev // 1000 AS e, {HASH} AS h FROM stations), k AS (SELECT *, row_number() OVER (PARTITION BY a, b, e ORDER BY h, station) AS k, count(*) OVER (PARTITION BY a, b, e) AS n FROM h) SELECT station, a, b, e FROM k WHERE k <= floor(n * 0.3)")
@@ -369,7 +382,7 @@ def set_operations(spark, sf):
 SELECT split, is_heldout, is_tune_target, count(*) AS n, count(CASE WHEN NOT is_heldout THEN 1 END) AS donors, count(CASE WHEN NOT is_heldout AND NOT is_tune_target THEN 1 END) AS tune_donors, count(CASE WHEN is_heldout AND split = 'test' THEN 1 END) AS scored, count(CASE WHEN NOT is_heldout AND split <> 'test' THEN 1 END) AS panel FROM t GROUP BY ALL""")
 def protocol_tag(spark, sf):
     """Tags and masks of the locked protocol."""
-    d = daily(spark, sf).filter(F.col("variable") == "view").join(F.broadcast(stations(spark, sf).select("station")), "station")
+    d = daily(spark, sf).filter(F.col("variable") == "view").join(stations(spark, sf).select("station"), "station")
     t = d.withColumn("is_heldout", F.col("station") % 7 == 0).withColumn("is_tune_target", F.col("station") % 7 == 1).withColumn("split", F.when(F.col("day") < 19739, "train").when(F.col("day") < 19745, "tune").otherwise("test"))
     n = lambda c: F.count(F.when(c, 1))
     held, tune, split = F.col("is_heldout"), F.col("is_tune_target"), F.col("split")
@@ -383,13 +396,14 @@ def run_stamp(spark, sf):
     return g.select("provider", F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256).alias("stamp"), "n")
 
 
-@query(f"WITH {PRED} SELECT 'neighbour' AS method, station, day, round(o, 4) + 0.0 AS observed, round(p, 4) + 0.0 AS predicted FROM pred UNION ALL SELECT 'climate', station, day, round(o, 4) + 0.0, NULL FROM pred WHERE station % 10 = 0")
+@query(f"""WITH {PRED} SELECT 'neighbour' AS method, station, day, round(o, 4) + 0.0 AS observed, round(p, 4) + 0.0 AS predicted FROM pred
+UNION ALL SELECT 'climate', station, day, round(o, 4) + 0.0 AS observed, round(avg(o) OVER (PARTITION BY station), 4) + 0.0 AS predicted FROM pred""")
 def collect_predictions(spark, sf):
     """Predictions of several methods in one table, columns aligned by name."""
-    p = predictions(spark, sf).select("station", "day", r("o").alias("observed"), r("p").alias("predicted"))
-    a = p.withColumn("method", F.lit("neighbour"))
-    b = p.filter(F.col("station") % 10 == 0).drop("predicted").withColumn("method", F.lit("climate"))
-    return a.unionByName(b, allowMissingColumns=True).select("method", "station", "day", "observed", "predicted")
+    p = predictions(spark, sf)
+    a = p.select(F.lit("neighbour").alias("method"), "station", "day", r("o").alias("observed"), r("p").alias("predicted"))
+    b = p.withColumn("mean", F.avg("o").over(Window.partitionBy("station"))).select("station", "day", r("mean").alias("predicted"), r("o").alias("observed"), F.lit("climate").alias("method"))
+    return a.unionByName(b)
 
 
 @query(f"WITH {OBS} SELECT variable, round(avg((value - m) / s), 6) + 0.0 AS z_mean, round(max((value - lo) / (hi - lo)), 6) + 0.0 AS scaled_max, round(sum(ln(1 + value) / ln(1 + hi)), 3) + 0.0 AS log_sum, round(max(1 / (1 + exp(-value / 100))), 6) + 0.0 AS sigmoid_max FROM (SELECT variable, value, avg(value) OVER v AS m, stddev_samp(value) OVER v AS s, min(value) OVER v AS lo, max(value) OVER v AS hi FROM obs WHERE value IS NOT NULL WINDOW v AS (PARTITION BY variable)) GROUP BY variable")
@@ -397,7 +411,7 @@ def scalers(spark, sf):
     """standard, range and logarithmic scaling from group statistics."""
     o = obs(spark, sf).filter(F.col("value").isNotNull())
     st = o.groupBy("variable").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    x = o.join(F.broadcast(st), "variable")
+    x = o.join(st, "variable")
     v = F.col("value")
     return x.groupBy("variable").agg(r(F.avg((v - F.col("m")) / F.col("s")), 6).alias("z_mean"), r(F.max((v - F.col("lo")) / (F.col("hi") - F.col("lo"))), 6).alias("scaled_max"), r(F.sum(F.log1p(v) / F.log1p("hi")), 3).alias("log_sum"), r(F.max(1 / (1 + F.exp(-v / 100))), 6).alias("sigmoid_max"))
 

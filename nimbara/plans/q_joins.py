@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nimbara.operators import joins as J
+from nimbara.operators import kernels as K
 from nimbara.operators.scores import pearson
 from nimbara.plans.base import DAILY, OBS, SLOTS, STATIONS, daily, obs, r, read, slots, stations
 from nimbara.plans.registry import query
@@ -16,8 +17,8 @@ NEAR = "n AS (SELECT x.station, y.station AS other, row_number() OVER (PARTITION
 
 @query(f"WITH {OBS}, {STATIONS} SELECT provider, variable, count(*) AS n, round(avg(value), 4) + 0.0 AS mean_value FROM obs JOIN stations USING (station) GROUP BY ALL")
 def panel_stations(spark, sf):
-    """Observations with their station, a broadcast dimension."""
-    return obs(spark, sf).join(F.broadcast(stations(spark, sf)), "station").groupBy("provider", "variable").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean_value"))
+    """Observations with their station."""
+    return obs(spark, sf).join(stations(spark, sf), "station").groupBy("provider", "variable").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean_value"))
 
 
 @query(f"WITH {DAILY} SELECT a.station, a.day, a.value AS precip, b.value AS temp FROM daily a LEFT JOIN daily b ON a.station = b.station AND a.day = b.day AND b.variable = 'view' WHERE a.variable = 'click'".replace("a.value AS precip, b.value AS temp", "round(a.value, 4) + 0.0 AS precip, round(b.value, 4) + 0.0 AS temp"))
@@ -45,13 +46,13 @@ def master_pivot(spark, sf):
 @query(f"WITH {STATIONS}, {OBS} SELECT event_id FROM obs WHERE station IN (SELECT station FROM stations WHERE elev > 1500)")
 def semi_stations(spark, sf):
     """Rows of chosen stations."""
-    return obs(spark, sf).join(F.broadcast(stations(spark, sf).filter(F.col("elev") > 1500)), "station", "left_semi").select("event_id")
+    return obs(spark, sf).join(stations(spark, sf).filter(F.col("elev") > 1500), "station", "left_semi").select("event_id")
 
 
 @query(f"WITH {STATIONS}, {OBS} SELECT event_id FROM obs WHERE station NOT IN (SELECT station FROM stations WHERE elev > 1500)")
 def anti_stations(spark, sf):
     """Rows of all other stations."""
-    return obs(spark, sf).join(F.broadcast(stations(spark, sf).filter(F.col("elev") > 1500)), "station", "left_anti").select("event_id")
+    return obs(spark, sf).join(stations(spark, sf).filter(F.col("elev") > 1500), "station", "left_anti").select("event_id")
 
 
 @query(f"WITH {SLOTS} SELECT a.station, a.slot, round(a.value - b.value, 4) + 0.0 AS change FROM slots a JOIN slots b ON a.station = b.station AND b.slot = a.slot - 12")
@@ -95,7 +96,7 @@ def nearest_provider(spark, sf):
     """Nearest provider within a cut-off, else Unknown."""
     p = read(spark, sf, "supplier").select("s_name", (46.0 + (F.col("s_suppkey") * 41 % 100) / 50.0).alias("lat2"), (9.0 + (F.col("s_suppkey") * 29 % 150) / 50.0).alias("lon2"))
     m = F.round(J.equirectangular_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), F.lit(47.0)), 3)
-    d = stations(spark, sf).join(F.broadcast(p)).withColumn("m", m).groupBy("station").agg(F.min(F.struct("m", "s_name")).alias("b"))
+    d = stations(spark, sf).join(p).withColumn("m", m).groupBy("station").agg(F.min(F.struct("m", "s_name")).alias("b"))
     return d.select("station", r("b.m", 2).alias("metres"), F.when(F.col("b.m") <= 4000, F.col("b.s_name")).otherwise("Unknown").alias("provider"))
 
 
@@ -112,21 +113,29 @@ def knn_anisotropic(spark, sf):
     return J.nearest_k(stations(spark, sf), 4, scale=0.001, extra="elev").select("station", "other", "rank", (F.col("d2") + 0.0).alias("d2"))
 
 
-@query(f"""WITH {DAILY}, {STATIONS}, d AS (SELECT station, day, value FROM daily WHERE variable = 'view' AND value IS NOT NULL), c AS (SELECT a.station, b.station AS other, count(*) AS n, corr(a.value, b.value) AS c FROM d a JOIN d b ON a.day = b.day AND a.station <> b.station GROUP BY ALL HAVING count(*) >= 5),
-s AS (SELECT c.station, c.other, n, round(0.25 * {HAV} + 0.15 * abs(x.elev - y.elev) + 0.6 * (1 - c), 4) + 0.0 AS score FROM c JOIN stations x ON x.station = c.station JOIN stations y ON y.station = c.other WHERE c IS NOT NULL AND NOT isnan(c)), k AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY score, other) AS rank FROM s)
-SELECT station, other, n, score, rank FROM k WHERE rank <= 4""")
+#: Weighting -> kilometres, metres, 1 - correlation, and how many others.
+WEIGHTS = {"variables": (0.25, 0.15, 0.6, 8), "amounts": (0.35, 0.25, 0.4, 10), "places": (0.6, 0.4, 0.0, 8)}
+_WEIGHTS = ", ".join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {k})" for n, (a, b, c, k) in WEIGHTS.items())
+
+
+@query(f"""WITH {DAILY}, {STATIONS}, d AS (SELECT station, day, value FROM daily WHERE variable = 'view' AND value IS NOT NULL),
+c AS (SELECT a.station, b.station AS other, count(*) AS n, corr(a.value, b.value) AS c FROM d a JOIN d b ON a.day = b.day AND a.station <> b.station GROUP BY ALL),
+h AS (SELECT DISTINCT station FROM d), w(weighting, wk, we, wc, most) AS (VALUES {_WEIGHTS}),
+p AS (SELECT x.station, y.station AS other, {HAV} AS km, abs(x.elev - y.elev) AS rise, coalesce(n, 0) AS n, c
+  FROM stations x JOIN h ON h.station = x.station JOIN stations y ON x.station <> y.station JOIN h g ON g.station = y.station LEFT JOIN c ON c.station = x.station AND c.other = y.station),
+s AS (SELECT weighting, most, station, other, n, round(wk * km + we * rise + CASE WHEN wc > 0 THEN wc * (1 - c) ELSE 0 END, 4) + 0.0 AS score FROM p, w WHERE wc = 0 OR (n >= 5 AND c IS NOT NULL AND NOT isnan(c))),
+k AS (SELECT *, row_number() OVER (PARTITION BY weighting, station ORDER BY score, other) AS rank FROM s)
+SELECT weighting, station, other, n, score, rank FROM k WHERE rank <= most""")
 def similarity_rank(spark, sf):
-    """Ranking by distance, elevation and correlation on common days."""
-    d = daily(spark, sf).filter((F.col("variable") == "view") & F.col("value").isNotNull()).select("station", "day", "value")
-    b = d.select(F.col("station").alias("other"), "day", F.col("value").alias("v2"))
-    c = d.join(b, "day").filter(F.col("station") != F.col("other")).groupBy("station", "other").agg(F.count("*").alias("n"), pearson(F.col("value"), F.col("v2")).alias("c"))
-    c = c.filter((F.col("n") >= 5) & F.col("c").isNotNull() & ~F.isnan("c"))
-    s = stations(spark, sf)
-    x, y = s.select("station", "lat", "lon", "elev"), s.select(F.col("station").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("elev").alias("elev2"))
-    score = 0.25 * J.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) + 0.15 * F.abs(F.col("elev") - F.col("elev2")) + 0.6 * (1 - F.col("c"))
-    k = c.join(F.broadcast(x), "station").join(F.broadcast(y), "other").withColumn("score", r(score))
-    w = Window.partitionBy("station").orderBy("score", "other")
-    return k.withColumn("rank", F.row_number().over(w)).filter("rank <= 4").select("station", "other", "n", "score", "rank")
+    """The most similar stations by distance, elevation and correlation on common days, in three weightings."""
+    d = daily(spark, sf).filter((F.col("variable") == "view") & F.col("value").isNotNull())
+    rows = d.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("day", "value"))).alias("x"))
+    rows = rows.join(stations(spark, sf), "station").select("station", "lat", "lon", "elev", F.col("x.day").alias("days"), F.col("x.value").alias("values"))
+    blocks = max(1, -(-rows.count() // K.SERIES))
+    best = K.similar_stations(rows, WEIGHTS, 5, blocks)
+    most = F.coalesce(*[F.when(F.col("weighting") == n, k) for n, (_, _, _, k) in WEIGHTS.items()])
+    w = Window.partitionBy("weighting", "station").orderBy("score", "other")
+    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
 POLY = [(9.5, 46.2, 11.6, 46.4), (11.6, 46.4, 11.0, 47.8), (11.0, 47.8, 9.8, 47.5), (9.8, 47.5, 9.5, 46.2)]
@@ -141,7 +150,7 @@ def point_in_polygon(spark, sf):
     e = spark.createDataFrame(POLY, "x1 double, y1 double, x2 double, y2 double")
     s = stations(spark, sf).select("station", "lat", "lon")
     inside = J.ray_cast(s, e, "lon", "lat").select("station", "inside")
-    d = s.join(F.broadcast(e)).groupBy("station").agg(F.min(J.segment_distance(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])).alias("dist"))
+    d = s.join(e).groupBy("station").agg(F.min(J.segment_distance(*[F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2")])).alias("dist"))
     return inside.join(d, "station").select("station", "inside", (F.col("inside") | (F.col("dist") <= 0.25)).alias("inside_buffer"), r("dist", 5).alias("dist"))
 
 
@@ -159,7 +168,7 @@ w AS (SELECT c.station, sum(g.elev * (CASE WHEN g.ix = x0 THEN 1 - u ELSE u END)
 SELECT c.station, g.elev AS nearest, round(b, 4) + 0.0 AS bilinear FROM c JOIN w USING (station) LEFT JOIN grid g ON g.ix = CAST(floor(fx + 0.5) AS BIGINT) AND g.iy = CAST(floor(fy + 0.5) AS BIGINT)""")
 def raster_sample(spark, sf):
     """Nearest and bilinear samples of a grid table."""
-    g = F.broadcast(grid(spark))
+    g = grid(spark)
     fx, fy = (F.col("lon") - 9.0) / 0.1, (F.col("lat") - 46.0) / 0.1
     c = stations(spark, sf).select("station", fx.alias("fx"), fy.alias("fy"), F.floor(fx).alias("x0"), F.floor(fy).alias("y0"), (fx - F.floor(fx)).alias("u"), (fy - F.floor(fy)).alias("v"))
     corners = c.withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("dy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("ix", F.col("x0") + F.col("dx")).withColumn("iy", F.col("y0") + F.col("dy"))
@@ -177,10 +186,10 @@ def sight_cost(spark, sf):
     s = stations(spark, sf)
     a = s.select("station", F.col("lat").alias("la"), F.col("lon").alias("lo"), F.col("elev").alias("ea"))
     b = s.select(F.col("station").alias("other"), F.col("lat").alias("lb"), F.col("lon").alias("lp"), F.col("elev").alias("eb"))
-    line = J.nearest_k(s, 2).join(F.broadcast(a), "station").join(F.broadcast(b), "other").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("t", F.col("t") / 8.0)
+    line = J.nearest_k(s, 2).join(a, "station").join(b, "other").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("t", F.col("t") / 8.0)
     at = line.withColumn("ix", F.floor((F.col("lo") + (F.col("lp") - F.col("lo")) * F.col("t") - 9.0) / 0.1 + 0.5)).withColumn("iy", F.floor((F.col("la") + (F.col("lb") - F.col("la")) * F.col("t") - 46.0) / 0.1 + 0.5))
     over = F.col("elev") - (F.col("ea") + (F.col("eb") - F.col("ea")) * F.col("t"))
-    m = at.join(F.broadcast(grid(spark)), ["ix", "iy"], "left").groupBy("station", "other", "d2").agg(F.max(over).alias("over"))
+    m = at.join(grid(spark), ["ix", "iy"], "left").groupBy("station", "other", "d2").agg(F.max(over).alias("over"))
     return m.select("station", "other", r(F.sqrt("d2") * (1 + 2 * F.greatest(F.lit(0.0), F.coalesce("over", F.lit(0.0))) / 500)).alias("cost"))
 
 
@@ -189,7 +198,7 @@ def grid_prediction(spark, sf):
     """Every cell with every station (both bounded dimensions)."""
     s = stations(spark, sf).select("station", "lat", "lon", F.col("elev").alias("z"))
     d = F.pow(F.col("lon") - 9.0 - F.col("ix") * 0.1, 2.0) + F.pow(F.col("lat") - 46.0 - F.col("iy") * 0.1, 2.0) + 0.01
-    g = grid(spark).select("ix", "iy").join(F.broadcast(s)).withColumn("w", 1 / d)
+    g = grid(spark).select("ix", "iy").join(s).withColumn("w", 1 / d)
     return g.groupBy("ix", "iy").agg(r(F.sum(F.col("z") * F.col("w")) / F.sum("w"), 3).alias("value"))
 
 

@@ -58,6 +58,19 @@ def idw_two_step(spark, sf):
     return g.select("station", "day", r("p").alias("p_wet"), r(F.when(F.col("p") >= 0.5, F.col("a")).otherwise(0.0)).alias("predicted"))
 
 
+def combination_scores(spark, sf):
+    """day, power, fz, k, rmse (leave-one-out) of every combination: sums of all of them in one aggregation of the neighbours."""
+    n = neighbours(field(spark, sf), 8)
+    sums = []
+    for i, (p, fz, k) in enumerate(COMBOS):
+        w = F.when(F.col("rank") <= k, idw_weight(fz, p))
+        sums += [(F.sum(w * F.col("u")) / F.sum(w)).alias(f"_{i}")]
+    e = n.groupBy("day", "station").agg(F.max("value").alias("o"), *sums)
+    scores = e.groupBy("day").agg(*[F.round(F.sqrt(F.avg(F.pow(F.col(f"_{i}") - F.col("o"), 2.0))), 6).alias(f"_{i}") for i in range(len(COMBOS))])
+    each = [F.struct(F.lit(p).alias("power"), F.lit(fz).alias("fz"), F.lit(k).cast("long").alias("k"), F.col(f"_{i}").alias("rmse")) for i, (p, fz, k) in enumerate(COMBOS)]
+    return scores.select("day", F.explode(F.array(*each)).alias("c")).select("day", "c.*")
+
+
 COMBOS = [(p, fz, k) for p in (1.0, 2.0, 3.0) for fz in (0.0, 0.3) for k in (4, 8)]
 _COMBOS = ", ".join(f"({p}::DOUBLE, {fz}::DOUBLE, {k})" for p, fz, k in COMBOS)
 
@@ -66,13 +79,31 @@ _COMBOS = ", ".join(f"({p}::DOUBLE, {fz}::DOUBLE, {k})" for p, fz, k in COMBOS)
 s AS (SELECT day, p, fz, k, round(sqrt(avg(pow(pr - o, 2))), 6) AS rmse FROM e GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rmse, p, fz, k) AS place FROM s) SELECT day, p AS power, fz, k::BIGINT AS k, rmse + 0.0 AS rmse FROM b WHERE place = 1""")
 def idw_search(spark, sf):
     """Every parameter combination on every time, and the best of each time."""
-    c = spark.createDataFrame(COMBOS, "power double, fz double, k long")
-    n = neighbours(field(spark, sf), 8).join(F.broadcast(c), F.col("rank") <= F.col("k"))
-    w = (1 - F.col("fz")) * F.pow(F.greatest("dxy", F.lit(1e-6)), -F.col("power")) + F.col("fz") * F.when(F.col("dz") > 0, F.pow("dz", -F.col("power"))).otherwise(0.0)
-    e = n.withColumn("w", w).groupBy("day", "power", "fz", "k", "station").agg(F.max("value").alias("o"), (F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("p"))
-    s = e.groupBy("day", "power", "fz", "k").agg(F.round(F.sqrt(F.avg(F.pow(F.col("p") - F.col("o"), 2.0))), 6).alias("rmse"))
     place = F.row_number().over(Window.partitionBy("day").orderBy("rmse", "power", "fz", "k"))
-    return s.withColumn("place", place).filter("place = 1").select("day", "power", "fz", "k", (F.col("rmse") + 0.0).alias("rmse"))
+    s = combination_scores(spark, sf).withColumn("place", place).filter("place = 1")
+    return s.select("day", "power", "fz", "k", (F.col("rmse") + 0.0).alias("rmse"))
+
+
+#: Of the search: days of the prefix, how much worse than the best a combination may be there, and days of one mode that end it.
+PREFIX, WORSE, STABLE = 5, 1.2, 4
+
+
+@query(f"""WITH {FIELD}, {_N}, c(p, fz, k) AS (VALUES {_COMBOS}),
+e AS (SELECT day, p, fz, k, station, any_value(value) AS o, sum(((1 - fz) * pow(greatest(dxy, 1e-6), -p) + fz * CASE WHEN dz > 0 THEN pow(dz, -p) ELSE 0 END) * u) / sum((1 - fz) * pow(greatest(dxy, 1e-6), -p) + fz * CASE WHEN dz > 0 THEN pow(dz, -p) ELSE 0 END) AS pr FROM n JOIN c ON rank <= k GROUP BY ALL),
+s AS (SELECT day, p, fz, k, round(sqrt(avg(pow(pr - o, 2))), 6) AS rmse FROM e GROUP BY ALL),
+t AS (SELECT day, row_number() OVER (ORDER BY day) AS i FROM (SELECT DISTINCT day FROM s)),
+x AS (SELECT p, fz, k, round(avg(rmse), 6) AS m FROM s JOIN t USING (day) WHERE i <= {PREFIX} GROUP BY ALL),
+g AS (SELECT * FROM x WHERE m <= {WORSE} * (SELECT min(m) FROM x)),
+b AS (SELECT i, s.p, s.fz, s.k, row_number() OVER (PARTITION BY i ORDER BY rmse, s.p, s.fz, s.k) AS place FROM s JOIN g USING (p, fz, k) JOIN t USING (day)),
+w AS (SELECT i, p, fz, k FROM b WHERE place = 1),
+r AS (SELECT t.i, w.p, w.fz, w.k, count(*) AS wins FROM t JOIN w ON w.i <= t.i GROUP BY ALL),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY wins DESC, p, fz, k) AS place FROM r) WHERE place = 1),
+q AS (SELECT a.i FROM m a JOIN m b ON b.i > a.i - {STABLE} AND b.i <= a.i AND b.p = a.p AND b.fz = a.fz AND b.k = a.k GROUP BY a.i HAVING count(*) = {STABLE}),
+z AS (SELECT coalesce((SELECT min(i) FROM q), (SELECT max(i) FROM t)) AS last)
+SELECT any_value(last) AS times, (SELECT count(*) FROM g) AS combinations, quantile_cont(p, 0.5) AS power, quantile_cont(fz, 0.5) AS fz, quantile_cont(k, 0.5)::DOUBLE AS k FROM w, z WHERE i <= last""")
+def idw_protocol(spark, sf):
+    """The whole search: prefix filter, per-time winners until their mode is stable, median of the winners."""
+    return K.search_protocol(combination_scores(spark, sf), "day", ["power", "fz", "k"], PREFIX, WORSE, STABLE)
 
 
 @query(f"WITH {FIELD}, {_N} SELECT station, day, round(sum((0.7 * pow(greatest(dxy, 1e-3), -2.0) + 0.3 * pow(greatest(dz, 1e-3), -2.0)) * u) / sum(0.7 * pow(greatest(dxy, 1e-3), -2.0) + 0.3 * pow(greatest(dz, 1e-3), -2.0)), 4) + 0.0 AS predicted FROM n WHERE rank <= 8 GROUP BY ALL")
@@ -98,10 +129,22 @@ def empirical_variogram(spark, sf):
     g = f.select(F.col("station").alias("other"), "day", F.col("value").alias("u"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     p = f.join(g, "day").filter(F.col("station") < F.col("other")).select(F.sqrt(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0)).alias("d"), (0.5 * F.pow(F.col("value") - F.col("u"), 2.0)).alias("g"))
     q = p.agg(F.percentile("d", 0.75).alias("top"))
-    b = p.join(F.broadcast(q)).filter(F.col("d") < F.col("top")).groupBy(F.floor(F.col("d") / (F.col("top") / 12)).alias("bin"))
+    b = p.join(q).filter(F.col("d") < F.col("top")).groupBy(F.floor(F.col("d") / (F.col("top") / 12)).alias("bin"))
     return b.agg(F.count("*").alias("n"), r(F.avg("d")).alias("lag"), r(F.avg("g")).alias("semivariance")).filter("n >= 5")
 
 
+@query(f"""WITH {FIELD}, {_N}, i AS (SELECT station, day, any_value(value) AS o, avg(u) AS m, any_value(value) - sum({_w(0.0, 2.0)} * u) / sum({_w(0.0, 2.0)}) AS e FROM n WHERE rank <= 8 GROUP BY ALL),
+j AS (SELECT n.station, n.day, avg(i.e) AS em FROM n JOIN i ON i.station = n.other AND i.day = n.day WHERE rank <= 8 GROUP BY ALL)
+SELECT i.day, count(*) AS n, round(corr(o, m), 5) + 0.0 AS autocorrelation, round(corr(e, em), 5) + 0.0 AS residual_autocorrelation FROM i LEFT JOIN j ON j.station = i.station AND j.day = i.day GROUP BY i.day""")
+def spatial_autocorrelation(spark, sf):
+    """Values, and residuals of inverse-distance weighting, against the mean of eight neighbours."""
+    n = neighbours(field(spark, sf), 8).withColumn("w", idw_weight(0.0, 2.0))
+    i = n.groupBy("station", "day").agg(F.max("value").alias("o"), F.avg("u").alias("m"), (F.max("value") - F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("e"))
+    j = n.select("station", "day", "other").join(i.select(F.col("station").alias("other"), "day", "e"), ["other", "day"]).groupBy("station", "day").agg(F.avg("e").alias("em"))
+    x = i.join(j, ["station", "day"], "left")
+    return x.groupBy("day").agg(F.count("*").alias("n"), r(pearson(F.col("o"), F.col("m")), 5).alias("autocorrelation"), r(pearson(F.col("e"), F.col("em")), 5).alias("residual_autocorrelation"))
+
+
 @query()
 def kriging_loo(spark, sf):
     """Leave-one-out regression kriging of each day."""
@@ -171,7 +214,7 @@ def graph_messages(spark, sf):
         got = edges.join(sent, ["other", "day"]).groupBy("station", "day").agg((F.sum(F.col("w") * F.col("m")) / F.sum("w")).alias(f"h{i + 1}"))
         h = h.join(got, ["station", "day"], "left")
     fit = h.filter(F.col("station") % 7 != 0).agg(F.regr_slope("h0", "h2").alias("a"), F.regr_intercept("h0", "h2").alias("b"))
-    p = h.join(F.broadcast(fit))
+    p = h.join(fit)
     return p.select("station", "day", r("value").alias("observed"), r(F.col("base") + F.coalesce(F.col("a") * F.col("h2") + F.col("b"), F.lit(0.0))).alias("predicted"))
 
 
@@ -249,7 +292,7 @@ def medoids(spark, sf):
     """Three members nearest to each cluster's mean."""
     e = read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
     c = e.groupBy("label", "i").agg(F.avg("v").alias("m"))
-    d = e.join(F.broadcast(c), ["label", "i"]).groupBy("vec_id", "label").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("m"), 2.0))).alias("d"))
+    d = e.join(c, ["label", "i"]).groupBy("vec_id", "label").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("m"), 2.0))).alias("d"))
     k = d.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.round("d", 6), "vec_id"))).withColumn("cluster_size", F.count("*").over(Window.partitionBy("label")))
     return k.filter("k <= 3").select("label", "vec_id", r("d", 5).alias("dist"), "cluster_size")
 

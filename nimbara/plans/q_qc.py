@@ -103,7 +103,7 @@ def dashboard_filters(spark, sf):
     """Box, elevation band, variable count and provider selection."""
     s = stations(spark, sf).filter(F.col("lat").between(46.3, 47.7) & F.col("lon").between(9.2, 11.5) & F.col("elev").between(300, 2500) & F.col("provider").isin("alpha", "gamma"))
     n = obs(spark, sf).groupBy("station").agg(F.count_distinct("variable").alias("n_vars"), F.count("*").alias("n_rows"))
-    return n.join(F.broadcast(s), "station").filter(F.col("n_vars") >= 3).select("station", "provider", "n_vars", "n_rows")
+    return n.join(s, "station").filter(F.col("n_vars") >= 3).select("station", "provider", "n_vars", "n_rows")
 
 
 @query(f"""WITH {OBS}, q AS (SELECT station, quantile_cont(value, 0.99) AS p FROM obs GROUP BY station) SELECT event_id, value FROM obs JOIN q USING (station) WHERE value <= p""")
@@ -139,7 +139,7 @@ def range_band_flags(spark, sf):
     e = F.when(F.col("station") % 13 != 0, F.col("elev"))
     b = stations(spark, sf).select("station", Q.band_of(e, [0, 500, 1000, 1500, 2000, 4000], 2).alias("band"))
     soft = F.element_at(F.array(*[F.lit(float(x)) for x in (250, 200, 150, 120, 100)]), F.col("band") + 1)
-    o = obs(spark, sf).filter(F.col("value").isNotNull()).join(F.broadcast(b), "station")
+    o = obs(spark, sf).filter(F.col("value").isNotNull()).join(b, "station")
     return o.select("event_id", "band", (~F.col("value").between(0, 300)).alias("hard"), (F.col("value") > soft).alias("soft"))
 
 
@@ -180,7 +180,7 @@ def neighbour_rescue(spark, sf):
     runs = k.groupBy("station", "run").agg(F.count("*").alias("n"))
     near = within_km(stations(spark, sf), stations(spark, sf), 25.0).filter(F.col("station") != F.col("other")).select("station", "other")
     o = obs(spark, sf).select(F.col("station").alias("other"), F.expr("sec div 21600").alias("bin"), F.col("value").alias("ov"))
-    m = k.join(F.broadcast(near), "station").join(o, ["other", "bin"]).groupBy("station", "run", "other").agg(F.percentile(F.abs(F.col("value") - F.col("ov")), 0.5).alias("med"))
+    m = k.join(near, "station").join(o, ["other", "bin"]).groupBy("station", "run", "other").agg(F.percentile(F.abs(F.col("value") - F.col("ov")), 0.5).alias("med"))
     ok = m.filter(F.col("med") <= 25).select("station", "run").distinct().withColumn("kept", F.lit(True))
     return runs.join(ok, ["station", "run"], "left").select("station", "run", "n", F.coalesce("kept", F.lit(False)).alias("kept"))
 
@@ -190,7 +190,7 @@ WINDOW a AS (PARTITION BY station ORDER BY sec, event_id ROWS BETWEEN 15 PRECEDI
 SELECT event_id, coalesce(elev > 1000 AND sd < 40 AND mean < 25, false) AS iced FROM w""")
 def icing_flags(spark, sf):
     """Q08: low deviation and mean at high stations."""
-    o = obs(spark, sf).join(F.broadcast(stations(spark, sf).select("station", "elev")), "station")
+    o = obs(spark, sf).join(stations(spark, sf).select("station", "elev"), "station")
     return Q.icing(o, ["station"], BY, F.col("elev") > 1000).select("event_id", "iced")
 
 
@@ -205,7 +205,7 @@ def zero_period_neighbours(spark, sf):
     m = obs(spark, sf).groupBy("station", F.expr("sec div 604800").alias("period")).agg(total.alias("total"))
     n = nearest_k(stations(spark, sf), 2).select("station", "other")
     o = m.select(F.col("station").alias("other"), "period", F.col("total").alias("ot"))
-    zero = m.filter(F.col("total") == 0).join(F.broadcast(n), "station").join(o, ["other", "period"], "left")
+    zero = m.filter(F.col("total") == 0).join(n, "station").join(o, ["other", "period"], "left")
     return zero.groupBy("station", "period").agg((F.count(F.when(F.col("ot") > 0, 1)) > 0).alias("suspicious"))
 
 
@@ -331,8 +331,8 @@ def example_windows(spark, sf):
     """Q20: seven-day windows around the first event of a seeded station sample."""
     o = obs(spark, sf)
     c = o.select("station").distinct().orderBy(F.md5(F.concat(F.col("station").cast("string"), F.lit(":42")))).limit(6)
-    e = o.join(F.broadcast(c), "station").filter(F.col("value") > 120).groupBy("station").agg(F.min("sec").alias("t"))
-    return o.join(F.broadcast(e), "station").filter(F.col("sec").between(F.col("t") - 302400, F.col("t") + 302400)).select("station", "event_id")
+    e = o.join(c, "station").filter(F.col("value") > 120).groupBy("station").agg(F.min("sec").alias("t"))
+    return o.join(e, "station").filter(F.col("sec").between(F.col("t") - 302400, F.col("t") + 302400)).select("station", "event_id")
 
 
 @query(f"""WITH {OBS}, g AS (SELECT station, sec // 21600 AS t, max(value) AS value, max(variable) AS variable, count(DISTINCT coalesce(value::VARCHAR, '#')) AS a, count(DISTINCT variable) AS b FROM obs GROUP BY ALL) SELECT station, t, value, variable FROM g WHERE a = 1 AND b = 1""")

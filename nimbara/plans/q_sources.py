@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nimbara.plans.base import OBS, STATIONS, obs, r, read, stations
+from nimbara.functions.session import scratch
+from nimbara.plans.base import DAILY, OBS, STATIONS, daily, obs, r, read, stations
 from nimbara.plans.registry import query
+from nimbara.sources import archives as A
 from nimbara.sources import providers as P
+from nimbara.sources import sinks as S
 
 PARSED = f"""WITH {OBS}, {STATIONS} SELECT 'st' || station AS station, lat, lon, elev::DOUBLE AS height, count(*) AS n, count(value) AS n_valid, round(sum(value), 3) + 0.0 AS total, min(strftime(make_timestamp(sec * 1000000), '%Y-%m-%d %H:%M')) AS first_time FROM obs JOIN stations USING (station) GROUP BY ALL"""
 
@@ -14,7 +17,7 @@ PARSED = f"""WITH {OBS}, {STATIONS} SELECT 'st' || station AS station, lat, lon,
 def _series(spark, sf, fmt: str, *fields: tuple[str, str]):
     """Rows of a station as an array of structs, with its attributes as strings."""
     t = F.date_format(F.timestamp_seconds("sec"), fmt)
-    o = obs(spark, sf).join(F.broadcast(stations(spark, sf)), "station").withColumn("time", t)
+    o = obs(spark, sf).join(stations(spark, sf), "station").withColumn("time", t)
     cell = [(F.col("time") if kind == "time" else F.coalesce(F.col("value").cast("string"), F.lit("---"))).alias(name) for name, kind in fields]
     g = o.groupBy(F.concat(F.lit("st"), F.col("station").cast("string")).alias("name"), F.col("lat").cast("string").alias("la"), F.col("lon").cast("string").alias("lo"), F.col("elev").cast("string").alias("el"))
     return g.agg(F.collect_list(F.struct(*cell)).alias("rows"))
@@ -108,7 +111,7 @@ def parse_js_object(spark, sf):
 @query(f"WITH {OBS}, {STATIONS} SELECT 'st' || station AS station, round(lat, 3) + 0.0 AS lat, count(value) AS n_valid, round(sum(value - 273.15), 3) + 0.0 AS total FROM obs JOIN stations USING (station) GROUP BY ALL")
 def parse_coded_records(spark, sf):
     """Coded records with unit changes and integer coordinates."""
-    o = obs(spark, sf).join(F.broadcast(stations(spark, sf)), "station")
+    o = obs(spark, sf).join(stations(spark, sf), "station")
     v = lambda c: F.struct(c.cast("string").alias("v"))
     data = F.array(F.struct(F.create_map(F.lit("B01019"), v(F.concat(F.lit("st"), F.col("station").cast("string")))).alias("vars")), F.struct(F.create_map(F.lit("B12101"), v(F.coalesce(F.col("value").cast("string"), F.lit("-")))).alias("vars")))
     j = F.to_json(F.struct(F.date_format(F.timestamp_seconds("sec"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.round(F.col("lat") * 100000).alias("lat"), F.round(F.col("lon") * 100000).alias("lon"), data.alias("data")))
@@ -146,3 +149,130 @@ def normalized_columns(spark, sf):
     """Canonical column names, and NaN as null."""
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("station"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).otherwise(float("nan")).alias("hoehe"), F.col("c_name").alias("station_name"))
     return P.normalize_columns(c, {"elev": ["elev_dem", "hoehe"], "name": ["station_name"]})
+
+
+def _zip(batches):
+    """An archive of one product file for each row (path, body)."""
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    for batch in batches:
+        out = []
+        for path, body in zip(batch.column("path").to_pylist(), batch.column("body").to_pylist()):
+            f = io.BytesIO()
+            with zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("Metadaten.txt", "nothing")
+                z.writestr(f"produkt_{path}.txt", body.encode("latin-1"))
+            out.append(f.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+@query(f"""WITH {OBS}, x AS (SELECT station, sec // 600 AS t, arg_min(value, event_id) AS v FROM obs WHERE value IS NOT NULL GROUP BY ALL)
+SELECT lpad(station::VARCHAR, 5, '0') AS station, count(*) AS n, round(sum(v), 3) + 0.0 AS total FROM x WHERE t * 600 BETWEEN epoch(TIMESTAMP '2024-01-05 00:00:00') AND epoch(TIMESTAMP '2024-01-20 00:00:00') GROUP BY ALL""")
+def parse_zipped_products(spark, sf):
+    """Product files inside archives, within a date window, one row a time."""
+    o = obs(spark, sf).filter(F.col("value").isNotNull())
+    t = F.date_format(F.timestamp_seconds(F.expr("sec div 600 * 600")), "yyyyMMddHHmm")
+    line = F.concat_ws(";", F.lpad(F.col("station").cast("string"), 11, " "), t, F.lit("    3"), F.col("value").cast("string"), F.lit("eor"))
+    rows = o.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("x"))
+    body = F.concat(F.lit("STATIONS_ID;MESS_DATUM;  QN;TT_10;eor\n"), F.array_join("x.line", "\n"), F.lit("\n"))
+    files = rows.select(F.col("station").cast("string").alias("path"), body.alias("body")).mapInArrow(_zip, "path string, content binary")
+    d = A.product_rows(A.zipped_lines(files), "TT_10", "yyyyMMddHHmm", "2024-01-05 00:00:00", "2024-01-20 00:00:00")
+    return d.groupBy("station").agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+
+
+@query(f"WITH {STATIONS} SELECT lpad(station::VARCHAR, 5, '0') AS station, '2001-02-03' AS first_day, elev::DOUBLE AS height, lat + 0.0 AS lat, lon + 0.0 AS lon, 'Bad Ort ' || station AS name, upper(provider) AS region FROM stations")
+def parse_station_list(spark, sf):
+    """A station list set with blanks."""
+    s = stations(spark, sf)
+    text = F.concat_ws("   ", F.col("station").cast("string"), F.lit("20010203 20231231"), F.col("elev").cast("string"), F.col("lat").cast("string"), F.col("lon").cast("string"), F.concat(F.lit("Bad Ort "), F.col("station").cast("string")), F.concat(F.upper("provider"), F.lit("  ")))
+    extra = spark.createDataFrame([("Stations_id von_datum bis_datum Stationshoehe geoBreite geoLaenge Stationsname Bundesland",), ("----------- --------- ---------",), ("99 20010203 20231231 1 95.0 9.0 Nirgends X",)], "line string")
+    return A.station_list(s.select(text.alias("line")).unionByName(extra)).withColumn("first_day", F.date_format("first_day", "yyyy-MM-dd")).drop("last_day")
+
+
+@query(f"""WITH {OBS}, g AS (SELECT *, (sec - lag(sec) OVER (PARTITION BY station ORDER BY sec)) / 3600.0 AS gap FROM (SELECT station, sec, avg(value) AS value FROM obs GROUP BY ALL)),
+m AS (SELECT station, quantile_cont(gap, 0.5) AS m FROM g GROUP BY station), a AS (SELECT g.station, sec // 1800 AS slot, value, value * least(coalesce(gap, CASE WHEN m > 0 THEN m ELSE 5 / 60.0 END), 1.0) AS a FROM g JOIN m USING (station))
+SELECT station, slot, round(avg(value), 4) + 0.0 AS value, round(sum(a), 4) + 0.0 AS amount FROM a GROUP BY ALL""")
+def native_half_hours(spark, sf):
+    """Native rows in local time as half hours; rates become amounts."""
+    o = obs(spark, sf).groupBy("station", "sec").agg(F.avg("value").alias("value"))
+    zone = F.when(F.col("station") % 2 == 0, "Europe/Berlin").otherwise("UTC")
+    local = F.convert_timezone(F.lit("UTC"), zone, F.timestamp_seconds("sec").cast("timestamp_ntz")).cast("string")
+    back = o.withColumn("sec", A.utc_seconds(local, zone))
+    return A.half_hours(back, ["value"], "value").select("station", "slot", r("value").alias("value"), r("amount").alias("amount"))
+
+
+@query(f"""WITH {OBS}, x AS (SELECT station, variable, sec // 60 AS t, arg_min(value, event_id) AS v FROM obs WHERE value IS NOT NULL AND variable IN ('view', 'click') GROUP BY ALL)
+SELECT station::VARCHAR AS station, CASE variable WHEN 'view' THEN 'temperature' ELSE 'rh' END AS variable, count(*) AS n, round(sum(v), 3) + 0.0 AS total FROM x GROUP BY ALL""")
+def native_json(spark, sf):
+    """Arrays of records with alternative keys."""
+    o = obs(spark, sf).filter(F.col("value").isNotNull() & F.col("variable").isin("view", "click"))
+    t = F.date_format(F.timestamp_seconds("sec"), "yyyy-MM-dd'T'HH:mm")
+    key = F.when(F.col("event_id") % 2 == 0, "observation_time_utc").otherwise("observation_time_local")
+    name = F.when(F.col("variable") == "click", "rh").when(F.col("event_id") % 3 == 0, "temperature").otherwise("t2m")
+    record = F.map_from_arrays(F.array(key, name), F.array(t, F.col("value").cast("string")))
+    rows = o.groupBy("station").agg(F.array_sort(F.collect_list(F.struct("event_id", F.to_json(record).alias("j")))).alias("x"))
+    files = rows.select(F.col("station").cast("string").alias("station"), F.concat(F.lit("["), F.array_join("x.j", ","), F.lit("]")).alias("payload"))
+    d = A.native_json(files, {"temperature": ["temperature", "t2m"], "rh": ["rh"]})
+    return d.groupBy("station", "variable").agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+
+
+@query(f"WITH {OBS} SELECT 'st' || station AS station, round(any_value(47 + 15 / 60.0 + (station % 60) / 3600.0), 6) + 0.0 AS lat, count(*) AS n, count(value) AS n_valid, round(sum(value), 3) + 0.0 AS total FROM obs GROUP BY station")
+def parse_sectioned(spark, sf):
+    """Text files of sections with degrees, minutes and seconds."""
+    o = obs(spark, sf)
+    line = F.concat(F.date_format(F.timestamp_seconds("sec"), "dd.MM.yyyy HH:mm:ss"), F.lit(";"), F.coalesce(F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")), F.lit("Lücke")))
+    rows = o.groupBy("station").agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    id_, second = F.col("station").cast("string"), (F.col("station") % 60).cast("string")
+    text = F.concat(F.lit("Name;st"), id_, F.lit("\nBreite;47 15 "), second, F.lit("\nLaenge;11,4\nWerte\n"), "body", F.lit("\n"))
+    d = P.sectioned(rows.select(id_.alias("file"), text.alias("text")))
+    return d.groupBy("station").agg(r(F.max("lat"), 6).alias("lat"), F.count("*").alias("n"), F.count("value").alias("n_valid"), r(F.sum("value"), 3).alias("total"))
+
+
+_SINK = f"WITH {DAILY} SELECT variable, count(*) AS n, round(sum(value), 3) + 0.0 AS total FROM daily"
+
+
+def _back(spark, df, path):
+    return spark.read.schema(df.schema).parquet(path).groupBy("variable").agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+
+
+@query(f"{_SINK} WHERE variable IN ('view', 'click', 'error') GROUP BY variable")
+def panel_sink(spark, sf):
+    """Partitioned Parquet in batches; a batch replaces its own partitions only."""
+    d, path = daily(spark, sf).select("variable", "station", "day", "value"), scratch(spark, "panel")
+    for batch in (["view", "click"], ["error"], ["click"]):
+        P.write_panel(d.filter(F.col("variable").isin(batch)), path, ["variable"])
+    return _back(spark, d, path)
+
+
+@query(f"{_SINK} WHERE variable = 'error' GROUP BY variable")
+def replaced_table(spark, sf):
+    """A table replaced as a whole."""
+    d, path = daily(spark, sf).select("variable", "station", "day", "value"), scratch(spark, "table")
+    S.replace_table(d.filter("variable = 'view'"), path)
+    S.replace_table(d.filter("variable = 'error'"), path)
+    return _back(spark, d, path)
+
+
+@query(f"{_SINK} WHERE day % 3 <> 2 GROUP BY variable")
+def map_sink(spark, sf):
+    """One partition a period; a later run adds its periods and replaces them alone."""
+    d = daily(spark, sf).select("variable", "station", "day", "value", F.concat(F.lit("P"), (F.col("day") % 3).cast("string")).alias("period"))
+    path = scratch(spark, "maps")
+    S.write_maps(d.filter("period = 'P0'"), path, "period")
+    S.write_maps(d.filter("period = 'P1'"), path, "period")
+    S.write_maps(d.filter("period = 'P0'"), path, "period")
+    return _back(spark, d, path)
+
+
+@query(f"{_SINK} GROUP BY variable")
+def report_sink(spark, sf):
+    """A report as CSV and as JSON lines, read again."""
+    d = daily(spark, sf).groupBy("variable").agg(F.count("*").alias("n"), r(F.sum("value"), 3).alias("total"))
+    a, b = scratch(spark, "csv"), scratch(spark, "json")
+    S.write_report(d, a, "csv")
+    S.write_report(d, b, "json")
+    schema = "variable string, n long, total double"
+    return spark.read.schema(schema).option("header", True).csv(a).intersect(spark.read.schema(schema).json(b))
