@@ -31,7 +31,7 @@ from nimbara.llm.common import Words, discard, shielded, slices, stored, table
 #: Entries a worker keeps before it starts anew.
 KEPT = 500_000
 #: Runs whose piece counts are broadcast, at most.
-HEAD = 200_000
+HEAD = 500_000
 #: Count classes in a power of two, for choosing the head.
 STEPS = 8
 SLICE = 8 << 20
@@ -87,34 +87,65 @@ def counter(path: str):
     return _OPEN[path]
 
 
+def _merged(hs: list[np.ndarray], ns: list[np.ndarray], runs: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distinct hashes with their summed counts and runs."""
+    h, at, of = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+    return h, np.bincount(of, np.concatenate(ns), len(h)).astype(np.int64), pa.concat_arrays(runs).take(pa.array(at))
+
+
 def distinct_runs(texts: DataFrame) -> DataFrame:
-    """h, run, n of every distinct run of ``_t``, dealt out by the run without case and edges."""
+    """h, run, n of the distinct runs of ``_t`` in every task (or KEPT of them at a time)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ([], [], [])
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            h, n, runs = _merged(*held)
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), runs, pa.array(n, pa.int64())], names=["h", "run", "n"])
+
         for batch in batches:
             for part in slices(batch, "_t", SLICE):
                 w = Words(part.column("_t"))
-                h, at, n = np.unique(w.hash, return_index=True, return_counts=True)
+                h, at, n = np.unique(w.hash.view(np.int64), return_index=True, return_counts=True)
                 raw = w.buf.tobytes()
-                runs = [raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), pa.int64()), pa.array(runs, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["h", "run", "n"])
-
-    found = texts.select("_t").mapInArrow(cut, "h long, run string, n long")
-    core = F.regexp_replace(F.lower("run"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    dealt = found.withColumn("core", F.xxhash64(F.when(core != "", core).otherwise(F.col("run")))).repartition("core")
-    return dealt.groupBy("core", "h").agg(F.first("run").alias("run"), F.sum("n").alias("n")).drop("core")
+                runs = pa.array([raw[a:b] for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], pa.binary()).cast(pa.string())
+                for x, y in zip(held, (h, n, runs)):
+                    x.append(y)
+                size += len(h)
+                if size > 2 * KEPT:
+                    merged = _merged(*held)
+                    held, size = tuple([x] for x in merged), len(merged[0])
+                    if size > KEPT:
+                        yield out()
+                        held, size = ([], [], []), 0
+        if size:
+            yield out()
+
+    return texts.select("_t").mapInArrow(cut, "h long, run string, n long")
 
 
 def piece_counts(runs: DataFrame, vocabulary: str) -> DataFrame:
-    """h, n, pieces of ``runs``."""
+    """h, n, pieces of every distinct run.
+
+    Rows are dealt out by the run without case and edges, so all rows of a run
+    meet in one task, and so do nearly all runs of a pre-token.
+    """
+    core = F.regexp_replace(F.lower("run"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = counter(vocabulary)
+        held: tuple = ([], [], [])
         for batch in batches:
-            k = [pieces.run(x) for x in batch.column("run").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(k, pa.int64())], names=["h", "n", "pieces"])
+            for x, y in zip(held, (batch.column("h").to_numpy(), batch.column("n").to_numpy(), batch.column("run"))):
+                x.append(y)
+        if held[0]:
+            pieces = counter(vocabulary)
+            h, n, words = _merged(*held)
+            for lo in range(0, len(h), KEPT):
+                k = [pieces.run(x) for x in words[lo : lo + KEPT].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(h[lo : lo + KEPT]), pa.array(n[lo : lo + KEPT]), pa.array(k, pa.int64())], names=["h", "n", "pieces"])
 
-    return runs.select("h", "run", "n").mapInArrow(count, "h long, n long, pieces long")
+    return runs.repartition(F.when(core != "", core).otherwise(F.col("run"))).mapInArrow(count, "h long, n long, pieces long")
 
 
 def frequent(pieces: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
