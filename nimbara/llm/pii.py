@@ -8,8 +8,10 @@ information content -log2 P(entity) give the disclosure
 PMI / IC = log2(P(entity | term) / P(entity)) / -log2 P(entity): 1 means that
 the term reveals the entity fully.  Terms of any length above DISCLOSURE whose
 meetings with the entity are too many for chance (LEVEL, over all pairs of an
-entity and a term) are generalised: their spans join the result.  One meeting
-never tells a term that discloses from any other rare word.
+entity and a term) are generalised wherever they stand in a text that holds the
+entity.  One meeting never tells a term that discloses from any other rare word.
+What is protected is the value of an entity and the class it belongs to: an
+address's domain, a network, a number's leading digits.
 
 All of it is built from DataFrame functions.
 """
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nimbara.llm.common import let, small, stored, table, words
+from nimbara.llm.common import discard, let, shielded, small, stored, table, words
 
 #: Words on either side of an entity that are its context.
 REACH = 5
@@ -106,9 +108,15 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[spans_of(text, k) for k in KINDS])
 
 
-def _entity(span: Column) -> Column:
-    """What is protected: kind and value, numbers without separators."""
-    return F.xxhash64(span["kind"], F.when(span["kind"].isin("card", "phone"), _digits(span["body"])).otherwise(F.lower(span["body"])))
+def _entities(span: Column) -> Column:
+    """What is protected: the value, numbers without separators, and its class (domain, network, leading digits)."""
+    digits, low = _digits(span["body"]), F.lower(span["body"])
+    value = F.when(span["kind"].isin("card", "phone"), digits).otherwise(low)
+    of = (
+        F.when(span["kind"] == "email", F.substring_index(low, "@", -1))
+        .when(span["kind"] == "ip", F.substring_index(low, ".", 2))
+        .otherwise(F.substring(digits, 1, 6)))
+    return F.array(F.xxhash64(span["kind"], value), F.xxhash64(F.lit("class"), span["kind"], of))
 
 
 def term_of(word: Column) -> Column:
@@ -162,69 +170,106 @@ def log_chance(both: Column, ent: Column, term: Column, n_all: int) -> Column:
     return F.least(F.lit(0.0), far, near)
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, held: DataFrame, text: str) -> DataFrame:
-    """_d, _key, s, e of context words whose term discloses the entity beside it.
+def _free(spans: Column, s: Column, e: Column) -> Column:
+    """Whether s..e touches none of ``spans``."""
+    return ~F.exists(spans, lambda q: (s < q["e"]) & (q["s"] < e))
 
-    found: _d, _key, _tid (hash of the text), _t, sp (base spans) of texts with entities.
+
+def _occurrences(text: Column, terms: Column, spans: Column) -> Column:
+    """struct(s, e) of the words of ``text`` whose term is in ``terms``, outside ``spans``."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("out"))
+
+    def step(a: Column, w: Column) -> Column:
+        end = (a["at"] + F.char_length(w)).cast("int")
+        hit = (w != "") & F.array_contains(terms, term_of(w)) & _free(spans, a["at"], end)
+        return F.struct((end + 1).alias("at"), F.when(hit, F.concat(a["out"], F.array(F.struct(a["at"].alias("s"), end.alias("e"))))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(F.split(text, r"[\x20\x09-\x0D]", -1), start, step, lambda a: a["out"])
+
+
+def told_pairs(found: DataFrame, docs: DataFrame, held: DataFrame, text: str) -> DataFrame:
+    """ent, term of the terms that disclose a protected entity beside which they stand.
+
+    found: _tid (hash of the text), _t, sp (base spans) of texts with entities.
     held: _tid and n_words of every row.
     """
-    one = found.select("_d", "_key", "_tid", "_t", "sp", F.explode_outer("sp").alias("p"))
+    one = found.select("_tid", "_t", "sp", F.explode_outer("sp").alias("p"))
     # No word inside another entity is a term: entities are removed anyway.
-    ctx = one.select("_d", "_key", "_tid", _entity(F.col("p")).alias("ent"), F.explode_outer(F.filter(_contexts(F.col("_t"), F.col("p")), lambda c: ~F.exists("sp", lambda q: (c["s"] < q["e"]) & (q["s"] < c["s"] + F.char_length(c["w"]))))).alias("c"))
-    ctx = ctx.filter(F.col("c").isNotNull()).select("_d", "_key", "_tid", "ent", F.col("c.w").alias("w"), F.col("c.s").alias("s"), term_of(F.col("c.w")).alias("term"))
-    ctx = stored(ctx.filter(F.col("term").rlike(r"\p{L}")), "contexts")
-    n_ent = stored(found.select("_tid", F.explode_outer("sp").alias("p")).select("_tid", _entity(F.col("p")).alias("ent")).distinct().groupBy("ent").agg(F.count("*").alias("n_ent")), "entities")
+    beside = F.filter(_contexts(F.col("_t"), F.col("p")), lambda c: _free(F.col("sp"), c["s"], c["s"] + F.char_length(c["w"])))
+    words_of = F.array_distinct(F.transform(beside, lambda c: term_of(c["w"])))
+    ctx = one.select("_tid", _entities(F.col("p")).alias("ents"), F.explode_outer(words_of).alias("term")).filter(F.col("term").rlike(r"\p{L}"))
+    ctx = stored(ctx.select("_tid", F.explode_outer("ents").alias("ent"), "term").distinct(), "contexts")
+    ents = found.select("_tid", F.explode_outer("sp").alias("p")).select("_tid", F.explode_outer(_entities(F.col("p"))).alias("ent"))
+    n_ent = stored(ents.distinct().groupBy("ent").agg(F.count("*").alias("n_ent")), "entities")
     copies = stored(held.groupBy("_tid").agg(F.count("*").alias("m"), F.max("n_words").alias("n_words")), "copies")
     all_ = copies.agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).first()
     n_all = all_["n"] or 1
     # No more than words / n_both terms are in n_both texts or more, so there are no more pairs than this.
     pairs = F.lit(float(n_ent.count())) * F.lit(float(all_["words"] or 1)) / F.col("n_both")
-    by_pair = ctx.select("ent", "term", "_tid").distinct().groupBy("ent", "term").agg(F.count("*").alias("n_both")).join(n_ent, "ent")
+    by_pair = ctx.groupBy("ent", "term").agg(F.count("*").alias("n_both")).join(n_ent, "ent")
     chance = lambda n_term: log_chance(F.col("n_both"), F.col("n_ent"), n_term, n_all) + F.log(pairs)
     share = lambda n: F.least(F.lit(1.0), F.col("n_both") / n)
     p_ent = F.col("n_ent") / F.lit(float(n_all))
     # Both conditions only get harder with n, so what fails for a smaller count of texts always fails.
     tells = lambda n: (p_ent < 1) & (F.log2(share(n) / p_ent) / -F.log2(p_ent) >= DISCLOSURE) & (chance(n) <= math.log(LEVEL))
-    beside = ctx.select("term", "_tid").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    by_pair = stored(by_pair.join(beside, "term").filter(tells(F.col("n_beside"))), "pairs")
+    near = ctx.select("term", "_tid").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    by_pair = stored(by_pair.join(near, "term").filter(tells(F.col("n_beside"))), "pairs")
     # texts with a candidate term, over the whole corpus; copies of a text count as one
-    wanted = small(by_pair.select("term").distinct(), SMALL)
+    wanted = small(by_pair.select("term").distinct(), SMALL, F.octet_length("term"))
     terms = F.array_distinct(F.transform(F.array_distinct(words(F.col(text))), term_of))
     texts = docs.select(F.xxhash64(text).alias("_tid"), F.explode(terms).alias("term")).join(wanted, "term", "left_semi")
     again = small(copies.filter("m > 1").select("_tid", "m"), SMALL)
     n_term = texts.join(again, "_tid", "left").groupBy("term").agg(F.round(F.sum(1 / F.coalesce("m", F.lit(1)))).cast("long").alias("n_term"))
-    told = by_pair.join(n_term, "term").filter(tells(F.greatest("n_term", "n_both"))).select("ent", "term")
-    told = stored(told, "told")
-    return ctx.join(small(told, SMALL), ["ent", "term"], "left_semi").select("_d", "_key", "s", (F.col("s") + F.char_length("w")).alias("e")).distinct()
+    told = stored(by_pair.join(n_term, "term").filter(tells(F.greatest("n_term", "n_both"))).select("ent", "term"), "told")
+    for t in (ctx, n_ent, copies, by_pair):
+        discard(t)
+    return told
+
+
+def _found(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """_d, _key, base and terms of every row."""
+    keyed = docs.select(F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.xxhash64(text).alias("_tid"), F.coalesce(text, F.lit("")).alias("_t"))
+    rows = keyed.withColumn("sp", base_spans(F.col("_t")))
+    held = stored(rows.select("_d", "_key", "_tid", F.size(words(F.col("_t"))).alias("n_words"), F.when(F.size("sp") > 0, F.col("_t")).alias("_t"), "sp"), "spans")
+    found = held.filter(F.size("sp") > 0)
+    told = told_pairs(found, docs, held.select("_tid", "n_words"), text)
+    # A term that discloses an entity goes wherever it stands in a text with that entity.
+    has = found.select("_tid", F.explode_outer("sp").alias("p")).select("_tid", F.explode_outer(_entities(F.col("p"))).alias("ent")).distinct()
+    per = has.join(small(told, SMALL, F.octet_length("term")), "ent").groupBy("_tid").agg(F.collect_set("term").alias("_w"))
+    spans = found.dropDuplicates(["_tid"]).join(per, "_tid").select("_tid", _occurrences(F.col("_t"), F.col("_w"), F.col("sp")).alias("terms"))
+    spans = stored(spans, "terms").withColumnRenamed("_tid", "_of")
+    discard(told)
+    out = held.select("_d", "_key", "_tid", "sp").join(spans, F.col("_tid") == F.col("_of"), "left")
+    return out.select("_d", "_key", F.col("sp").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")).alias("terms"))
 
 
 def find_pii(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc, base spans ``base`` and ``terms`` (s, e), both in order.
 
-    Bounds are code points, ends exclusive.  Null and empty texts have none.
-    Rows equal in doc and text count as one text in the statistics, as all rows
-    of equal text do.  Other columns do not matter.
+    Bounds are code points, ends exclusive.  Null and empty texts have none; an
+    empty table gives an empty result.  Rows of equal text count as one text in
+    the statistics and get the same spans.  Other columns do not matter.
     """
-    keyed = docs.select(F.col(doc).alias("_d"), F.xxhash64(doc, text).alias("_key"), F.xxhash64(text).alias("_tid"), F.coalesce(text, F.lit("")).alias("_t"))
-    rows = keyed.withColumn("sp", base_spans(F.col("_t")))
-    held = stored(rows.select("_d", "_key", "_tid", F.size(words(F.col("_t"))).alias("n_words"), F.when(F.size("sp") > 0, F.col("_t")).alias("_t"), "sp"), "spans")
-    terms = disclosing_terms(held.filter(F.size("sp") > 0), docs, held.select("_tid", "n_words"), text)
-    per = terms.groupBy("_d", "_key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms")).withColumnsRenamed({"_d": "_td", "_key": "_tk"})
-    out = held.select("_d", "_key", "sp").join(per, (F.col("_key") == F.col("_tk")) & F.col("_d").eqNullSafe(F.col("_td")), "left")
-    return out.select(F.col("_d").alias(doc), F.col("sp").alias("base"), F.coalesce("terms", F.array().cast("array<struct<s:int,e:int>>")).alias("terms"))
+    return _found(docs, doc, text).select(F.col("_d").alias(doc), "base", "terms")
 
 
+@shielded
 def sanitise(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with entities replaced by their kind in brackets and disclosing terms by [term]."""
-    found = find_pii(docs, doc, text).withColumnRenamed(doc, "_d").dropDuplicates(["_d"])
-    joined = docs.join(found, docs[doc].eqNullSafe(found["_d"]), "left")
+    """``docs`` with entities replaced by their kind in brackets and disclosing terms by [term].
+
+    Every row keeps its place, also rows of equal id; null texts stay null; all
+    other columns pass through.
+    """
     every = F.array_sort(F.concat(
         F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), b["kind"].alias("k"))),
         F.transform("terms", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.lit("term").alias("k")))))
+    spans = _found(docs.select(doc, text), doc, text).dropDuplicates(["_d", "_key"]).select("_d", "_key", every.alias("_spans"))
+    joined = docs.join(spans, (F.xxhash64(docs[doc], docs[text]) == F.col("_key")) & docs[doc].eqNullSafe(F.col("_d")), "left")
+    t = docs[text]
     step = lambda a, m: F.when(m["s"] < a["end"], F.struct(F.greatest(a["end"], m["e"]).alias("end"), a["out"].alias("out"))).otherwise(
-        F.struct(m["e"].alias("end"), F.concat(a["out"], F.substring(F.col(text), a["end"] + 1, m["s"] - a["end"]), F.lit("["), m["k"], F.lit("]")).alias("out")))
-    done = F.aggregate(every, F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col(text), a["end"] + 1, F.char_length(text))))
-    return joined.select(*[F.when(F.col(text).isNull(), F.col(text)).otherwise(done).alias(text) if c == text else docs[c] for c in docs.columns])
+        F.struct(m["e"].alias("end"), F.concat(a["out"], F.substring(t, a["end"] + 1, m["s"] - a["end"]), F.lit("["), m["k"], F.lit("]")).alias("out")))
+    done = F.aggregate("_spans", F.struct(F.lit(0).alias("end"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["end"] + 1, F.char_length(t))))
+    return joined.select(*[F.when(t.isNull(), t).otherwise(done).alias(text) if c == text else docs[c] for c in docs.columns])
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,6 +338,79 @@ def test_pii_disclosing_terms(spark):
     assert "boss@acme.org" not in clean[0] and "[email]" in clean[0] and "[term]" in clean[0] and clean[100] == rows[8][1]
 
 
+def brute_disclosure(rows):
+    """Told pairs by counting every entity, class and context word in plain Python."""
+    texts = sorted({t or "" for _, t in rows})
+    entities, beside, has = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in re.split(r"[\x20\x09-\x0D]+", t):
+            has[re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())].add(i)
+        found = [x.split(":") for x in base(t).split(",") if x]
+        spans = [(int(a), int(b)) for _, a, b in found]
+        for k, a, b in found:
+            a, b = int(a), int(b)
+            body = t[a:b].lower()
+            digits = re.sub("[^0-9]", "", body)
+            value = digits if k in ("card", "phone") else body
+            of = body.split("@")[-1] if k == "email" else ".".join(body.split(".")[:2]) if k == "ip" else digits[:6]
+            words = [(m.start(), m.end()) for m in WORD.finditer(t)]
+            before = [w for w in words if w[1] <= a and not (w[1] == a)][-pii.REACH :]
+            after = [w for w in words if w[0] > b][: pii.REACH]
+            for e in ((k, value), ("class", k, of)):
+                entities[e].add(i)
+                for s, z in before + after:
+                    term = re.sub(r"^[\W_]+|[\W_]+$", "", t[s:z].lower())
+                    if re.search(r"[^\W\d_]", term) and not any(s < q and p < z for p, q in spans):
+                        beside[e, term].add(i)
+    n, total = len(texts), sum(len(WORD.findall(t)) for t in texts)
+    told = set()
+    for (e, term), both in beside.items():
+        p, nt = len(entities[e]) / n, max(len(has[term]), len(both))
+        share = min(1.0, len(both) / nt)
+        if p >= 1 or np.log2(share / p) / -np.log2(p) < pii.DISCLOSURE:
+            continue
+        rest = (1 - share) * np.log((1 - share) / (1 - p)) if share < 1 else 0.0
+        far = -nt * (share * np.log(share / p) + rest) if share > p else 0.0
+        near = sum(np.log((nt - j) * (len(entities[e]) - j) / ((n - j) * (j + 1))) for j in range(len(both))) if len(both) <= pii.FEW else 0.0
+        if min(0.0, far, near) + np.log(len(entities) * total / len(both)) <= np.log(pii.LEVEL):
+            told.add((e, term))
+    return told, entities, texts
+
+
+def test_pii_terms_match_brute_force(spark):
+    rng = random.Random(11)
+    filler = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = []
+    for i in range(220):
+        w = [rng.choice(filler) for _ in range(40)]
+        if i < 60:
+            name, box = f"Name{chr(65 + i % 6)}", f"box{i % 6}@firm{i % 3}.org"
+            w[10:11] = [rng.choice(filler), f"Firm{chr(65 + i % 3)}ia,", f"({name})", box, rng.choice(filler)]
+            if i % 4 == 0:
+                w.append(name.upper())
+        rows.append((i, " ".join(w)))
+    rows += [(900, rows[0][1]), (901, None), (902, "")]
+    told, entities, texts = brute_disclosure(rows)
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert any(e[0] == "class" for e, _ in told) and any(e[0] == "email" for e, _ in told)
+    for d, t in rows:
+        i = texts.index(t or "")
+        mine = {term for e, term in told if i in entities[e]}
+        spans = [tuple(map(int, x.split(":")[1:])) for x in base(t or "").split(",") if x]
+        want = [(m.start(), m.end()) for m in WORD.finditer(t or "") if re.sub(r"^[\W_]+|[\W_]+$", "", m[0].lower()) in mine and not any(m.start() < q and p < m.end() for p, q in spans)]
+        assert [(x.s, x.e) for x in got[d].terms] == want, d
+
+
+def test_sanitise_edges(spark, odd):
+    rows = [(1, "mail a@b.co now", "x"), (1, "call +49 30 1234567 now", "y"), (1, "mail a@b.co now", "z"), (None, "see 10.0.0.1", "n"), (2, None, "n"), (3, "", "n")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, base string").withColumns({c: F.lit("clash") for c in ("terms", "_d", "_key", "_spans", "sp", "_t")})
+    got = pii.sanitise(df)
+    assert got.columns == df.columns
+    assert sorted(((r.text, r.base) for r in got.collect()), key=str) == sorted(
+        [("mail [email] now", "x"), ("call [phone] now", "y"), ("mail [email] now", "z"), ("see [ip]", "n"), (None, "n"), ("", "n")], key=str)
+    assert pii.sanitise(df.limit(0)).count() == 0 and pii.sanitise(odd).count() == odd.count()
+
+
 def test_pii_few_texts_and_short_terms(spark):
     rows = [(i, f"note {i * 11} from Kim at kim@acme.org on day{i}") for i in range(3)]
     rows += [(50, "only Uma wrote to uma@acme.org once")]
