@@ -600,6 +600,49 @@ def search_protocol(scores: DataFrame, time: str, parameters: list[str], prefix:
     return out.join(good.agg(F.count("*").alias("combinations"))).select("times", "combinations", *parameters)
 
 
+# --- boosted forecasts ---
+
+
+def best_stump(x: np.ndarray, e: np.ndarray) -> tuple[int, float, float, float]:
+    """Column, threshold and means on either side of the split of ``x`` that explains ``e`` best."""
+    order = np.argsort(x, axis=0, kind="stable")
+    xs, es = np.take_along_axis(x, order, 0), e[order]
+    left = np.cumsum(es, 0)[:-1]
+    n = np.arange(1, len(e))[:, None]
+    gain = left**2 / n + (es.sum(0) - left) ** 2 / (len(e) - n)
+    gain = np.where(xs[1:] > xs[:-1], gain, -np.inf)
+    i, c = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    if not np.isfinite(gain[i, c]):
+        return 0, np.inf, float(e.mean()), 0.0
+    return int(c), float((xs[i, c] + xs[i + 1, c]) / 2), float(left[i, c] / (i + 1)), float((es[:, c].sum() - left[i, c]) / (len(e) - i - 1))
+
+
+def boosted(x: np.ndarray, y: np.ndarray, at: np.ndarray, rounds: int = 40, rate: float = 0.1) -> np.ndarray:
+    """Predictions at ``at`` of stumps boosted on squared error."""
+    fit, out = np.full(len(y), y.mean()), np.full(len(at), y.mean())
+    for _ in range(rounds):
+        c, t, low, high = best_stump(x, y - fit)
+        fit += rate * np.where(x[:, c] <= t, low, high)
+        out += rate * np.where(at[:, c] <= t, low, high)
+    return out
+
+
+def station_forecasts(rows: DataFrame, time: str, features: list[str], label: str, folds: int, least: int = 8) -> DataFrame:
+    """station, ``time``, fold, observed, predicted: a model a station, each fold of its times predicted from those before."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(time)
+        x, y = g[features].to_numpy(float), g[label].to_numpy(float)
+        edge = [len(g) * (i + 1) // (folds + 1) for i in range(folds + 1)]
+        parts = []
+        for i, (a, b) in enumerate(zip(edge, edge[1:])):
+            if a >= least and b > a:
+                parts.append(pd.DataFrame({"station": g["station"].to_numpy()[a:b], time: g[time].to_numpy()[a:b], "fold": i, "observed": y[a:b], "predicted": boosted(x[:a], y[:a], x[a:b])}))
+        return pd.concat(parts) if parts else pd.DataFrame({"station": [], time: [], "fold": [], "observed": [], "predicted": []})
+
+    return rows.groupBy("station").applyInPandas(run, f"station long, {time} long, fold int, observed double, predicted double")
+
+
 # --- similar stations --------------------------------------------------------
 
 #: Stations of a block whose series are compared with another block's at once.

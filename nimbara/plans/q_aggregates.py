@@ -83,8 +83,15 @@ def ks_distance(spark, sf):
     """Largest distance of two empirical distributions."""
     x = obs(spark, sf).filter(F.col("value").isNotNull()).withColumn("g", (F.col("station") % 5 == 0).cast("int"))
     g = x.groupBy("variable", "value").agg(F.sum("g").alias("a"), (F.count("*") - F.sum("g")).alias("b"))
-    w, v = Window.partitionBy("variable").orderBy("value"), Window.partitionBy("variable")
-    c = g.select("variable", F.abs(F.sum("a").over(w) / F.sum("a").over(v) - F.sum("b").over(w) / F.sum("b").over(v)).alias("d"))
+    # Running sums inside ranges of values, from the sums of all ranges before: no task sees a whole variable.
+    g = g.withColumn("range", F.floor("value"))
+    w = Window.partitionBy("variable").orderBy("range")
+    before, all_ = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("variable")
+    t = g.groupBy("variable", "range").agg(F.sum("a").alias("sa"), F.sum("b").alias("sb"))
+    t = t.select("variable", "range", *[F.coalesce(F.sum(f"s{c}").over(before), F.lit(0)).alias(f"p{c}") for c in "ab"], *[F.sum(f"s{c}").over(all_).alias(f"t{c}") for c in "ab"])
+    own = Window.partitionBy("variable", "range").orderBy("value")
+    share = lambda c: (F.col(f"p{c}") + F.sum(c).over(own)) / F.col(f"t{c}")
+    c = g.join(t, ["variable", "range"]).select("variable", F.abs(share("a") - share("b")).alias("d"))
     return c.groupBy("variable").agg(r(F.max("d"), 6).alias("ks"))
 
 

@@ -124,13 +124,20 @@ def baselines(spark, sf):
 
 @query(f"WITH {FIELD}, p AS (SELECT sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d, 0.5 * pow(a.value - b.value, 2) AS g FROM f a JOIN f b ON a.day = b.day AND a.station < b.station), q AS (SELECT quantile_cont(d, 0.75) AS top FROM p) SELECT CAST(floor(d / (top / 12)) AS BIGINT) AS bin, count(*) AS n, round(avg(d), 4) + 0.0 AS lag, round(avg(g), 4) + 0.0 AS semivariance FROM p, q WHERE d < top GROUP BY 1 HAVING count(*) >= 5")
 def empirical_variogram(spark, sf):
-    """Binned semivariances up to the third quartile of distances."""
+    """Binned semivariances up to the third quartile of distances.
+
+    Days are summed for each pair of stations first, so quantile and bins work
+    on pairs of the network with their number of days.
+    """
     f = field(spark, sf)
     g = f.select(F.col("station").alias("other"), "day", F.col("value").alias("u"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    p = f.join(g, "day").filter(F.col("station") < F.col("other")).select(F.sqrt(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0)).alias("d"), (0.5 * F.pow(F.col("value") - F.col("u"), 2.0)).alias("g"))
-    q = p.agg(F.percentile("d", 0.75).alias("top"))
+    d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0))
+    p = f.join(g, "day").filter(F.col("station") < F.col("other")).withColumn("d", d)
+    p = p.groupBy("station", "other", "d").agg(F.count("*").alias("days"), F.sum(0.5 * F.pow(F.col("value") - F.col("u"), 2.0)).alias("g"))
+    q = p.agg(F.percentile("d", 0.75, F.col("days")).alias("top"))
     b = p.join(q).filter(F.col("d") < F.col("top")).groupBy(F.floor(F.col("d") / (F.col("top") / 12)).alias("bin"))
-    return b.agg(F.count("*").alias("n"), r(F.avg("d")).alias("lag"), r(F.avg("g")).alias("semivariance")).filter("n >= 5")
+    n = F.sum("days")
+    return b.agg(n.alias("n"), r(F.sum(F.col("d") * F.col("days")) / n).alias("lag"), r(F.sum("g") / n).alias("semivariance")).filter("n >= 5")
 
 
 @query(f"""WITH {FIELD}, {_N}, i AS (SELECT station, day, any_value(value) AS o, avg(u) AS m, any_value(value) - sum({_w(0.0, 2.0)} * u) / sum({_w(0.0, 2.0)}) AS e FROM n WHERE rank <= 8 GROUP BY ALL),
@@ -184,22 +191,56 @@ def additive_splines(spark, sf):
 
 
 def neighbour_features(spark, sf, k: int = 5):
-    n = neighbours(field(spark, sf), k)
-    g = n.groupBy("station", "day").agg(F.max("value").alias("label"), F.max("z").alias("z"), *[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for i in range(1, k + 1) for c in ("u", "dxy")])
-    return g.na.drop()
+    """label, neighbours' values and distances, their squared-distance mean, and place, elevation, season and wet share."""
+    n = neighbours(field(spark, sf), k).withColumn("w", F.pow(F.greatest("dxy", F.lit(0.001)), -2.0))
+    g = n.groupBy("station", "day").agg(
+        F.max("value").alias("label"), F.max("z").alias("z"), (F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("idw2"),
+        F.avg((F.col("u") > 20).cast("double")).alias("wet"), *[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}{i}") for i in range(1, k + 1) for c in ("u", "dxy")])
+    s = stations(spark, sf).select("station", "lat", "lon")
+    turn = 2 * np.pi * F.col("day") / 365.25
+    return g.join(s, "station").withColumn("sin", F.sin(turn)).withColumn("cos", F.cos(turn)).na.drop()
+
+
+def _left_out(g, labels: str, model, folds: int = 3):
+    """Predictions of every station by a model of the other folds' stations."""
+    from pyspark.ml.feature import VectorAssembler
+
+    cols = [c for c in g.columns if c not in ("station", "day", "label", "occurs")]
+    v = VectorAssembler(inputCols=cols, outputCol="features").transform(g)
+    fold = F.pmod(F.xxhash64("station"), F.lit(folds))
+    out = None
+    for i in range(folds):
+        m = model(labelCol=labels).fit(v.filter(fold != i))
+        p = m.transform(v.filter(fold == i)).select("station", "day", "label", F.col("prediction").alias("p"))
+        out = p if out is None else out.unionByName(p)
+    return out
 
 
 @query()
 def forest_neighbours(spark, sf):
-    """Random forest on neighbour values and distances; every seventh station is held out."""
-    from pyspark.ml.feature import VectorAssembler
+    """Random forest on neighbours and covariates; every station is predicted by a model that has not seen it."""
+    from functools import partial
+
     from pyspark.ml.regression import RandomForestRegressor
 
-    g = neighbour_features(spark, sf)
-    cols = [c for c in g.columns if c not in ("station", "day", "label")]
-    v = VectorAssembler(inputCols=cols, outputCol="features").transform(g)
-    m = RandomForestRegressor(numTrees=20, maxDepth=6, seed=42).fit(v.filter(F.col("station") % 7 != 0))
-    return m.transform(v.filter(F.col("station") % 7 == 0)).select("station", "day", r("label").alias("observed"), r("prediction").alias("predicted"))
+    p = _left_out(neighbour_features(spark, sf), "label", partial(RandomForestRegressor, numTrees=20, maxDepth=6, seed=42))
+    return p.select("station", "day", r("label").alias("observed"), r("p").alias("predicted"))
+
+
+@query()
+def forest_two_step(spark, sf):
+    """Occurrence by one forest, the amount of wet times by another."""
+    from functools import partial
+
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import RandomForestRegressor
+
+    g = neighbour_features(spark, sf).withColumn("occurs", (F.col("label") > 20).cast("double"))
+    wet = _left_out(g, "occurs", partial(RandomForestClassifier, numTrees=15, maxDepth=5, seed=42))
+    dry_free = g.withColumn("label", F.log1p(F.greatest("label", F.lit(0.0))))
+    amount = _left_out(dry_free, "label", partial(RandomForestRegressor, numTrees=15, maxDepth=5, seed=42)).select("station", "day", F.expm1("p").alias("a"))
+    x = wet.join(amount, ["station", "day"])
+    return x.select("station", "day", r("label").alias("observed"), r(F.when(F.col("p") > 0, F.col("a")).otherwise(0.0)).alias("predicted"))
 
 
 @query()
@@ -236,17 +277,25 @@ def slr_events(spark, sf):
     return e.select("station", "slot", r(F.least(F.lit(60.0), F.greatest(F.lit(2.0), 10 * F.col("hn") / F.col("p6")))).alias("slr"))
 
 
-@query(f"""WITH {FIELD}, k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY z, station) AS up, row_number() OVER (PARTITION BY day ORDER BY z DESC, station DESC) AS down, count(*) OVER (PARTITION BY day) AS n FROM f)
-SELECT day, count(*) AS n_stations, round(avg(value), 4) + 0.0 AS mean_value, round(stddev_pop(value), 4) + 0.0 AS std, round(corr(value, z), 5) + 0.0 AS elev_corr, round(avg(CASE WHEN down <= n // 5 THEN value END) - avg(CASE WHEN up <= n // 5 THEN value END), 4) + 0.0 AS elev_gradient, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS wet_fraction, round(stddev_pop(value) / avg(value), 4) + 0.0 AS cv FROM k GROUP BY day""")
+@query(f"""WITH {FIELD}, {_N}, k AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY z, station) AS up, row_number() OVER (PARTITION BY day ORDER BY z DESC, station DESC) AS down, count(*) OVER (PARTITION BY day) AS n FROM f),
+m AS (SELECT station, day, any_value(value) AS o, avg(u) AS m FROM n WHERE rank <= 5 GROUP BY ALL), a AS (SELECT day, corr(o, m) AS autocorr FROM m GROUP BY day)
+SELECT k.day, count(*) AS n_stations, round(avg(value), 4) + 0.0 AS mean_value, round(stddev_pop(value), 4) + 0.0 AS std, round(corr(value, z), 5) + 0.0 AS elev_corr,
+round(corr(value, cos(radians((station * 41) % 360))), 5) + 0.0 AS aspect_corr, round(any_value(autocorr), 5) + 0.0 AS autocorr,
+round(avg(CASE WHEN down <= n // 5 THEN value END) - avg(CASE WHEN up <= n // 5 THEN value END), 4) + 0.0 AS elev_gradient,
+round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 4) + 0.0 AS wet_fraction, round(stddev_pop(value) / avg(value), 4) + 0.0 AS cv FROM k JOIN a ON a.day = k.day GROUP BY k.day""")
 def regime_features(spark, sf):
-    """Features of each time's field."""
+    """Features of each time's field; north-facing is the cosine of the aspect, autocorrelation uses five neighbours."""
     w = Window.partitionBy("day")
-    k = field(spark, sf).withColumn("up", F.row_number().over(w.orderBy("z", "station"))).withColumn("down", F.row_number().over(w.orderBy(F.desc("z"), F.desc("station")))).withColumn("n", F.count("*").over(w))
-    fifth = F.expr("n div 5")
-    return k.groupBy("day").agg(
-        F.count("*").alias("n_stations"), r(F.avg("value")).alias("mean_value"), r(F.stddev_pop("value")).alias("std"), r(pearson(F.col("value"), F.col("z")), 5).alias("elev_corr"),
+    f = field(spark, sf)
+    k = f.withColumn("up", F.row_number().over(w.orderBy("z", "station"))).withColumn("down", F.row_number().over(w.orderBy(F.desc("z"), F.desc("station")))).withColumn("n", F.count("*").over(w))
+    fifth, north = F.expr("n div 5"), F.cos(F.radians(F.col("station") * 41 % 360))
+    out = k.groupBy("day").agg(
+        F.count("*").alias("n_stations"), r(F.avg("value")).alias("mean_value"), r(F.stddev_pop("value")).alias("std"),
+        r(pearson(F.col("value"), F.col("z")), 5).alias("elev_corr"), r(pearson(F.col("value"), north), 5).alias("aspect_corr"),
         r(F.avg(F.when(F.col("down") <= fifth, F.col("value"))) - F.avg(F.when(F.col("up") <= fifth, F.col("value")))).alias("elev_gradient"),
         r(F.avg(F.when(F.col("value") > 20, 1.0).otherwise(0.0))).alias("wet_fraction"), r(F.stddev_pop("value") / F.avg("value")).alias("cv"))
+    near = neighbours(f, 5).groupBy("day", "station").agg(F.max("value").alias("o"), F.avg("u").alias("m"))
+    return out.join(near.groupBy("day").agg(r(pearson(F.col("o"), F.col("m")), 5).alias("autocorr")), "day")
 
 
 def regime_pipeline(k: int = 4):
@@ -255,7 +304,7 @@ def regime_pipeline(k: int = 4):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 
-    cols = ["mean_value", "std", "elev_corr", "elev_gradient", "wet_fraction", "cv"]
+    cols = ["mean_value", "std", "elev_corr", "aspect_corr", "autocorr", "elev_gradient", "wet_fraction", "cv"]
     return Pipeline(stages=[
         Imputer(inputCols=cols, outputCols=[f"{c}_i" for c in cols], strategy="median"), VectorAssembler(inputCols=[f"{c}_i" for c in cols], outputCol="raw"),
         StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), PCA(k=4, inputCol="scaled", outputCol="features"), KMeans(k=k, seed=42, predictionCol="cluster_id")])
@@ -318,27 +367,38 @@ def forecast_rows(spark, sf):
     return d.select("station", "day", "value", *[F.lag("value", k).over(w).alias(f"lag{k}") for k in (1, 2, 3)], F.avg("value").over(w.rowsBetween(-3, -1)).alias("mean3"), F.lead("value").over(w).alias("label")).na.drop()
 
 
-def _forecast(spark, sf, regressor):
-    from pyspark.ml.feature import VectorAssembler
-
-    v = VectorAssembler(inputCols=["value", "lag1", "lag2", "lag3", "mean3"], outputCol="features").transform(forecast_rows(spark, sf))
-    return regressor.fit(v.filter("day < 19745")).transform(v.filter("day >= 19745")), v
+#: Columns the forecasts see.
+LAGS = ["value", "lag1", "lag2", "lag3", "mean3"]
 
 
 @query()
 def boosted_forecast(spark, sf):
-    """Gradient boosting on lags, tested on later days."""
-    from pyspark.ml.regression import GBTRegressor
-
-    return _forecast(spark, sf, GBTRegressor(maxIter=8, maxDepth=3, seed=42))[0].select("station", "day", r("label").alias("observed"), r("prediction").alias("predicted"))
+    """One boosted model a station; each of three folds is predicted from the rows before it."""
+    return K.station_forecasts(forecast_rows(spark, sf), "day", LAGS, "label", 3).withColumn("predicted", r("predicted")).withColumn("observed", r("observed"))
 
 
 @query()
 def forest_forecast(spark, sf):
-    """Random forest on lags, tested on later days."""
+    """Random forest on lags; the last fifth of the days is predicted."""
+    m, later = _forest(spark, sf)
+    return m.transform(later).select("station", "day", r("label").alias("observed"), r("prediction").alias("predicted"))
+
+
+@query()
+def forest_importance(spark, sf):
+    """Share of every lag in the forest's splits."""
+    m, _ = _forest(spark, sf)
+    return spark.createDataFrame([(c, float(x)) for c, x in zip(LAGS, m.featureImportances.toArray())], "feature string, importance double")
+
+
+def _forest(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    return _forecast(spark, sf, RandomForestRegressor(numTrees=15, maxDepth=5, seed=42))[0].select("station", "day", r("label").alias("observed"), r("prediction").alias("predicted"))
+    v = VectorAssembler(inputCols=LAGS, outputCol="features").transform(forecast_rows(spark, sf))
+    first, last = v.agg(F.min("day"), F.max("day")).first()
+    cut = first + (last - first) * 4 // 5
+    return RandomForestRegressor(numTrees=15, maxDepth=5, seed=42).fit(v.filter(F.col("day") < cut)), v.filter(F.col("day") >= cut)
 
 
 #: Neighbours of a grid cell within a square window, by an equi-join on shifted keys.
@@ -424,14 +484,24 @@ def gate_diagnostic(spark, sf):
     return predictions(spark, sf).groupBy((F.col("station") % 7 == 0).alias("held")).agg(F.count("*").alias("n"), n("o").alias("wet_observed"), n("p").alias("wet_predicted"), r(pearson(F.col("o"), F.col("p")), 5).alias("r"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, o AS (SELECT station, sec, event_id, value, row_number() OVER (PARTITION BY station ORDER BY sec, event_id) AS i FROM obs WHERE value IS NOT NULL),
+s AS (SELECT station, i, event_id, sec, value, sec AS t0, value AS v0, true AS ok FROM o WHERE i = 1
+UNION ALL SELECT o.station, o.i, o.event_id, o.sec, o.value,
+  CASE WHEN o.sec = t0 OR abs(o.value - v0) / (o.sec - t0) <= 0.01 THEN o.sec ELSE t0 END, CASE WHEN o.sec = t0 OR abs(o.value - v0) / (o.sec - t0) <= 0.01 THEN o.value ELSE v0 END,
+  o.sec = t0 OR abs(o.value - v0) / (o.sec - t0) <= 0.01 FROM s JOIN o ON o.station = s.station AND o.i = s.i + 1)
+SELECT station, sec, event_id, value FROM s WHERE ok""")
 def rate_filtered(spark, sf):
     """Q11: rows reachable at a bounded rate from the last accepted row."""
     o = obs(spark, sf).select("station", "sec", "event_id", "value")
     return K.rate_filter(o, "station", "sec", 0.01)
 
 
-@query()
+@query(f"""WITH RECURSIVE {STATIONS}, a AS (SELECT station, CAST(floor(lat) AS BIGINT) AS region, lat, lon FROM stations), m AS (SELECT region, 111320.0 * cos(radians(avg(lat))) AS scale FROM a GROUP BY region),
+o AS (SELECT station, region, lon * scale AS x, lat * 111320.0 AS y, row_number() OVER (PARTITION BY region ORDER BY station) AS i FROM a JOIN m USING (region)),
+s AS (SELECT region, i, station, station AS seed, [{{'s': station, 'x': x, 'y': y}}] AS seeds FROM o WHERE i = 1
+UNION ALL SELECT region, i, station, coalesce(found.s, station), CASE WHEN found IS NULL THEN list_append(seeds, {{'s': station, 'x': x, 'y': y}}) ELSE seeds END
+FROM (SELECT o.region, o.i, o.station, o.x, o.y, seeds, list_filter(seeds, lambda q: sqrt((q.x - o.x) * (q.x - o.x) + (q.y - o.y) * (q.y - o.y)) <= 6000.0)[1] AS found FROM s JOIN o ON o.region = s.region AND o.i = s.i + 1))
+SELECT station, seed, region FROM s""")
 def greedy_stations(spark, sf):
     """Stations merged into the first seed within a radius, by region."""
     s = stations(spark, sf).select("station", "lat", "lon", F.floor("lat").cast("long").alias("region"))
@@ -470,8 +540,9 @@ def forecast_cross_validation(spark, sf):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    v = VectorAssembler(inputCols=["value", "lag1", "lag2", "lag3", "mean3"], outputCol="features").transform(forecast_rows(spark, sf))
-    edges = [19735, 19740, 19745, 19750]
+    v = VectorAssembler(inputCols=LAGS, outputCol="features").transform(forecast_rows(spark, sf))
+    first, last = v.agg(F.min("day"), F.max("day")).first()
+    edges = [first + (last + 1 - first) * i // 6 for i in range(3, 7)]
     folds = None
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         m = LinearRegression(regParam=0.1).fit(v.filter(F.col("day") < a))

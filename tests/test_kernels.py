@@ -107,6 +107,22 @@ def test_pair_sums_leave_a_station_out():
         assert np.allclose(v * np.maximum(counts, 1), np.bincount(edge, 0.5 * (res[a] - res[b]) ** 2, 13)[:12])
 
 
+def test_boosting_finds_the_best_split_and_follows_a_step():
+    g = np.random.default_rng(3)
+    x = g.integers(0, 9, (60, 3)).astype(float)
+    e = np.where(x[:, 1] > 4, 2.0, -1.0) + g.normal(0, 0.01, 60)
+
+    def left_over(c, t):
+        low = x[:, c] <= t
+        return ((e[low] - e[low].mean()) ** 2).sum() + ((e[~low] - e[~low].mean()) ** 2).sum()
+
+    c, t, low, high = K.best_stump(x, e)
+    assert c == 1 and 4 < t < 5 and low < 0 < high
+    assert left_over(c, t) <= min(left_over(a, v) for a in range(3) for v in np.unique(x[:, a])[:-1]) + 1e-9
+    assert np.abs(K.boosted(x, e, x, rounds=80) - e).mean() < 0.05
+    assert np.allclose(K.boosted(np.zeros((5, 2)), np.arange(5.0), np.zeros((2, 2))), 2.0)
+
+
 def test_sinks_and_basins():
     z = np.array([[5, 5, 5, 5], [5, 1, 2, 4], [5, 5, 5, 5], [5, 5, 5, 5]], float)
     f = K.fill_sinks(z)
