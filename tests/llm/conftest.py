@@ -16,7 +16,7 @@ def odd(spark):
         (None, "no id here at all but some words", "en", "a"), (6, " \t\n ", "en", "a"), (7, "x" * 50_000, "en", "a"), (8, "a\nb\na\nb\nc\n\na\nb", "en", "a"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    extra = ["n_words", "n_lines", "score", "bucket", "spans", "kept", "n_tokens", "_w", "h", "n", "at", "class_id", "label"]
+    extra = ["n_words", "n_lines", "score", "bucket", "spans", "kept", "n_tokens", "_w", "h", "n", "at", "class_id", "label", "_d", "_k", "_key", "_t", "base", "terms", "length", "lo", "run"]
     from pyspark.sql import functions as F
 
     return df.withColumns({c: F.lit("clash") for c in extra})

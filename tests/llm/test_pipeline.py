@@ -45,3 +45,26 @@ def test_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, sf, odd):
+    """Nulls, empty and very long texts, repeated rows and columns named like the stages' own go through every stage."""
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumn("n_chars", F.char_length("text").cast("long"))
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == cp.COLUMNS and out.count() <= docs.count(), name
+    lines = cp.stage_lines(spark, docs, sf)
+    assert lines.count() == docs.count() and lines.filter("text IS NULL").count() == 1
+    packed = cp.stage_packing(spark, docs, sf)
+    assert packed.count() == docs.count() and packed.select("batch", "slot").distinct().count() == docs.count()
+
+
+def test_rows_judged_apart_by_source(spark, sf):
+    """Equal id and text, but another language and source: each row gets its own verdict."""
+    odd = " ".join(f"w{(j * 13) % 997}{'#' if j % 3 == 0 else ''}" for j in range(90))
+    texts = lambda mark: [" ".join(f"w{(i * 7 + j * 13) % 997}{mark if (j + i) % 3 == 0 else ''}" for j in range(90)) for i in range(400)]
+    rows = [(i, t, "en", s, 0) for s, mark in (("plain", ""), ("marked", "#")) for i, t in enumerate(texts(mark))] + [(9000, odd, "en", "plain", 0), (9000, odd, "en", "marked", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.source for r in cp.stage_quality(spark, docs, sf).filter("doc_id = 9000").collect()] == ["marked"]

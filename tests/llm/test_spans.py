@@ -84,23 +84,26 @@ def test_substring_edges(spark, odd):
 
 
 def brute_lines(rows):
-    """Chunks by the operator's own boundaries; removal by comparing whole chunks."""
-    seen, out = {}, {}
-    for d, cs, lines in sorted(rows):
+    """Lines of every pair of neighbouring lines with text, blank ones between them included, that stands earlier in the corpus."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        lines = t.split("\n")
+        full = [i for i, x in enumerate(lines) if WORD.search(x)]
         gone = set()
-        for lo, n, body in cs:
-            if seen.setdefault(body, (d, lo)) != (d, lo):
-                gone.update(range(lo, lo + n))
+        for a, b in zip(full, full[1:]):
+            body = tuple(lines[a : b + 1])
+            if body in seen:
+                gone.update(range(a, b + 1))
+            seen.add(body)
         out[d] = (len(lines), len(gone), hashlib.sha256("\n".join(x for i, x in enumerate(lines) if i not in gone).encode()).hexdigest())
     return out
 
 
-def test_line_dedup_matches_brute_force(spark, sf):
-    from pyspark.sql import functions as F
-
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = docs.select("doc_id", L.chunks(F.col("text")).alias("c"), "text").collect()
-    want = brute_lines([(r.doc_id, [(c.lo, c.n, c.body) for c in r.c], r.text.split("\n")) for r in rows])
+@pytest.mark.parametrize("small", [L.SMALL, 0])
+def test_line_dedup_matches_brute_force(spark, sf, monkeypatch, small):
+    monkeypatch.setattr(L, "SMALL", small)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
     got = {r.doc_id: (r.n_lines, r.n_removed_lines, r.kept_sha256) for r in L.op6_line_dedup(spark, sf).collect()}
     assert got == want and any(v[1] for v in got.values())
 
