@@ -429,9 +429,9 @@ def spline_basis(x: np.ndarray, knots: int = 6) -> np.ndarray:
     return b
 
 
-def additive(columns: list[np.ndarray], v: np.ndarray, lam: float = 1.0) -> np.ndarray:
-    """Fitted values of a penalised additive model: one spline a column, second-difference penalties."""
-    parts, pens = [np.ones((len(v), 1))], [np.zeros((1, 1))]
+def additive_design(columns: list[np.ndarray], lam: float) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and penalty of one spline for each covariate; few distinct values make a linear term."""
+    parts, pens = [], []
     for c in columns:
         if len(np.unique(c)) < 4:
             parts.append(c[:, None].astype(float))
@@ -441,13 +441,66 @@ def additive(columns: list[np.ndarray], v: np.ndarray, lam: float = 1.0) -> np.n
         d = np.diff(np.eye(s.shape[1]), 2, axis=0)
         parts.append(s - s.mean(0))
         pens.append(lam * d.T @ d + 1e-6 * np.eye(s.shape[1]))
-    b = np.column_stack(parts)
-    p = np.zeros((b.shape[1], b.shape[1]))
-    at = 0
+    b = np.column_stack([np.ones(len(columns[0])), *parts])
+    p = np.full((b.shape[1], b.shape[1]), 0.0)
+    at = 1
     for q in pens:
         p[at : at + len(q), at : at + len(q)] = q
         at += len(q)
-    return b @ np.linalg.solve(b.T @ b + p + 1e-9 * np.eye(len(p)), b.T @ v)
+    return b, p + 1e-9 * np.eye(len(p))
+
+
+def additive(columns: list[np.ndarray], v: np.ndarray, lam: float = 1.0) -> np.ndarray:
+    """Fitted values of a penalised additive model: one spline a column, second-difference penalties."""
+    b, p = additive_design(columns, lam)
+    return b @ np.linalg.solve(b.T @ b + p, b.T @ v)
+
+
+def additive_odds(columns: list[np.ndarray], wet: np.ndarray, lam: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Fitted probabilities of a penalised additive logistic model."""
+    b, p = additive_design(columns, lam)
+    beta = np.zeros(b.shape[1])
+    for _ in range(rounds):
+        mu = 1 / (1 + np.exp(-np.clip(b @ beta, -20, 20)))
+        w = np.maximum(mu * (1 - mu), 1e-6)
+        step = np.linalg.solve((b * w[:, None]).T @ b + p, b.T @ (wet - mu) - p @ beta)
+        beta += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return 1 / (1 + np.exp(-np.clip(b @ beta, -20, 20)))
+
+
+def gated_amounts(columns: list[np.ndarray], v: np.ndarray, wet: float, least: int = 30) -> np.ndarray:
+    """Occurrence by odds, amounts of wet rows by an additive model of log1p, capped at their 99th percentile.
+
+    With fewer than ``least`` wet rows the amount is a linear fit, with fewer
+    than a third of that the wet mean; where all or none are wet there is no gate.
+    """
+    rain = v > wet
+    if not rain.any():
+        return np.zeros(len(v))
+    p = np.ones(len(v)) if rain.all() else additive_odds(columns, rain.astype(float))
+    y = np.log1p(v[rain])
+    if rain.sum() >= least:
+        b, q = additive_design(columns, 1.0)
+    elif rain.sum() >= least // 3:
+        b = np.column_stack([np.ones(len(v)), *[(c - c.mean()) / max(c.std(), 1e-9) for c in columns]])
+        q = 1e-6 * np.eye(b.shape[1])
+    else:
+        b, q = np.ones((len(v), 1)), np.zeros((1, 1))
+    amount = np.expm1(b @ np.linalg.solve(b[rain].T @ b[rain] + q, b[rain].T @ y))
+    return np.where(p >= 0.5, np.clip(amount, 0.0, np.quantile(v[rain], 0.99)), 0.0)
+
+
+def shrunk_profile(z: np.ndarray, v: np.ndarray, region: np.ndarray, shrink: float = 20.0) -> np.ndarray:
+    """Elevation profiles of regions, each drawn towards the profile of all by ``shrink`` rows."""
+    whole = elevation_profile(z, v)
+    out = whole.copy()
+    for g in np.unique(region):
+        own = region == g
+        if own.sum() >= 8:
+            out[own] = (own.sum() * elevation_profile(z[own], v[own]) + shrink * whole[own]) / (own.sum() + shrink)
+    return out
 
 
 def elevation_profile(z: np.ndarray, v: np.ndarray, breaks: int = 2, rounds: int = 20) -> np.ndarray:
@@ -479,6 +532,29 @@ def per_time(df: DataFrame, time: str, fit) -> DataFrame:
 # --- grids, trees, clusters ----------------------------------------------------
 
 
+def divide_distance(basin: np.ndarray) -> np.ndarray:
+    """Steps (four neighbours) of every cell to the nearest cell of another basin; -1 if there is none."""
+    out = np.full(basin.shape, -1)
+    front = np.zeros(basin.shape, bool)
+    for axis in (0, 1):
+        edge = np.diff(basin, axis=axis) != 0
+        low, high = [slice(None)] * 2, [slice(None)] * 2
+        low[axis], high[axis] = slice(None, -1), slice(1, None)
+        front[tuple(low)] |= edge
+        front[tuple(high)] |= edge
+    step = 1
+    while front.any():
+        out[front] = step
+        grown = np.zeros_like(front)
+        grown[1:] |= front[:-1]
+        grown[:-1] |= front[1:]
+        grown[:, 1:] |= front[:, :-1]
+        grown[:, :-1] |= front[:, 1:]
+        front = grown & (out < 0)
+        step += 1
+    return out
+
+
 def fill_sinks(z: np.ndarray) -> np.ndarray:
     """Priority-flood: every cell is raised to the lowest level from which it drains to the border."""
     import heapq

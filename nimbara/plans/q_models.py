@@ -152,27 +152,61 @@ def spatial_autocorrelation(spark, sf):
     return x.groupBy("day").agg(F.count("*").alias("n"), r(pearson(F.col("o"), F.col("m")), 5).alias("autocorrelation"), r(pearson(F.col("e"), F.col("em")), 5).alias("residual_autocorrelation"))
 
 
+#: Trend of the kriging: place, elevation, their products, and land cover against the first class.
+TREND = ["x", "y", "z", "xz", "yz", "cover1", "cover2"]
+
+
+def _trend(f):
+    z = F.col("z") / 1000
+    cover = [(F.col("station") % 3 == i).cast("double").alias(f"cover{i}") for i in (1, 2)]
+    return f.select("*", (F.col("x") * z).alias("xz"), (F.col("y") * z).alias("yz"), *cover)
+
+
 @query()
 def kriging_loo(spark, sf):
-    """Leave-one-out regression kriging of each day."""
-    return K.regression_kriging(field(spark, sf), "day", "value", ["x", "y", "z"]).withColumn("predicted", r("predicted"))
+    """Leave-one-out regression kriging of each day."""
+    return K.regression_kriging(_trend(field(spark, sf)), "day", "value", TREND).withColumn("predicted", r("predicted"))
 
 
 @query()
-def bilinear_surface(spark, sf):
-    """Penalised bilinear surfaces with a linear elevation term."""
+def kriging_two_step(spark, sf):
+    """Occurrence and amount kriged apart in each of two regions; amounts only where occurrence is likely."""
+    f = _trend(field(spark, sf)).withColumn("wet", (F.col("value") > 20).cast("double")).withColumn("amount", F.log1p(F.greatest("value", F.lit(0.0))))
+    f = f.withColumn("part", F.col("day") * 2 + (F.col("x") > 114).cast("long"))
+    trend = ["x", "y", "z"]
+    p = K.regression_kriging(f, "part", "wet", trend).select("part", "station", F.col("predicted").alias("p"))
+    a = K.regression_kriging(f, "part", "amount", trend).select("part", "station", "observed", F.col("predicted").alias("a"))
+    x = p.join(a, ["part", "station"])
+    gated = F.when(F.col("p") >= 0.5, F.greatest(F.expm1("a"), F.lit(0.0))).when(F.col("p").isNotNull(), 0.0)
+    return x.select(F.expr("part div 2").alias("day"), "station", r(F.expm1("observed")).alias("observed"), r("p").alias("p_wet"), r(gated).alias("predicted"))
+
+
+def _surface(spark, sf, elevation: bool):
     def fit(g):
-        return K.surface(g["x"].to_numpy(), g["y"].to_numpy(), g["value"].to_numpy(), g[["z"]].to_numpy() / 1000)[0]
+        extra = g[["z"]].to_numpy() / 1000 if elevation else None
+        return K.surface(g["x"].to_numpy(), g["y"].to_numpy(), g["value"].to_numpy(), extra)[0]
 
     return K.per_time(field(spark, sf), "day", fit).withColumn("fitted", r("fitted"))
 
 
+@query()
+def bilinear_surface(spark, sf):
+    """Penalised bilinear surfaces with a linear elevation term."""
+    return _surface(spark, sf, True)
+
+
+@query()
+def bilinear_plain(spark, sf):
+    """Penalised bilinear surfaces of place alone."""
+    return _surface(spark, sf, False)
+
+
 @query()
 def profile_and_residuals(spark, sf):
-    """Robust piecewise elevation profile plus weighted residuals of other stations."""
+    """Robust piecewise elevation profiles of regions, shrunk to that of all, plus weighted residuals of other stations."""
     def fit(g):
         z, v = g["z"].to_numpy(), g["value"].to_numpy()
-        base = K.elevation_profile(z, v)
+        base = K.shrunk_profile(z, v, np.digitize(g["x"].to_numpy(), [76.0, 152.0]))
         d = np.hypot(g["x"].to_numpy()[:, None] - g["x"].to_numpy()[None], g["y"].to_numpy()[:, None] - g["y"].to_numpy()[None])
         w = np.exp(-d / 20)
         np.fill_diagonal(w, 0)
@@ -190,6 +224,15 @@ def additive_splines(spark, sf):
     return K.per_time(field(spark, sf), "day", fit).withColumn("fitted", r("fitted"))
 
 
+@query()
+def additive_two_step(spark, sf):
+    """Logistic additive gate, additive amounts with a cap and simpler models where wet stations are few."""
+    def fit(g):
+        return K.gated_amounts([g[c].to_numpy() for c in ("x", "y", "z")], g["value"].to_numpy(), 20.0)
+
+    return K.per_time(field(spark, sf), "day", fit).withColumn("fitted", r("fitted"))
+
+
 def neighbour_features(spark, sf, k: int = 5):
     """label, neighbours' values and distances, their squared-distance mean, and place, elevation, season and wet share."""
     n = neighbours(field(spark, sf), k).withColumn("w", F.pow(F.greatest("dxy", F.lit(0.001)), -2.0))
@@ -298,23 +341,39 @@ def regime_features(spark, sf):
     return out.join(near.groupBy("day").agg(r(pearson(F.col("o"), F.col("m")), 5).alias("autocorr")), "day")
 
 
-def regime_pipeline(k: int = 4):
-    """Impute, standardise, project and cluster."""
+#: Weight of the cyclic features against the others, and share of variance that the components keep.
+CYCLIC, VARIANCE = 0.4, 0.95
+
+
+def regime_model(f, k: int = 4):
+    """A model fitted on features of times: impute, drop constants, standardise, project to VARIANCE, cluster."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
+    from pyspark.ml.feature import PCA, ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
 
-    cols = ["mean_value", "std", "elev_corr", "aspect_corr", "autocorr", "elev_gradient", "wet_fraction", "cv"]
-    return Pipeline(stages=[
+    cols = ["mean_value", "std", "elev_corr", "aspect_corr", "autocorr", "elev_gradient", "wet_fraction", "cv", "sin", "cos"]
+    spread = f.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+    cols = [c for c in cols if spread[c] is None or spread[c] > 1e-9]
+    weight = [CYCLIC if c in ("sin", "cos") else 1.0 for c in cols]
+    stages = [
         Imputer(inputCols=cols, outputCols=[f"{c}_i" for c in cols], strategy="median"), VectorAssembler(inputCols=[f"{c}_i" for c in cols], outputCol="raw"),
-        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), PCA(k=4, inputCol="scaled", outputCol="features"), KMeans(k=k, seed=42, predictionCol="cluster_id")])
+        StandardScaler(inputCol="raw", outputCol="even", withMean=True), ElementwiseProduct(scalingVec=weight, inputCol="even", outputCol="scaled")]
+    ready = Pipeline(stages=stages).fit(f)
+    share = np.cumsum(PCA(k=len(cols), inputCol="scaled", outputCol="all").fit(ready.transform(f)).explainedVariance.toArray())
+    keep = min(len(cols), int(np.searchsorted(share, VARIANCE)) + 1)
+    return Pipeline(stages=[*stages, PCA(k=keep, inputCol="scaled", outputCol="features"), KMeans(k=k, seed=42, predictionCol="cluster_id")]).fit(f)
+
+
+def timed_features(spark, sf):
+    turn = 2 * np.pi * F.col("day") / 365.25
+    return regime_features(spark, sf).withColumn("sin", F.sin(turn)).withColumn("cos", F.cos(turn))
 
 
 @query()
 def kmeans_regimes(spark, sf):
     """Regimes of times; a model fitted on some applies to all."""
-    f = regime_features(spark, sf)
-    return regime_pipeline().fit(f.filter(F.col("day") % 4 != 0)).transform(f).select("day", "cluster_id")
+    f = timed_features(spark, sf)
+    return regime_model(f.filter(F.col("day") % 4 != 0)).transform(f).select("day", "cluster_id")
 
 
 @query()
@@ -432,9 +491,38 @@ def slope_aspect(spark, sf):
     return d.select("ix", "iy", r(slope, 5).alias("slope"), r((F.degrees(F.atan2(gx, gy)) + 360) % 360).alias("aspect"), r(curve, 6).alias("curvature"))
 
 
+#: Segments x1, y1, x2, y2 of a coast and of a ridge, in cells.
+COAST = [(-1.0, -4.0, 12.0, -2.0), (12.0, -2.0, 31.0, -5.0)]
+RIDGE = [(0.0, 8.0, 10.0, 12.0), (10.0, 12.0, 22.0, 9.0), (22.0, 9.0, 30.0, 14.0)]
+_LINES = ", ".join(f"('{n}', {i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)" for n, lines in (("coast", COAST), ("ridge", RIDGE)) for i, (a, b, c, d) in enumerate(lines))
+
+
+@query(f"""WITH {_GRID}, l(line, i, x1, y1, x2, y2) AS (VALUES {_LINES}),
+t AS (SELECT ix, iy, line, i, x1, y1, x2, y2, greatest(0.0, least(1.0, ((ix - x1) * (x2 - x1) + (iy - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS t FROM grid, l),
+d AS (SELECT ix, iy, line, i, round(sqrt(pow(ix - (x1 + t * (x2 - x1)), 2) + pow(iy - (y1 + t * (y2 - y1)), 2)), 6) AS d, sign((x2 - x1) * (iy - y1) - (y2 - y1) * (ix - x1)) AS side FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY ix, iy, line ORDER BY d, i) AS k FROM d)
+SELECT ix, iy, max(CASE WHEN line = 'coast' THEN d END) + 0.0 AS coast, max(CASE WHEN line = 'ridge' THEN d END) + 0.0 AS ridge, max(CASE WHEN line = 'ridge' THEN side END)::DOUBLE AS ridge_side FROM k WHERE k = 1 GROUP BY ix, iy""")
+def line_distances(spark, sf):
+    """Distances to coast and ridge, and on which side of the ridge a cell lies."""
+    from nimbara.operators.joins import segment_distance
+
+    read(spark, sf, "region")
+    x, y = F.col("ix").cast("double"), F.col("iy").cast("double")
+
+    def nearest(lines):
+        each = []
+        for i, (x1, y1, x2, y2) in enumerate(lines):
+            side = F.signum(F.lit(x2 - x1) * (y - y1) - F.lit(y2 - y1) * (x - x1))
+            each.append(F.struct(F.round(segment_distance(x, y, *map(F.lit, (x1, y1, x2, y2))), 6).alias("d"), F.lit(i).alias("i"), side.alias("side")))
+        return F.array_min(F.array(*each))
+
+    g = grid(spark).select("ix", "iy", nearest(COAST).alias("c"), nearest(RIDGE).alias("r"))
+    return g.select("ix", "iy", (F.col("c.d") + 0.0).alias("coast"), (F.col("r.d") + 0.0).alias("ridge"), F.col("r.side").alias("ridge_side"))
+
+
 @query()
 def drainage_basins(spark, sf):
-    """Sinks filled and cells labelled by their outlet, one tile a task."""
+    """Sinks filled, cells labelled by their outlet, and cells to the nearest divide; one tile a task."""
     import pandas as pd
 
     read(spark, sf, "region")
@@ -444,9 +532,9 @@ def drainage_basins(spark, sf):
         f = K.fill_sinks(z)
         b = K.basins(f)
         iy, ix = np.meshgrid(np.sort(g["iy"].unique()), np.sort(g["ix"].unique()), indexing="ij")
-        return pd.DataFrame({"ix": ix.ravel(), "iy": iy.ravel(), "filled": f.ravel(), "basin": b.ravel()})
+        return pd.DataFrame({"ix": ix.ravel(), "iy": iy.ravel(), "filled": f.ravel(), "basin": b.ravel(), "divide": K.divide_distance(b).ravel()})
 
-    return grid(spark).withColumn("tile", F.lit(0)).groupBy("tile").applyInPandas(run, "ix long, iy long, filled double, basin long")
+    return grid(spark).withColumn("tile", F.lit(0)).groupBy("tile").applyInPandas(run, "ix long, iy long, filled double, basin long, divide long")
 
 
 @query()
@@ -513,8 +601,8 @@ def silhouette_regimes(spark, sf):
     """The number of regimes by silhouette."""
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    f = regime_features(spark, sf)
-    fits = [regime_pipeline(k).fit(f).transform(f) for k in (2, 3, 4, 5)]
+    f = timed_features(spark, sf)
+    fits = [regime_model(f, k).transform(f) for k in (2, 3, 4, 5)]
     score = ClusteringEvaluator(predictionCol="cluster_id", featuresCol="features")
     return max(fits, key=score.evaluate).select("day", "cluster_id")
 

@@ -123,6 +123,32 @@ def test_boosting_finds_the_best_split_and_follows_a_step():
     assert np.allclose(K.boosted(np.zeros((5, 2)), np.arange(5.0), np.zeros((2, 2))), 2.0)
 
 
+def test_gated_amounts():
+    g = np.random.default_rng(4)
+    x, y = g.uniform(0, 1, (2, 300))
+    v = np.where(x > 0.5, 5 + 40 * y, 0.0)
+    fit = K.gated_amounts([x, y], v, 1.0)
+    assert ((fit > 0) == (x > 0.5)).mean() > 0.95 and np.abs(fit - v)[x > 0.6].mean() < 3
+    assert fit.max() <= np.quantile(v[v > 1], 0.99) and (K.gated_amounts([x, y], np.zeros(300), 1.0) == 0).all()
+    few = np.where(np.arange(300) < 5, 7.0, 0.0)
+    assert K.gated_amounts([x, y], few, 1.0).max() <= 7.0
+
+
+def test_shrunk_profiles_lie_between():
+    z = np.tile(np.linspace(0, 2000, 40), 2)
+    region = np.repeat([0, 1], 40)
+    v = np.where(region == 0, 10 - 0.004 * z, 14 - 0.008 * z)
+    fit, whole = K.shrunk_profile(z, v, region), K.elevation_profile(z, v)
+    own = np.concatenate([K.elevation_profile(z[region == i], v[region == i]) for i in (0, 1)])
+    assert ((fit - whole) * (own - fit) >= -1e-9).all()
+
+
+def test_divide_distance():
+    b = np.array([[0, 0, 0, 1], [0, 0, 0, 1], [0, 0, 0, 0]])
+    assert K.divide_distance(b).tolist() == [[3, 2, 1, 1], [3, 2, 1, 1], [4, 3, 2, 1]]
+    assert (K.divide_distance(np.zeros((2, 2), int)) == -1).all()
+
+
 def test_sinks_and_basins():
     z = np.array([[5, 5, 5, 5], [5, 1, 2, 4], [5, 5, 5, 5], [5, 5, 5, 5]], float)
     f = K.fill_sinks(z)
