@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from nimbara.llm.common import Words, discard, shielded, slices, stored, table
 
 #: Entries a worker keeps before it starts anew.
-KEPT = 500_000
+KEPT = 300_000
 #: Runs whose piece counts are broadcast, at most.
 HEAD = 500_000
 #: Count classes in a power of two, for choosing the head.
 STEPS = 8
-SLICE = 8 << 20
+SLICE = 2 << 20
 _OPEN: dict[str, object] = {}
 
 
