@@ -91,11 +91,34 @@ def _same(x: Column, y: Column) -> Column:
     return let(F.zip_with(x, y, lambda a, b: a == b), lambda z: F.coalesce(F.nullif(F.array_position(z, False), F.lit(0)) - 1, F.size(z)).cast("int"))
 
 
+def _spans() -> Column:
+    """Distinct spans s..e of the text ``_w`` that match the item ``_iw`` around a shared fingerprint.
+
+    Of neighbouring matches (p, q), (p + 1, q + 1) only the first is extended,
+    as all give the same span; so a text and an item that repeat one word cost
+    the sum of their lengths, not the product.  Words stay in their row.
+    """
+    w, x, k = F.col("_w"), F.col("_iw"), F.col("k")
+
+    def firsts(q: Column) -> Column:
+        follows = lambda p: (p > F.col("lo")) & (q > 0) & F.array_contains("qs", q - 1) & (F.get(w, p - 1) == F.get(x, q - 1))
+        return F.filter(F.sequence("lo", "hi"), lambda p: ~follows(p) & (F.slice(w, p + 1, k) == F.slice(x, q + 1, k)))
+
+    def extended(p: Column, q: Column) -> Column:
+        back, ahead = F.least(p, q), F.least(F.size(w) - p - k, F.size(x) - q - k)
+        left = _same(F.reverse(F.slice(w, p - back + 1, back)), F.reverse(F.slice(x, q - back + 1, back)))
+        right = _same(F.slice(w, p + k + 1, ahead), F.slice(x, q + k + 1, ahead))
+        return F.struct((p - left).cast("int").alias("s"), (p + k + right).cast("int").alias("e"))
+
+    return F.array_distinct(F.flatten(F.transform("qs", lambda q: F.transform(firsts(q), lambda p: extended(p, q)))))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], item: str = "item_id", text: str = "text") -> DataFrame:
     """keys, item and the word span s..e (end exclusive) of every match; rows may repeat."""
     items = benchmark.select(F.col(item).alias("_id"), F.xxhash64(item, text).alias("_item"), plain_words(F.col(text)).alias("_iw")).filter(F.size("_iw") > 0)
     items = stored(items.dropDuplicates(["_id", "_item"]), "items")
-    prints = stored(item_prints(items.dropDuplicates(["_item"])), "prints")
+    prints = item_prints(items.dropDuplicates(["_item"])).groupBy("_item", "fp", "k").agg(F.array_sort(F.collect_set("q")).alias("qs"))
+    prints = stored(prints, "prints")
     sizes = items.select(F.size("_iw").alias("n")).filter(F.col("n") < WINDOW).distinct()
     short = sorted(r[0] for r in sizes.collect())  # at most 12 lengths
     blocks = max(1, math.ceil(prints.count() / BLOCK))
@@ -106,13 +129,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, keys: list[str], item: str = "it
         part = prints.filter(F.pmod("_item", F.lit(blocks)) == b)
         words_of = items.join(F.broadcast(part.select("_item").distinct()), "_item", "left_semi")
         met = runs.join(F.broadcast(part), ["fp", "k"]).join(F.broadcast(words_of), "_item")
-        at = met.select(*keys, "_w", "_iw", "_id", "k", "q", F.explode_outer(F.filter(F.sequence("lo", "hi"), lambda p: F.slice("_w", p + 1, F.col("k")) == F.slice("_iw", F.col("q") + 1, F.col("k")))).alias("p"))
-        at = at.filter(F.col("p").isNotNull())
-        back, ahead = F.least("p", "q"), F.least(F.size("_w") - F.col("p") - F.col("k"), F.size("_iw") - F.col("q") - F.col("k"))
-        left = _same(F.reverse(F.slice("_w", F.col("p") - back + 1, back)), F.reverse(F.slice("_iw", F.col("q") - back + 1, back)))
-        right = _same(F.slice("_w", F.col("p") + F.col("k") + 1, ahead), F.slice("_iw", F.col("q") + F.col("k") + 1, ahead))
-        span = at.select(*keys, F.col("_id").alias(item), (F.col("p") - left).alias("s"), (F.col("p") + F.col("k") + right).alias("e"), F.least(F.lit(WINDOW), F.size("_iw")).alias("_need"))
-        got = span.filter(F.col("e") - F.col("s") >= F.col("_need")).drop("_need")
+        span = met.select(*keys, F.col("_id").alias(item), F.explode_outer(_spans()).alias("x"), F.least(F.lit(WINDOW), F.size("_iw")).alias("_need")).select(*keys, item, "x.s", "x.e", "_need")
+        got = span.filter(F.col("e") - F.col("s") >= F.col("_need")).drop("_need")  # a row without spans has nulls and goes
         found = got if found is None else found.unionByName(got)
     return found
 

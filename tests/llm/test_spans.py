@@ -37,6 +37,18 @@ def test_decontamination_short_items(spark):
     assert got == {1: (6, ["1"], True), 2: (0, [], False), 3: (0, [], False), 4: (13, ["4"], True), 5: (16, ["4"], True), 6: (7, ["5"], True), 7: (0, [], False)}
 
 
+def test_decontamination_of_repeated_words(spark):
+    """A long text and an item of one word, or of a short period, take time in proportion to their lengths."""
+    import time
+
+    bench = spark.createDataFrame([(1, "a " * 120), (2, "x y " * 60)], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "b " + "a " * 4_000), (2, "x y " * 1_000 + "z"), (3, "a " * 12), (4, "q " * 50 + "a " * 13)], "doc_id int, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, bench).collect()}
+    assert got == {1: (4_000, ["1"]), 2: (2_000, ["2"]), 3: (0, []), 4: (13, ["1"])}
+    assert time.time() - began < 240
+
+
 def test_decontamination_in_blocks(spark, sf, monkeypatch):
     from nimbara.llm import decontaminate as D
 
