@@ -16,6 +16,7 @@ import ctypes
 import functools
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -30,6 +31,8 @@ from nimbara.functions.session import ship
 #: White space that separates words: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 _LOCAL: dict[str, str] = {}
+#: Seconds between looks for shuffle files without a user, and the last look.
+LOOK_S, _LOOKED = 3.0, [0.0]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -49,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="nimbara-")
@@ -61,13 +64,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Shuffle files of the finished step have no user any more; the driver's
-    cleaner drops them once the collector has seen that.
+    cleaner drops them once the collector has seen that, so it is asked to look
+    from time to time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
+    if time.monotonic() - _LOOKED[0] > LOOK_S:
+        spark._jvm.System.gc()
+        _LOOKED[0] = time.monotonic()
     return spark.read.schema(schema).parquet(path)
 
 
