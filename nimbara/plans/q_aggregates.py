@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from nimbara.operators import scores as S
 from nimbara.operators.joins import nearest_k
-from nimbara.operators.timegrid import season
 from nimbara.plans.base import DAILY, OBS, STATIONS, daily, obs, r, read, stations
 from nimbara.plans.q_joins import _GRID, NEAR, grid
 from nimbara.plans.registry import query

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from nimbara.operators import joins as J
 from nimbara.operators import kernels as K
-from nimbara.operators.scores import pearson
 from nimbara.plans.base import DAILY, OBS, SLOTS, STATIONS, daily, obs, r, read, slots, stations
 from nimbara.plans.registry import query
 
