@@ -404,12 +404,12 @@ def surface(x, y, v, extra=None, nx=6, ny=5, lams=(1e-3, 1e-2, 1e-1, 1.0, 10.0))
     if extra is not None:
         b = np.column_stack([b, extra])
         p = np.pad(p, ((0, extra.shape[1]), (0, extra.shape[1])))
-    best = None
+    best, square = None, b.T @ b
     for lam in lams:
-        a = b.T @ b + lam * p + 1e-8 * np.eye(b.shape[1])
-        hat = b @ np.linalg.solve(a, b.T)
-        f = hat @ v
-        gcv = len(v) * ((v - f) ** 2).sum() / max(1e-9, (len(v) - np.trace(hat)) ** 2)
+        a = square + lam * p + 1e-8 * np.eye(b.shape[1])
+        f = b @ np.linalg.solve(a, b.T @ v)
+        freedom = np.trace(np.linalg.solve(a, square))  # trace of the hat matrix, which has as many rows and columns as there are stations
+        gcv = len(v) * ((v - f) ** 2).sum() / max(1e-9, (len(v) - freedom) ** 2)
         if best is None or gcv < best[0]:
             best = (gcv, f, lam)
     return best[1], best[2]

@@ -221,3 +221,21 @@ def test_map_cells_separate_groups():
     cell = K.self_organising_map(x)
     sets = [set(cell[i * 20 : i * 20 + 20]) for i in range(3)]
     assert not (sets[0] & sets[1] or sets[0] & sets[2] or sets[1] & sets[2])
+
+
+def peak_mb(f, *args):
+    """Result of a call and the memory it took at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_surface_with_elevation_needs_no_square_of_stations():
+    g = np.random.default_rng(5)
+    x, y, z = g.uniform(0, 200, (3, 6000))
+    (fit, lam), mb = peak_mb(K.surface, x, y, x / 20 + z / 100 + g.normal(0, 0.1, 6000), z[:, None] / 100)
+    assert mb < 60 and np.abs(fit - x / 20 - z / 100).mean() < 0.1  # a hat matrix alone would take 288 MB
