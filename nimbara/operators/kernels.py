@@ -283,68 +283,174 @@ def ordinary_kriging(x: np.ndarray, v: np.ndarray, at: np.ndarray, model: tuple[
     return out, var
 
 
+#: Place pairs whose distances are held at once.
+HELD = 1 << 20
+
+
+def place_distances(xy: np.ndarray):
+    """Blocks of places: number of the first one, and distances of each to all places."""
+    step = max(1, HELD // max(1, len(xy)))
+    for lo in range(0, len(xy), step):
+        yield lo, np.sqrt(((xy[lo : lo + step, None] - xy[None]) ** 2).sum(2))
+
+
+def pair_quantile(xy: np.ndarray, count: np.ndarray, q: float, fine: int = 1 << 16) -> tuple[float, float]:
+    """Quantile (linear) of the distances of all pairs of points, and the largest distance up to it; count: points at each place.
+
+    A histogram shows which distances lie at the two ranks, so that only those are sorted.
+    """
+    n = float(count.sum())
+    at = (n * (n - 1) / 2 - 1) * q
+    ranks = (np.floor(at), np.floor(at) + 1)
+    top = max(max(float(d.max()) for _, d in place_distances(xy)), 1e-300)
+
+    def pairs():
+        for lo, d in place_distances(xy):
+            i = np.arange(lo, lo + len(d))
+            w = count[i][:, None] * count[None] * (np.arange(len(xy))[None] > i[:, None])
+            w[np.arange(len(d)), i] = count[i] * (count[i] - 1) / 2
+            yield (d / top * fine).astype(np.int64), d, w
+
+    total = sum(np.bincount(k.ravel(), w.ravel(), fine + 1) for k, _, w in pairs())
+    upto = np.cumsum(total)
+    cells = np.unique(np.minimum(np.searchsorted(upto, ranks, "right"), np.flatnonzero(total)[-1]))
+    held = [(d[m], w[m]) for k, d, w in pairs() for m in [np.isin(k, cells) & (w > 0)]]
+    d, w = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+    order = np.argsort(d)
+    d, w = d[order], w[order]
+    skipped = np.concatenate([[0.0], upto])[(d / top * fine).astype(np.int64)]  # pairs of smaller cells
+    cell = (d / top * fine).astype(np.int64)
+    own = np.cumsum(w)
+    first = np.concatenate([[True], cell[1:] != cell[:-1]])
+    before = np.maximum.accumulate(np.where(first, own - w, 0.0))
+    last = skipped + own - before  # pairs up to and with this distance
+    low, high = (float(d[min(np.searchsorted(last, r, "right"), len(d) - 1)]) for r in ranks)
+    part = at - ranks[0]
+    value = low + (high - low) * part if part < 0.5 else high - (high - low) * (1 - part)
+    return value, high if high <= value else low
+
+
 class PairSums:
     """Binned sums over station pairs, from which any station can be taken out again.
 
     With station i left out of a least-squares trend, the residual of j becomes
     e_j + s_i * (t_j . w_i), where s_i = e_i / (1 - h_ii), w_i is the trend's
     inverse times t_i.  Semivariances of such residuals are quadratic in w_i,
-    so their sums over all pairs follow from three sums a bin; the pairs of i
-    itself are then subtracted.
+    so their sums over all pairs follow from sums and products a bin; the pairs
+    of i itself are then subtracted.  Stations at one place have the same
+    distances, so pairs are those of places, in blocks of them.
     """
 
     def __init__(self, x: np.ndarray, t: np.ndarray, e: np.ndarray, bins: int = 12):
-        self.t, self.e, self.bins = t, e, bins
-        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        i, j = np.triu_indices(len(x), 1)
-        far = np.quantile(d[i, j], 0.75)
-        self.far = float(d[i, j][d[i, j] <= far].max())
-        edge = np.minimum((d / max(self.far, 1e-9) * bins).astype(int), bins - 1)
-        edge[d > far] = bins  # beyond: not counted
-        np.fill_diagonal(edge, bins)
-        self.d, self.edge = d, edge
-        of = edge[i, j]
-        de, dt = e[i] - e[j], t[i] - t[j]
-        sums = lambda v: np.bincount(of, v, bins + 1)[:bins]
-        self.n, self.h, self.ee = sums(np.ones(len(of))), sums(d[i, j]), sums(de**2)
-        p = t.shape[1]
-        self.et = np.stack([sums(de * dt[:, a]) for a in range(p)], 1)
-        self.tt = np.stack([np.stack([sums(dt[:, a] * dt[:, b]) for b in range(p)], 1) for a in range(p)], 1)
+        self.bins = bins
+        self.place, of = np.unique(x, axis=0, return_inverse=True)
+        self.of = of.ravel()
+        u = np.column_stack([e, t])
+        self.u = u - u.mean(0)  # only differences count
+        q, at = u.shape[1], len(self.place)
+        sums = lambda v=None: np.bincount(self.of, v, at).astype(float)
+        self.count = sums()
+        self.order = np.argsort(self.of, kind="stable")
+        self.starts = np.concatenate([[0], np.cumsum(self.count.astype(np.int64))])
+        self.one = np.stack([sums(self.u[:, a]) for a in range(q)], 1)
+        self.two = np.stack([sums(self.u[:, a] * self.u[:, b]) for a in range(q) for b in range(q)], 1)
+        self.far = pair_quantile(self.place, self.count, 0.75)[1]
+        self.n, self.h, self.uu = np.zeros(bins), np.zeros(bins), np.zeros((bins, q, q))
+        for lo, d in place_distances(self.place):
+            n, h, one, two = self._own(d)
+            c, s, m = (v[lo : lo + len(d)] for v in (self.count, self.one, self.two))
+            self.n += c @ n / 2
+            self.h += c @ h / 2
+            cross = np.einsum("pi,pbj->bij", s, one)
+            self.uu += (np.einsum("p,pbk->bk", c, two) + n.T @ m).reshape(bins, q, q) / 2 - (cross + cross.transpose(0, 2, 1)) / 2
+        self.n[0] -= len(x) / 2  # a station and itself
+
+    def _bins(self, d: np.ndarray) -> np.ndarray:
+        edge = np.minimum((d / max(self.far, 1e-9) * self.bins).astype(int), self.bins - 1)
+        edge[d > self.far] = self.bins  # beyond: not counted
+        return edge
+
+    def _own(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Stations, their distances, sums and products in each bin around places; d: distances to all places."""
+        edge, out = self._bins(d), []
+        for b in range(self.bins):
+            m = (edge == b).astype(float)
+            out.append((m @ self.count, (m * d) @ self.count, m @ self.one, m @ self.two))
+        return tuple(np.stack(v, 1) for v in zip(*out))
+
+    @property
+    def edge(self) -> np.ndarray:
+        """Bin of each pair of stations (as a matrix; for small tables)."""
+        d = np.sqrt(((self.place[:, None] - self.place[None]) ** 2).sum(2))
+        out = self._bins(d)[self.of][:, self.of]
+        np.fill_diagonal(out, self.bins)
+        return out
+
+    def left_out(self, own: tuple, rows: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, mean distance (both the same for all) and mean semivariances of all stations but each of ``rows``, which are at one place; c: (1, s * w) of each."""
+        n_own, h_own, one, two = own
+        n = self.n - n_own
+        n[0] += 1
+        r = (self.u[rows] * c).sum(1)[:, None]
+        products = self.uu - two.reshape(self.uu.shape)
+        square = np.einsum("bij,mi,mj->mb", products, c, c) - n_own * r**2 + 2 * r * (c @ one.T)
+        return n, (self.h - h_own) / np.maximum(n, 1), 0.5 * np.maximum(square, 0.0) / np.maximum(n, 1)
 
     def without(self, i: int, s: float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs, mean distance and mean semivariance of each bin over all stations but ``i``."""
-        r = self.e + s * (self.t @ w)
-        own = self.edge[i]
-        sums = lambda v: np.bincount(own, v, self.bins + 1)[: self.bins]
-        n = self.n - sums(np.ones(len(own)))
-        square = self.ee + 2 * s * (self.et @ w) + s * s * np.einsum("bij,i,j->b", self.tt, w, w) - sums((r[i] - r) ** 2)
-        return n, (self.h - sums(self.d[i])) / np.maximum(n, 1), 0.5 * np.maximum(square, 0.0) / np.maximum(n, 1)
+        d = np.sqrt(((self.place[self.of[i]] - self.place) ** 2).sum(1))
+        own = tuple(v[0] for v in self._own(d[None]))
+        n, h, y = self.left_out(own, np.array([i]), np.append(1.0, s * w)[None])
+        return n, h, y[0]
+
+    def each_place(self):
+        """Rows of the stations at each place, its distances to all places and its sums."""
+        for lo, d in place_distances(self.place):
+            own = self._own(d)
+            for p in range(len(d)):
+                yield self.order[self.starts[lo + p] : self.starts[lo + p + 1]], d[p], tuple(v[p] for v in own)
+
+    def nearest_rows(self, d: np.ndarray, k: int) -> np.ndarray:
+        """Rows of the ``k`` nearest stations of a place, the first of equally far ones; d: its distances to all places."""
+        by = np.argsort(d, kind="stable")
+        cut = min(int(np.searchsorted(np.cumsum(self.count[by]), k)), len(d) - 1)
+        by = by[: np.searchsorted(d[by], d[by[cut]], "right")]
+        rows = np.sort(np.concatenate([self.order[self.starts[p] : self.starts[p + 1]][:k] for p in by]))
+        return rows[np.argsort(d[self.of[rows]], kind="stable")][:k]
 
 
 def fit_bins(n: np.ndarray, h: np.ndarray, y: np.ndarray, kind: str, least: int = 5, steps: int = 24) -> tuple[float, float, float] | None:
     """nugget, sill and reach of binned semivariances by weighted least squares over a grid of reaches; None if bins are too few."""
+    fit = fit_each(n, h, y[None], kind, least, steps)
+    return None if fit is None else tuple(float(v[0]) for v in fit)
+
+
+def fit_each(n: np.ndarray, h: np.ndarray, y: np.ndarray, kind: str, least: int = 5, steps: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """As ``fit_bins`` for each row of ``y``."""
     ok = n >= least
     if ok.sum() < 2:
         return None
-    n, h, y = n[ok], h[ok], y[ok]
+    n, h, y = n[ok], h[ok], y[:, ok]
     w = n / np.maximum(h, 1e-9) ** 2
     reach = np.geomspace(h.min() / 2 + 1e-9, h.max() * 2, steps)
     f = np.stack([1 - covariance(kind, h, 1.0, q) for q in reach])  # steps x bins
-    s0, sf, sff, sy, sfy = w.sum(), f @ w, (f**2) @ w, (w * y).sum(), f @ (w * y)
+    s0, sf, sff, sy, sfy = w.sum(), f @ w, (f**2) @ w, (y @ w)[:, None], (y * w) @ f.T
     det = s0 * sff - sf**2
-    sill = np.maximum(np.where(det > 1e-12, (s0 * sfy - sf * sy) / np.where(det > 1e-12, det, 1.0), 0.0), 0.0)
-    nugget = np.maximum(np.where(det > 1e-12, (sff * sy - sf * sfy) / np.where(det > 1e-12, det, 1.0), sy / s0), 0.0)
-    error = (w * (nugget[:, None] + sill[:, None] * f - y) ** 2).sum(1)
-    best = int(np.argmin(error))
-    return float(nugget[best]), max(float(sill[best]), 1e-9), float(reach[best])
+    safe = np.where(det > 1e-12, det, 1.0)
+    sill = np.maximum(np.where(det > 1e-12, (s0 * sfy - sf * sy) / safe, 0.0), 0.0)
+    nugget = np.maximum(np.where(det > 1e-12, (sff * sy - sf * sfy) / safe, sy / s0), 0.0)
+    error = (w * (nugget[:, :, None] + sill[:, :, None] * f - y[:, None]) ** 2).sum(2)
+    best, row = np.argmin(error, 1), np.arange(len(y))
+    return nugget[row, best], np.maximum(sill[row, best], 1e-9), reach[best]
 
 
-def regression_kriging(df: DataFrame, time: str, target: str, trend: list[str], kind: str = "exponential") -> DataFrame:
+def regression_kriging(df: DataFrame, time: str, target: str, trend: list[str], kind: str = "exponential", k: int = 16) -> DataFrame:
     """Leave-one-out regression kriging of every time: time, station, observed, predicted.
 
     Trend: least squares on ``trend``; residuals: ordinary kriging in x, y.
     Trend and variogram are those of the other stations; only the bins' edges
-    come from all places.
+    come from all places.  Stations of one place share bins and neighbours, and
+    no array is as large as the square of the stations.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -357,15 +463,23 @@ def regression_kriging(df: DataFrame, time: str, target: str, trend: list[str],
             inverse = np.linalg.pinv(t.T @ t)
             lever = t @ inverse  # rows: w_i
             e = y - t @ (inverse @ (t.T @ y))
-            own = np.maximum(1 - (lever * t).sum(1), 1e-9)
+            s = e / np.maximum(1 - (lever * t).sum(1), 1e-9)
             pairs = PairSums(x, t, e)
-            for i in range(n):
-                s = e[i] / own[i]
-                others = np.arange(n) != i
-                res = (e + s * (t @ lever[i]))[others]
-                model = fit_bins(*pairs.without(i, s, lever[i]), kind) or (0.0, max(float(np.var(res)), 1e-9), max(pairs.far, 1.0))
-                z, _ = ordinary_kriging(x[others], res, x[i : i + 1], model, kind)
-                pred[i] = y[i] - s + z[0]  # y_i - s_i is the others' trend at i
+            for at, d, own in pairs.each_place():
+                near = pairs.nearest_rows(d, k + 1)
+                for lo in range(0, len(at), 1024):
+                    rows = at[lo : lo + 1024]
+                    counts, h, v = pairs.left_out(own, rows, np.column_stack([np.ones(len(rows)), s[rows, None] * lever[rows]]))
+                    fit = fit_each(counts, h, v, kind)
+                    for m, i in enumerate(rows):
+                        if fit is None:
+                            res = np.delete(e + s[i] * (t @ lever[i]), i)
+                            model = (0.0, max(float(np.var(res)), 1e-9), max(pairs.far, 1.0))
+                        else:
+                            model = tuple(float(c[m]) for c in fit)
+                        others = near[near != i][:k]
+                        z, _ = ordinary_kriging(x[others], e[others] + s[i] * (t[others] @ lever[i]), x[i : i + 1], model, kind, k)
+                        pred[i] = y[i] - s[i] + z[0]  # y_i - s_i is the others' trend at i
         return pd.DataFrame({time: g[time].to_numpy(), "station": g["station"].to_numpy(), "observed": y, "predicted": pred})
 
     return df.groupBy(time).applyInPandas(run, f"{time} long, station long, observed double, predicted double")

@@ -239,3 +239,33 @@ def test_surface_with_elevation_needs_no_square_of_stations():
     x, y, z = g.uniform(0, 200, (3, 6000))
     (fit, lam), mb = peak_mb(K.surface, x, y, x / 20 + z / 100 + g.normal(0, 0.1, 6000), z[:, None] / 100)
     assert mb < 60 and np.abs(fit - x / 20 - z / 100).mean() < 0.1  # a hat matrix alone would take 288 MB
+
+
+def co_located(n: int, places: int, seed: int = 6):
+    """A day of ``n`` stations at few places, as a frame."""
+    import pandas as pd
+
+    g = np.random.default_rng(seed)
+    xy = g.uniform(0, 200, (places, 2))[g.integers(0, places, n)]
+    f = pd.DataFrame({"station": np.arange(n), "day": 1, "x": xy[:, 0], "y": xy[:, 1], "z": g.uniform(0, 3, n)})
+    return f.assign(value=f["x"] / 50 + g.normal(size=n))
+
+
+class Groups:
+    """Stands for a DataFrame of one group."""
+
+    def __init__(self, frame):
+        self.frame = frame
+
+    def groupBy(self, *_):
+        return self
+
+    def applyInPandas(self, f, _):
+        return f(self.frame)
+
+
+def test_kriging_needs_no_square_of_stations():
+    f = co_located(3000, 60)
+    f["wet"] = (f["value"] > 2).astype(float)
+    out, mb = peak_mb(K.regression_kriging, Groups(f), "day", "wet", ["x", "y", "z"])
+    assert mb < 40 and out["predicted"].notna().all()  # distances of all pairs would take 72 MB
