@@ -269,3 +269,13 @@ def test_kriging_needs_no_square_of_stations():
     f["wet"] = (f["value"] > 2).astype(float)
     out, mb = peak_mb(K.regression_kriging, Groups(f), "day", "wet", ["x", "y", "z"])
     assert mb < 40 and out["predicted"].notna().all()  # distances of all pairs would take 72 MB
+
+
+def test_plain_surface_needs_no_square_of_stations():
+    g = np.random.default_rng(7)
+    x, y = g.uniform(0, 200, (2, 6000))
+    (fit, lam), mb = peak_mb(K.surface, x, y, x / 20 + g.normal(0, 0.1, 6000))
+    b = K.bilinear_design(x[:300], y[:300], 6, 5, (x[:300].min(), x[:300].max() + 1e-9, y[:300].min(), y[:300].max() + 1e-9))
+    few, lam = K.surface(x[:300], y[:300], x[:300] / 20)
+    hat = b @ np.linalg.solve(b.T @ b + lam * K.roughness(6, 5) + 1e-8 * np.eye(30), b.T)
+    assert mb < 60 and np.abs(fit - x / 20).mean() < 0.1 and np.allclose(few, hat @ (x[:300] / 20), atol=1e-6)
