@@ -279,3 +279,36 @@ def test_plain_surface_needs_no_square_of_stations():
     few, lam = K.surface(x[:300], y[:300], x[:300] / 20)
     hat = b @ np.linalg.solve(b.T @ b + lam * K.roughness(6, 5) + 1e-8 * np.eye(30), b.T)
     assert mb < 60 and np.abs(fit - x / 20).mean() < 0.1 and np.allclose(few, hat @ (x[:300] / 20), atol=1e-6)
+
+
+def test_kriging_of_co_located_stations_matches_single_ones():
+    """Every station left out by hand, with trend, bins and neighbours of the others."""
+    f = co_located(60, 25, 8)
+    trend = ["x", "y", "z"]
+    x, y, n = f[["x", "y"]].to_numpy(), f["value"].to_numpy(), len(f)
+    t = np.column_stack([np.ones(n), f[trend].to_numpy()])
+    i, j = np.triu_indices(n, 1)
+    d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+    far = d[d <= np.quantile(d, 0.75)].max()
+    edge = np.where(d <= far, np.minimum((d / far * 12).astype(int), 11), 12)
+    out = K.regression_kriging(Groups(f), "day", "value", trend)["predicted"].to_numpy()
+    for s in range(n):
+        m = np.arange(n) != s
+        beta = np.linalg.lstsq(t[m], y[m], rcond=None)[0]
+        res, here = y - t @ beta, (i != s) & (j != s) & (edge < 12)
+        count = np.bincount(edge[here], minlength=12)
+        mean = lambda v: np.bincount(edge[here], v[here], 12) / np.maximum(count, 1)
+        model = K.fit_bins(count, mean(d), mean(0.5 * (res[i] - res[j]) ** 2), "exponential")
+        z, _ = K.ordinary_kriging(x[m], res[m], x[s : s + 1], model)
+        assert abs(out[s] - t[s] @ beta - z[0]) < 1e-6
+
+
+def test_pair_quantile_in_blocks(monkeypatch):
+    f = co_located(300, 80, 9)
+    x = f[["x", "y"]].to_numpy()
+    place, count = np.unique(x, axis=0, return_counts=True)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))[np.triu_indices(300, 1)]
+    monkeypatch.setattr(K, "HELD", 500)
+    for q in (0.1, 0.5, 0.75, 0.99):
+        value, upto = K.pair_quantile(place, count.astype(float), q)
+        assert np.isclose(value, np.quantile(d, q), rtol=1e-12) and upto == d[d <= value].max()
