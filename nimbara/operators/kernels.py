@@ -617,6 +617,23 @@ def shrunk_profile(z: np.ndarray, v: np.ndarray, region: np.ndarray, shrink: flo
     return out
 
 
+def others_mean(x: np.ndarray, v: np.ndarray, reach: float) -> np.ndarray:
+    """Mean of the other stations' values, weighted by exp(-distance / reach); 0 where all weights vanish.
+
+    Sums are made for each place, in blocks of places, and a station's own value comes off those of its place.
+    """
+    place, of, count = np.unique(x, axis=0, return_inverse=True, return_counts=True)
+    of = of.ravel()
+    total = np.bincount(of, v, len(place))
+    num, den = np.empty(len(place)), np.empty(len(place))
+    for lo, d in place_distances(place):
+        w = np.exp(-d / reach)
+        w[np.arange(len(d)), np.arange(lo, lo + len(d))] = 0  # the own place follows
+        num[lo : lo + len(d)], den[lo : lo + len(d)] = w @ total, w @ count
+    alone = count[of] == 1
+    return (num[of] + np.where(alone, 0.0, total[of] - v)) / np.maximum(den[of] + count[of] - 1, 1e-9)
+
+
 def elevation_profile(z: np.ndarray, v: np.ndarray, breaks: int = 2, rounds: int = 20) -> np.ndarray:
     """Piecewise linear profile with robust (soft absolute) weights: fitted values."""
     at = np.quantile(z, np.linspace(0, 1, breaks + 2)[1:-1])

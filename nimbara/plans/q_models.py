@@ -206,10 +206,7 @@ def profile_and_residuals(spark, sf):
     def fit(g):
         z, v = g["z"].to_numpy(), g["value"].to_numpy()
         base = K.shrunk_profile(z, v, np.digitize(g["x"].to_numpy(), [76.0, 152.0]))
-        d = np.hypot(g["x"].to_numpy()[:, None] - g["x"].to_numpy()[None], g["y"].to_numpy()[:, None] - g["y"].to_numpy()[None])
-        w = np.exp(-d / 20)
-        np.fill_diagonal(w, 0)
-        return base + (w @ (v - base)) / np.maximum(w.sum(1), 1e-9)
+        return base + K.others_mean(g[["x", "y"]].to_numpy(), v - base, 20.0)
 
     return K.per_time(field(spark, sf), "day", fit).withColumn("fitted", r("fitted"))
 

@@ -312,3 +312,16 @@ def test_pair_quantile_in_blocks(monkeypatch):
     for q in (0.1, 0.5, 0.75, 0.99):
         value, upto = K.pair_quantile(place, count.astype(float), q)
         assert np.isclose(value, np.quantile(d, q), rtol=1e-12) and upto == d[d <= value].max()
+
+
+def test_mean_of_other_stations_needs_no_square_of_stations(monkeypatch):
+    f = co_located(6000, 300, 10)
+    x, v = f[["x", "y"]].to_numpy(), f["value"].to_numpy()
+    out, mb = peak_mb(K.others_mean, x, v, 20.0)
+    assert mb < 60  # weights of all pairs would take 288 MB
+    monkeypatch.setattr(K, "HELD", 700)
+    w = np.exp(-np.sqrt(((x[:500, None] - x[None]) ** 2).sum(2)) / 20)
+    w[np.arange(500), np.arange(500)] = 0
+    assert np.allclose(out[:500], w @ v / w.sum(1)) and np.allclose(K.others_mean(x, v, 20.0), out)
+    far = np.array([[0.0, 0.0], [1e6, 0.0], [1e6, 0.0]])
+    assert np.allclose(K.others_mean(far, np.array([1.0, 2.0, 4.0]), 20.0), [0, 4, 2])
