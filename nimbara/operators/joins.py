@@ -79,6 +79,27 @@ def nearest_k(stations: DataFrame, k: int, x: str = "lat", y: str = "lon", scale
     return ranked.filter(F.col("rank") <= k).select("station", "other", "d2", "rank")
 
 
+def nearest_name(places: DataFrame, targets: DataFrame, mid: float) -> DataFrame:
+    """lat, lon, m and name of the nearest target (lat2, lon2, name; the smallest name of equally far ones) of every place, on the plane of latitude ``mid``.
+
+    m: metres to three digits.  As in ``nearest_k``, a place looks at the finest
+    level whose own cell holds a target, two cells on each side.
+    """
+    size = 100.0  # metres of the finest cell
+    wide = math.cos(math.radians(mid))
+    level = F.explode(F.sequence(F.lit(0), F.lit(DOUBLINGS))).alias("_l")
+    cell = lambda c: F.when(F.col("_l") < DOUBLINGS, F.floor(c * 111320.0 / (size * F.pow(F.lit(2.0), F.col("_l"))))).otherwise(0).cast("long")
+    axes = lambda lat, lon: [cell(F.col(lat)).alias("_r"), cell(F.col(lon) * wide).alias("_c")]
+    a = places.select("*", level).select("*", *axes("lat", "lon"))
+    b = targets.select("*", level).select("*", *axes("lat2", "lon2"))
+    keys = ["_l", "_r", "_c"]
+    own = a.join(b.select(*keys).distinct(), keys).groupBy("lat", "lon").agg(F.min(F.struct(*keys)).alias("o")).select("lat", "lon", "o.*")
+    for c in ("_r", "_c"):
+        own = own.withColumn(c, F.explode(F.sequence(F.col(c) - 2, F.col(c) + 2)))
+    m = F.round(equirectangular_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"), F.lit(mid)), 3)
+    return own.join(b, keys).groupBy("lat", "lon").agg(F.min(F.struct(m.alias("m"), "name")).alias("o")).select("lat", "lon", "o.*")
+
+
 def companions(stations: DataFrame, km: float, elevation: float) -> DataFrame:
     """Nearest other station within ``km`` (111 km a degree) and ``elevation`` metres."""
     size = km / 111.0

@@ -52,3 +52,11 @@ def test_variogram_joins_places(spark, tmp_path):
     events = [(i + 1 + i // 10, 60 * i, (i % 4) * 7 + 300 * (i // 4 % 40), "view", 20.0 + i * 37 % 101) for i in range(160)]
     assert matches(spark, tmp_path, "empirical_variogram", events)
     assert joined_rows(spark, QUERIES["empirical_variogram"](spark, str(tmp_path))) < 1000  # 12,000 pairs of stations
+
+
+def test_nearest_provider_searches_cells(spark, tmp_path):
+    events = [(i, 60 * i, i, "view", 1.0) for i in range(900)]
+    suppliers = [(k, f"s{k * 7 % 1000:04d}") for k in range(1, 901) if k % 300 < 40]
+    assert matches(spark, tmp_path, "nearest_provider", events, suppliers)
+    assert joined_rows(spark, QUERIES["nearest_provider"](spark, str(tmp_path))) < 60_000  # 107,100 pairs
+    assert matches(spark, tmp_path, "nearest_provider", events, suppliers[:1])
