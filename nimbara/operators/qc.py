@@ -176,3 +176,39 @@ def collapse(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     for m in measures:
         same &= F.col(f"_{m}") == 1
     return g.filter(same).select(*keys, *measures)
+
+
+#: Share of the other stations that are asked first whether they agree with a run.
+FIRST = 64
+
+
+def agreeing(rows: DataFrame, values: DataFrame, stations: DataFrame, km: float, most: float) -> DataFrame:
+    """station, run of the runs with which another station within ``km`` agrees: the median of the absolute differences of their rows of equal bin is at most ``most``.
+
+    rows: station, run, bin, value; values: station, bin, value; stations:
+    station, lat, lon.  One agreeing station is enough, so one in FIRST of the
+    others is asked about every run, and all others about the runs that are
+    still open.  Near stations are found by places.  A median follows from
+    counts and the two values next to ``most``, so no differences are collected.
+    """
+    from nimbara.operators.joins import within_km
+
+    at = stations.select("station", F.struct("lat", "lon").alias("place"))
+    places = at.select("place").distinct().select(F.col("place").alias("station"), "place.lat", "place.lon")
+    near = within_km(places, places, km).select(F.col("station").alias("place"), F.col("other").alias("there"))
+    valid = F.col("value").isNotNull()
+    mine = rows.filter(valid).join(at, "station").select("station", "place", "run", "bin", "value")
+    theirs = values.filter(valid).join(at, "station").select(F.col("station").alias("other"), F.col("place").alias("there"), "bin", F.col("value").alias("_u"))
+    first = F.pmod(F.xxhash64("other"), F.lit(FIRST)) == 0
+    d = F.abs(F.col("value") - F.col("_u"))
+    low, high = F.when(d <= most, d), F.when(d > most, d)
+
+    def agreed(k: DataFrame, o: DataFrame) -> DataFrame:
+        met = k.join(near, "place").join(o, ["there", "bin"]).filter(F.col("station") != F.col("other"))
+        m = met.groupBy("station", "run", "other").agg(F.count(low).alias("a"), F.count(high).alias("b"), F.max(low).alias("x"), F.min(high).alias("y"))
+        ok = (F.col("a") > F.col("b")) | (F.col("a") == F.col("b")) & (F.col("x") * 0.5 + F.col("y") * 0.5 <= most)
+        return m.filter(ok).select("station", "run").distinct()
+
+    early = agreed(mine, theirs.filter(first))
+    late = agreed(mine.join(early, ["station", "run"], "left_anti"), theirs.filter(~first))
+    return early.unionByName(late)

@@ -174,15 +174,10 @@ m AS (SELECT k.station, k.run, near.other, quantile_cont(abs(k.value - o.value),
 SELECT station, run::BIGINT AS run, n, count(CASE WHEN med <= 25 THEN 1 END) > 0 AS kept FROM runs LEFT JOIN m USING (station, run) GROUP BY ALL""")
 def neighbour_rescue(spark, sf):
     """Q06: a stuck run stays if a station within 25 km agrees with it."""
-    from nimbara.operators.joins import within_km
-
     k = Q.stuck(obs(spark, sf), ["station"], BY, 30, 4).filter("stuck").withColumn("bin", F.expr("sec div 21600"))
     runs = k.groupBy("station", "run").agg(F.count("*").alias("n"))
-    near = within_km(stations(spark, sf), stations(spark, sf), 25.0).filter(F.col("station") != F.col("other")).select("station", "other")
-    o = obs(spark, sf).select(F.col("station").alias("other"), F.expr("sec div 21600").alias("bin"), F.col("value").alias("ov"))
-    m = k.join(near, "station").join(o, ["other", "bin"]).groupBy("station", "run", "other").agg(F.percentile(F.abs(F.col("value") - F.col("ov")), 0.5).alias("med"))
-    ok = m.filter(F.col("med") <= 25).select("station", "run").distinct().withColumn("kept", F.lit(True))
-    return runs.join(ok, ["station", "run"], "left").select("station", "run", "n", F.coalesce("kept", F.lit(False)).alias("kept"))
+    ok = Q.agreeing(k, obs(spark, sf).select("station", F.expr("sec div 21600").alias("bin"), "value"), stations(spark, sf), 25.0, 25.0)
+    return runs.join(ok.withColumn("kept", F.lit(True)), ["station", "run"], "left").select("station", "run", "n", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 @query(f"""WITH {STATIONS}, {OBS}, w AS (SELECT event_id, elev, CASE WHEN count(value) OVER a >= 8 THEN stddev_samp(value) OVER a END AS sd, CASE WHEN count(value) OVER b >= 6 THEN avg(value) OVER b END AS mean FROM obs JOIN stations USING (station)

@@ -60,3 +60,20 @@ def test_nearest_provider_searches_cells(spark, tmp_path):
     assert matches(spark, tmp_path, "nearest_provider", events, suppliers)
     assert joined_rows(spark, QUERIES["nearest_provider"](spark, str(tmp_path))) < 60_000  # 107,100 pairs
     assert matches(spark, tmp_path, "nearest_provider", events, suppliers[:1])
+
+
+def test_rescue_asks_every_neighbour(spark, tmp_path):
+    # Runs of four equal values at places of two hundred stations; a single one agrees, or the middle of two differences decides.
+    events, n = [], 1
+    for s in range(200):
+        level = 1000.0 * s
+        for j, v in enumerate([level] * 4 if s % 2 else [level + 5, level + 500, level - 300, level + 900]):
+            n += 1 + (n % 11 == 10)
+            events.append((n, 60 * j + 7000 * (s % 3), s * 300, "view", v if s % 10 else level + 1000 + (20 if s % 20 else 30) * (1 if j % 2 else -1)))
+    assert matches(spark, tmp_path, "neighbour_rescue", events)
+
+
+def test_rescue_joins_few_rows(spark, tmp_path):
+    events = [(11 * i + 1, 60 * (i // 300), 300 * (i % 300), "view", 50.0 + i % 7) for i in range(1500)]
+    assert matches(spark, tmp_path, "neighbour_rescue", events)
+    assert joined_rows(spark, QUERIES["neighbour_rescue"](spark, str(tmp_path))) < 400_000  # 2,242,500 pairs of rows
