@@ -22,10 +22,10 @@ def full_reindex(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return spine(df, keys, at).join(df, [*keys, at], "left")
 
 
-def exact_regrid(df: DataFrame, keys: list[str], sec: str, step: int, slack: int = 0) -> DataFrame:
-    """Only rows within ``slack`` seconds after a grid stamp, as rows of that stamp; the earliest wins."""
+def exact_regrid(df: DataFrame, keys: list[str], sec: str, step: int, slack: int = 0, tie: str = "value") -> DataFrame:
+    """Only rows within ``slack`` seconds after a grid stamp, as rows of that stamp; the earliest wins, of those of one second that of the smallest ``tie``."""
     on = df.filter(F.pmod(F.col(sec), F.lit(step)) <= slack).withColumn("slot", F.expr(f"{sec} div {step}"))
-    return on.groupBy(*keys, "slot").agg(F.min_by("value", sec).alias("value"))
+    return on.groupBy(*keys, "slot").agg(F.min_by("value", F.struct(sec, tie)).alias("value"))
 
 
 def bracket(df: DataFrame, keys: list[str], at: str, value: str = "value") -> DataFrame:
@@ -79,12 +79,12 @@ def sum_right(df: DataFrame, keys: list[str], sec: str, step: int) -> DataFrame:
     return df.groupBy(*keys, (F.expr(f"{sec} div {step}") + 1).alias("slot")).agg(F.sum("value").alias("value"))
 
 
-def nearest_then_forward(df: DataFrame, keys: list[str], sec: str, step: int, slack: int) -> DataFrame:
-    """Each grid stamp takes the nearest valid row within ``slack`` seconds (earlier on ties), then values run forward."""
-    valid = df.filter(F.col("value").isNotNull()).select(*keys, F.col(sec).alias("_s"), "value")
+def nearest_then_forward(df: DataFrame, keys: list[str], sec: str, step: int, slack: int, tie: str = "value") -> DataFrame:
+    """Each grid stamp takes the nearest valid row within ``slack`` seconds (earlier on ties, of one second that of the smallest ``tie``), then values run forward."""
+    valid = df.filter(F.col("value").isNotNull()).select(*keys, F.col(sec).alias("_s"), F.col(tie).alias("_o"), "value")
     stamp = F.floor((F.col("_s") + step / 2) / step).cast("long")
     near = valid.withColumn("slot", stamp).withColumn("_d", F.abs(F.col("_s") - F.col("slot") * step)).filter(F.col("_d") <= slack)
-    hit = near.groupBy(*keys, "slot").agg(F.min(F.struct("_d", "_s", "value")).alias("m")).select(*keys, "slot", F.col("m.value").alias("value"))
+    hit = near.groupBy(*keys, "slot").agg(F.min(F.struct("_d", "_s", "_o", "value")).alias("m")).select(*keys, "slot", F.col("m.value").alias("value"))
     w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     return full_reindex(hit, keys, "slot").withColumn("value", F.last("value", True).over(w))
 

@@ -91,8 +91,8 @@ def right_label_sum(spark, sf):
 
 @query(f"WITH {OBS} SELECT station, sec // 1800 AS slot, arg_min(value, sec) AS value FROM obs WHERE sec % 1800 <= 60 AND value IS NOT NULL GROUP BY ALL")
 def exact_regrid(spark, sf):
-    """Rows on a grid stamp only (a minute of slack here)."""
-    return T.exact_regrid(obs(spark, sf).filter(F.col("value").isNotNull()), ["station"], "sec", 1800, 60)
+    """Rows on a grid stamp only (a minute of slack here); of one second the first event, as the SQL meets them."""
+    return T.exact_regrid(obs(spark, sf).filter(F.col("value").isNotNull()), ["station"], "sec", 1800, 60, "event_id")
 
 
 _BRACKET = """b AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN slot END IGNORE NULLS) OVER w AS t0, last_value(value IGNORE NULLS) OVER w AS v0,
@@ -130,8 +130,8 @@ h AS (SELECT station, slot, arg_min(value, abs(sec - slot * 1800) * 10000000000
 sp AS (SELECT station, unnest(range(min(slot), max(slot) + 1)) AS slot FROM h GROUP BY station), f AS (SELECT sp.station, sp.slot, value FROM sp LEFT JOIN h USING (station, slot))
 SELECT station, slot, last_value(value IGNORE NULLS) OVER (PARTITION BY station ORDER BY slot) AS value FROM f""")
 def nearest_forward_fill(spark, sf):
-    """Nearest row within 14 minutes of a stamp, then forward."""
-    return T.nearest_then_forward(obs(spark, sf), ["station"], "sec", 1800, 840)
+    """Nearest row within 14 minutes of a stamp (of one second the first event, as the SQL meets them), then forward."""
+    return T.nearest_then_forward(obs(spark, sf), ["station"], "sec", 1800, 840, "event_id")
 
 
 @query(f"WITH {OBS} SELECT station, (sec // 86400) * 86400 + 21600 AS stamp, round(avg(value), 4) + 0.0 AS value FROM obs WHERE variable = 'view' GROUP BY ALL")

@@ -77,3 +77,10 @@ def test_rescue_joins_few_rows(spark, tmp_path):
     events = [(11 * i + 1, 60 * (i // 300), 300 * (i % 300), "view", 50.0 + i % 7) for i in range(1500)]
     assert matches(spark, tmp_path, "neighbour_rescue", events)
     assert joined_rows(spark, QUERIES["neighbour_rescue"](spark, str(tmp_path))) < 400_000  # 2,242,500 pairs of rows
+
+
+TIES = [(1, 5, 7, "view", 9.0), (2, 5, 7, "view", 4.0), (3, 1830, 7, "view", 3.0), (4, 1830, 7, "view", 8.0), (5, 3605, 7, "click", 6.0), (6, 3605, 7, "view", 6.5), (7, 3605, 7, "view", 1.5)]
+
+
+def test_regrid_takes_the_first_event_of_a_second(spark, tmp_path):
+    assert matches(spark, tmp_path, "exact_regrid", TIES)
