@@ -84,3 +84,7 @@ TIES = [(1, 5, 7, "view", 9.0), (2, 5, 7, "view", 4.0), (3, 1830, 7, "view", 3.0
 
 def test_regrid_takes_the_first_event_of_a_second(spark, tmp_path):
     assert matches(spark, tmp_path, "exact_regrid", TIES)
+
+
+def test_forward_fill_takes_the_first_event_of_a_second(spark, tmp_path):
+    assert matches(spark, tmp_path, "nearest_forward_fill", TIES)
