@@ -3,7 +3,6 @@
 import datetime as dt
 
 import duckdb
-import pytest
 
 from nimbara.plans.registry import QUERIES, SQL
 
@@ -63,13 +62,16 @@ def test_nearest_provider_searches_cells(spark, tmp_path):
 
 
 def test_rescue_asks_every_neighbour(spark, tmp_path):
-    # Runs of four equal values at places of two hundred stations; a single one agrees, or the middle of two differences decides.
+    # Runs at one place, 40 apart or more; to every fourth one station agrees, whose median difference is 25 or just above.
     events, n = [], 1
-    for s in range(200):
-        level = 1000.0 * s
-        for j, v in enumerate([level] * 4 if s % 2 else [level + 5, level + 500, level - 300, level + 900]):
+    for s in range(60):
+        level = 40.0 * (s * 17 % 60)
+        rows = [(60 * j, 300 * s, level) for j in range(6)]
+        if s % 4 == 0:
+            rows += [(60 * j + 30, 300 * (1000 + s), v) for j, v in enumerate([level + 2000, level + 20, level + 30 + s % 8, level - 2000])]
+        for at, station, v in rows:
             n += 1 + (n % 11 == 10)
-            events.append((n, 60 * j + 7000 * (s % 3), s * 300, "view", v if s % 10 else level + 1000 + (20 if s % 20 else 30) * (1 if j % 2 else -1)))
+            events.append((n, at, station, "view", v))
     assert matches(spark, tmp_path, "neighbour_rescue", events)
 
 
