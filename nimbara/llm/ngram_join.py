@@ -4,10 +4,10 @@
 2. Every node gets TREES signatures of DEPTH minimum hashes.  A tree's sorted
    signatures form a prefix trie.  Matching starts at the longest prefixes and
    shortens them until two texts at the threshold meet in some tree with the
-   target probability.  In each trie node (bucket) members are tied to one of
-   them if a sketch does not rule the pair out, and those ruled out to another
-   of their own, so a bucket of n texts makes at most ROUNDS * n ties, not
-   n * n / 2 pairs.
+   target probability.  In each trie node (bucket) every pair counts that a
+   sketch does not rule out.  Members next to the bucket's leader are settled by
+   a tie to it (see ``_tied``); the rest is compared pair by pair, and only a
+   spanning forest of its pairs becomes ties.
 3. Ties make candidate groups.  Inside a group all pairs are verified on their
    full shingle sets, by blocks of BLOCK texts or HASHES shingles, with counts of common shingles
    from matrix products; a block pair emits the number of links of each text
@@ -34,8 +34,10 @@ RECALL = 0.9995
 #: A sketch rules a pair out below this share of equal hashes (of SKETCH): about
 #: four standard errors under the threshold.
 SKETCH, RULED_OUT = 64, 0.6
-#: Leaders that a bucket may have one after the other.
-ROUNDS = 2
+#: Sketch hashes in which a pair of texts may differ, and a settled member from its leader.
+APART, NEXT = int((1 - RULED_OUT) * SKETCH), 8
+#: Leaders that a bucket has one after the other before its rest is compared pair by pair, and texts of a block of the rest.
+ROUNDS, REST = 2, 4096
 #: Texts of a block, and shingles of a block beyond which it is cut (one text stays whole).
 BLOCK, HASHES = 1000, 1_000_000
 SMALL = 300_000
@@ -139,24 +141,96 @@ def components(edges: DataFrame, label: str) -> DataFrame:
             return labels
 
 
-def _similar(ties: DataFrame) -> DataFrame:
-    """Ties a, b whose sketches sa, sb are not too different."""
+def _apart(ties: DataFrame) -> DataFrame:
+    """Ties a, b with the number of hashes (apart) in which their sketches sa, sb differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SKETCH) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= RULED_OUT * SKETCH))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x != y).sum(1), pa.int32())], names=["a", "b", "apart"])
+
+    return ties.mapInArrow(run, "a long, b long, apart int")
+
+
+def _forest(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of rows of x and y whose sketches differ in at most APART hashes; same: y is x."""
+    n = len(x) + (0 if same else len(y))
+    root = np.arange(n)
+    most = max(1, (2 << 20) // max(1, len(y)))
+    found: tuple[list, list] = ([], [])
+    for lo in range(0, len(x), most):
+        part = x[lo : lo + most]
+        if len(part) * len(y) <= 4096:  # most buckets are small
+            equal = (part[:, None] == y[None]).sum(2)
+        else:
+            equal = np.zeros((len(part), len(y)), np.uint8)
+            for j in range(SKETCH):
+                equal += part[:, j, None] == y[None, :, j]
+        if same:
+            equal = np.triu(equal, lo + 1)
+        i, k = np.nonzero(equal >= SKETCH - APART)
+        i, k = i + lo, k if same else k + len(x)
+        while len(i):  # in each round the smallest root around joins a root
+            i, k = i[(open_ := root[i] != root[k])], k[open_]
+            if not len(i):
+                break
+            high, low = np.maximum(root[i], root[k]), np.minimum(root[i], root[k])
+            one = np.unique(high, return_index=True)[1]
+            found[0].append(i[one])
+            found[1].append(k[one])
+            up = np.arange(n)
+            up[high[one]] = low[one]
+            while not (up[up] == up).all():
+                up = up[up]
+            root = up[root]
+    return tuple(np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in found)
+
+
+def _rest_ties(rest: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Ties a, b that connect the similar pairs of every bucket of ``rest`` (node, k), all compared, by blocks of REST texts."""
+    mark = F.xxhash64("node")
+    sets = rest.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.shiftright(mark, 24)).alias("f"), F.bit_xor(mark).alias("g")).filter("n > 1")
+    once = sets.groupBy("n", "f", "g").agg(F.min("k").alias("k"))  # buckets of the same texts are compared once
+    blocks = F.ceil(F.col("n") / REST).cast("int")
+    member = rest.join(once.select("k", blocks.alias("nb")), "k").withColumn("side", F.pmod(F.xxhash64("node"), "nb").cast("int"))
+    member = member.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("nb") - 1)))
+    member = member.select("k", "node", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj")).join(sketch, "node")
+    bin_ = F.when(F.col("bi") + F.col("bj") > 0, F.col("k")).otherwise(F.pmod(F.xxhash64("k"), F.lit(4096)))
 
-    return ties.mapInArrow(run, "a long, b long")
+    def run(data: pa.Table) -> pa.Table:
+        k, node, side = (data.column(c).to_numpy() for c in ("k", "node", "side"))
+        sk = np.frombuffer(b"".join(data.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+        across = data.column("bi")[0].as_py() != data.column("bj")[0].as_py()
+        order = np.argsort(k, kind="stable")
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own in np.split(order, np.flatnonzero(np.diff(k[order])) + 1):
+            if across:
+                x, y = own[side[own] == side[own].min()], own[side[own] == side[own].max()]
+                if (side[own] == side[own][0]).all():
+                    continue
+            else:
+                x = y = own
+            i, j = _forest(sk[x], sk[y], not across)
+            every = x if not across else np.concatenate([x, y])
+            a.append(node[every[i]])
+            b.append(node[every[j]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return member.withColumn("bin", bin_).groupBy("bin", "bi", "bj").applyInArrow(run, "a long, b long")
 
 
 def _tied(keys: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Ties a, b of the buckets k: members to their bucket's leader, unless the sketch rules the pair out.
+    """Ties a, b that connect every pair of the buckets k whose sketches differ in at most APART hashes.
 
-    Members whose leader is unlike them stay and get another leader of their
-    number, ROUNDS times over.  The smallest node leads, so a large group of
+    In each round the smallest node of a bucket leads, so a large group of
     similar texts has few leaders over all its buckets, and few distinct ties.
+    A member that differs from the leader in at most NEXT hashes is settled.
+    Whatever differs from it in at most APART then differs from the leader in at
+    most APART + NEXT, for differences obey the triangle inequality; all these
+    are tied to the leader, and no pair of a settled member is lost.  Members
+    that are not settled stay, and after ROUNDS rounds all their pairs are
+    compared.
     """
     ties, left = None, keys
     for _ in range(ROUNDS):
@@ -164,12 +238,14 @@ def _tied(keys: DataFrame, sketch: DataFrame) -> DataFrame:
         met = stored(left.join(lead, "k").filter("node <> b"), "met")
         pairs = met.select(F.col("node").alias("a"), "b").distinct()
         pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        good = stored(_similar(pairs.select("a", "b", "sa", "sb")), "ties")
-        ties = good if ties is None else ties.unionByName(good)
-        left = stored(met.join(good.withColumnsRenamed({"a": "node"}), ["node", "b"], "left_anti").select("node", "k"), "left")
+        good = stored(_apart(pairs.select("a", "b", "sa", "sb")).filter(F.col("apart") <= APART + NEXT), "ties")
+        near = good.select("a", "b")
+        ties = near if ties is None else ties.unionByName(near)
+        settled = good.filter(F.col("apart") <= NEXT).select(F.col("a").alias("node"), "b")
+        left = stored(met.join(settled, ["node", "b"], "left_anti").select("node", "k"), "left")
         if not left.limit(1).count():
-            break
-    return ties
+            return ties
+    return ties.unionByName(stored(_rest_ties(left, sketch), "rest"))
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:

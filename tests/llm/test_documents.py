@@ -553,3 +553,17 @@ def test_similarity_edges(spark, odd):
     out = {(r.doc_id, r.class_id, r.class_size) for r in ngram_join.similar_classes(odd).collect()}
     assert ngram_join.similar_classes(odd).count() == odd.count() and ngram_join.similar_classes(odd.limit(0)).count() == 0
     assert (4, 4, 2) in out and (5, 4, 2) in out and (1, 1, 1) in out and (2, 2, 1) in out
+
+
+@pytest.mark.parametrize("rest", [ngram_join.REST, 2])
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch, rest):
+    monkeypatch.setattr(ngram_join, "REST", rest)
+    g = np.random.default_rng(0)
+    sketches = g.integers(0, 1 << 16, (9, 64)).astype(np.uint16)  # nodes 0 to 4 lead nothing: unlike all others
+    sketches[6], sketches[8] = sketches[5], sketches[7]
+    sketches[6, :20] += 1  # similar to 5, not next to it
+    sketches[8, :4] += 1
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sketches)], "node long, sketch binary")
+    keys = spark.createDataFrame([(i, k) for k in (1, 2) for i in range(9)], "node long, k long")
+    ties = {tuple(sorted((r.a, r.b))) for r in ngram_join._tied(keys, rows).collect()}
+    assert ties == {(5, 6), (7, 8)}  # two leaders a bucket, and nothing after them, found none
