@@ -6,8 +6,8 @@
    shortens them until two texts at the threshold meet in some tree with the
    target probability.  In each trie node (bucket) every pair counts that a
    sketch does not rule out.  Members next to the bucket's leader are settled by
-   a tie to it (see ``_tied``); the rest is compared pair by pair, and only a
-   spanning forest of its pairs becomes ties.
+   a tie to it (see ``_tied``); the rest is compared pair by pair but where ties
+   connect it already, and only a spanning forest of its pairs becomes ties.
 3. Ties make candidate groups.  Inside a group all pairs are verified on their
    full shingle sets, by blocks of BLOCK texts or HASHES shingles, with counts of common shingles
    from matrix products; a block pair emits the number of links of each text
@@ -122,23 +122,35 @@ def _signed(base: DataFrame) -> DataFrame:
 def components(edges: DataFrame, label: str) -> DataFrame:
     """node, label (smallest node reached) of all nodes of undirected ``edges`` (a, b).
 
-    Smallest labels spread along edges and are followed to their own label until
-    nothing changes.  Each round is a written table; minima are grouped partly
-    before the shuffle, so hubs cost no more than other nodes.
+    Every node points to its smallest neighbour, pointers are followed to their
+    end, and edges are put between the ends; what lies in one component is an
+    edge no more, so rows shrink from round to round until none is left.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct(), f"{label}-edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{label}-labels")
+    ends = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    left, out = stored(edges.select(*ends("a", "b")).filter("a <> b").distinct(), f"{label}-edges"), None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        nearer = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", F.coalesce("m", "label")).alias("l1"))
-        jump = labels.select(F.col("node").alias("l1"), F.col("label").alias("l2"))
-        after = stored(nearer.join(jump, "l1", "left").select("node", F.col("label").alias("was"), F.least("l1", F.coalesce("l2", "l1")).alias("label")), f"{label}-labels")
-        discard(labels)
-        changed = after.filter(F.col("was") != F.col("label")).limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            discard(both)
-            return labels
+        to = left.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(left.select(F.col("b").alias("node"), F.col("b").alias("label")))
+        labels = stored(to.groupBy("node").agg(F.min("label").alias("label")), f"{label}-labels")
+        while True:
+            jump = labels.select(F.col("node").alias("was"), F.col("label").alias("further"))
+            after = stored(labels.withColumnRenamed("label", "was").join(jump, "was").select("node", "was", F.col("further").alias("label")), f"{label}-labels")
+            discard(labels)
+            labels = after.select("node", "label")
+            if not after.filter("was <> label").limit(1).count():
+                break
+        out = labels if out is None else stored(_followed(out, labels), f"{label}-labels")
+        at, bt = (labels.select(F.col("node").alias(x), F.col("label").alias(f"{x}t")) for x in ("a", "b"))
+        after = stored(left.join(at, "a").join(bt, "b").select(*ends("at", "bt")).filter("a <> b").distinct(), f"{label}-edges")
+        discard(left)
+        left = after
+        if not left.limit(1).count():
+            return out
+
+
+def _followed(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """Labels (node, label) with the label that ``further`` has for theirs, if it has one."""
+    to = further.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+    return labels.join(to, F.col("label") == F.col("_n"), "left").select("node", F.coalesce("_l", "label").alias("label"))
 
 
 def _apart(ties: DataFrame) -> DataFrame:
@@ -153,10 +165,16 @@ def _apart(ties: DataFrame) -> DataFrame:
     return ties.mapInArrow(run, "a long, b long, apart int")
 
 
-def _forest(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs of rows of x and y whose sketches differ in at most APART hashes; same: y is x."""
+def _forest(x: np.ndarray, y: np.ndarray, same: bool, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs of rows of x and y whose sketches differ in at most APART hashes; same: y is x.
+
+    label: rows of one label, first those of x, need no connection.
+    """
     n = len(x) + (0 if same else len(y))
     root = np.arange(n)
+    if label is not None:
+        _, first, of = np.unique(label, return_index=True, return_inverse=True)
+        root = first[of]
     most = max(1, (2 << 20) // max(1, len(y)))
     found: tuple[list, list] = ([], [])
     for lo in range(0, len(x), most):
@@ -188,18 +206,21 @@ def _forest(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.nd
 
 
 def _rest_ties(rest: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Ties a, b that connect the similar pairs of every bucket of ``rest`` (node, k), all compared, by blocks of REST texts."""
+    """Ties a, b of labels that connect the similar pairs of every bucket of ``rest`` (node, k, label), all compared, by blocks of REST texts.
+
+    Buckets of one label are connected already.
+    """
     mark = F.xxhash64("node")
-    sets = rest.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.shiftright(mark, 24)).alias("f"), F.bit_xor(mark).alias("g")).filter("n > 1")
+    sets = rest.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.shiftright(mark, 24)).alias("f"), F.bit_xor(mark).alias("g"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
     once = sets.groupBy("n", "f", "g").agg(F.min("k").alias("k"))  # buckets of the same texts are compared once
     blocks = F.ceil(F.col("n") / REST).cast("int")
     member = rest.join(once.select("k", blocks.alias("nb")), "k").withColumn("side", F.pmod(F.xxhash64("node"), "nb").cast("int"))
     member = member.withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("nb") - 1)))
-    member = member.select("k", "node", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj")).join(sketch, "node")
+    member = member.select("k", "node", "label", "side", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj")).join(sketch, "node")
     bin_ = F.when(F.col("bi") + F.col("bj") > 0, F.col("k")).otherwise(F.pmod(F.xxhash64("k"), F.lit(4096)))
 
     def run(data: pa.Table) -> pa.Table:
-        k, node, side = (data.column(c).to_numpy() for c in ("k", "node", "side"))
+        k, label, side = (data.column(c).to_numpy() for c in ("k", "label", "side"))
         sk = np.frombuffer(b"".join(data.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
         across = data.column("bi")[0].as_py() != data.column("bj")[0].as_py()
         order = np.argsort(k, kind="stable")
@@ -211,17 +232,17 @@ def _rest_ties(rest: DataFrame, sketch: DataFrame) -> DataFrame:
                     continue
             else:
                 x = y = own
-            i, j = _forest(sk[x], sk[y], not across)
             every = x if not across else np.concatenate([x, y])
-            a.append(node[every[i]])
-            b.append(node[every[j]])
+            i, j = _forest(sk[x], sk[y], not across, label[every])
+            a.append(label[every[i]])
+            b.append(label[every[j]])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return member.withColumn("bin", bin_).groupBy("bin", "bi", "bj").applyInArrow(run, "a long, b long")
 
 
 def _tied(keys: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Ties a, b that connect every pair of the buckets k whose sketches differ in at most APART hashes.
+    """Ties a, b that connect every pair of the buckets k whose sketches differ in at most APART hashes: of each node to the smallest it reaches.
 
     In each round the smallest node of a bucket leads, so a large group of
     similar texts has few leaders over all its buckets, and few distinct ties.
@@ -230,7 +251,7 @@ def _tied(keys: DataFrame, sketch: DataFrame) -> DataFrame:
     most APART + NEXT, for differences obey the triangle inequality; all these
     are tied to the leader, and no pair of a settled member is lost.  Members
     that are not settled stay, and after ROUNDS rounds all their pairs are
-    compared.
+    compared but those that the ties connect already.
     """
     ties, left = None, keys
     for _ in range(ROUNDS):
@@ -244,8 +265,18 @@ def _tied(keys: DataFrame, sketch: DataFrame) -> DataFrame:
         settled = good.filter(F.col("apart") <= NEXT).select(F.col("a").alias("node"), "b")
         left = stored(met.join(settled, ["node", "b"], "left_anti").select("node", "k"), "left")
         if not left.limit(1).count():
-            return ties
-    return ties.unionByName(stored(_rest_ties(left, sketch), "rest"))
+            return _star(components(ties, "candidates"))
+    labels = components(ties, "candidates")
+    known = labels.select(F.col("node").alias("_n"), "label")
+    rest = stored(left.join(known, F.col("node") == F.col("_n"), "left").select("node", "k", F.coalesce("label", "node").alias("label")), "open")
+    further = components(stored(_rest_ties(rest, sketch), "rest"), "rest")
+    alone = further.join(labels.select("node"), "node", "left_anti")
+    return _star(stored(_followed(labels, further).unionByName(alone), "candidates"))
+
+
+def _star(labels: DataFrame) -> DataFrame:
+    """Edges a, b from every other node to its label."""
+    return labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def _linked(sets: list[np.ndarray]) -> np.ndarray:
@@ -331,7 +362,7 @@ def similar_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
     shared = keys.groupBy(short).agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select(short)
     shared = stored(keys.join(shared, short), "shared")
     ties = _tied(shared.select("node", F.explode_outer(F.array(*[f"k{d}" for d in levels])).alias("k")), reps.select("node", "sketch"))
-    candidates = components(ties.distinct(), "candidates")
+    candidates = stored(ties.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(ties.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()), "candidates")
     member_of = stored(candidates.select("node", F.col("label").alias("comp")).join(reps.select("node", "_d", "_key", "weight", "n").distinct(), "node"), "groups")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / HASHES)).cast("int")
     chosen = stored(member_of.join(member_of.groupBy("comp").agg(blocks.alias("nb")), "comp"), "chosen")

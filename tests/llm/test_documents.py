@@ -567,3 +567,42 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch, rest):
     keys = spark.createDataFrame([(i, k) for k in (1, 2) for i in range(9)], "node long, k long")
     ties = {tuple(sorted((r.a, r.b))) for r in ngram_join._tied(keys, rows).collect()}
     assert ties == {(5, 6), (7, 8)}  # two leaders a bucket, and nothing after them, found none
+
+
+def join_rows(spark, run):
+    """Rows that joins give in all, by their keys, while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    every, made = store.executionsList(seen, 10_000), Counter()
+    for i in range(every.size()):
+        e = every.apply(i)
+        values, nodes = store.executionMetrics(e.executionId()), store.planGraph(e.executionId()).allNodes()
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            for m in (n.metrics().apply(j) for j in range(n.metrics().size())):
+                if "Join" in n.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made[re.sub(r"#\d+L?|^\w+ |, Build\w+|, false$", "", n.desc())] += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_crowded_buckets_make_few_rows(spark):
+    g = np.random.default_rng(0)
+    base = g.integers(0, 1 << 16, 64).astype(np.uint16)
+    sketches = np.repeat(base[None], 300, 0)
+    for i, x in enumerate(sketches):
+        x[g.permutation(64)[:6]] += i + 1  # similar to all, next to none
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sketches)], "node long, sketch binary").cache()
+    keys = spark.createDataFrame([(i, 100 * t + int(k)) for t in range(24) for i, k in enumerate(g.integers(0, 8, 300))], "node long, k long").cache()
+    out = []
+    made = join_rows(spark, lambda: out.extend((r.node, r.label) for r in ngram_join.components(ngram_join._tied(keys, rows), "t").collect()))
+    assert sorted(out) == [(i, 0) for i in range(300)]
+    assert 0 < max(made.values()) < 20_000
+
+
+def test_components_of_a_path(spark):
+    order = np.random.default_rng(1).permutation(400)
+    for nodes in (range(400), order):
+        edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(nodes, nodes[1:])] + [(900, 901), (902, 902)], "a long, b long")
+        got = {r.node: r.label for r in ngram_join.components(edges, "path").collect()}
+        assert got == dict.fromkeys(range(400), 0) | {900: 900, 901: 900}
